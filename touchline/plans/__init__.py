@@ -1,6 +1,6 @@
 """Registered queries. Importing this package fills the registry."""
 
-from touchline.plans import derived  # noqa: F401
+from touchline.plans import cards, derived, raw  # noqa: F401
 from touchline.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -173,10 +173,18 @@ def _padded(text: Column, width: int) -> Column:
     return F.rpad(text, width, " ")
 
 
+# Tenths t for which the double nearest to (t + 0.5) / 10 rounds up.
+ROUNDS_UP = (0, 4, 5, 6, 7)
+
+
 def tenths(column: str, width: int) -> Column:
-    """One decimal place of the binary value; halves that are not exact never round up."""
+    """One decimal place of the exact binary value, as text of at least ``width``."""
     whole = F.floor(F.col(column))
-    value = (whole + F.rint((F.col(column) - whole) * 10) / 10).cast("decimal(9,1)").cast("string")
+    part = F.col(column) - whole
+    low = F.floor(part * 10)
+    middle = (low + 0.5) / 10
+    up = (part > middle) | ((part == middle) & low.isin(*ROUNDS_UP))
+    value = (whole + (low + up.cast("int")) / 10).cast("decimal(9,1)").cast("string")
     return F.lpad(value, F.greatest(F.length(value), F.lit(width)), F.lit(" "))
 
 

@@ -73,7 +73,7 @@ def event_reasons() -> Column:
             "starting lineup must be eleven distinct players",
         ),
     ]
-    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(text)) for bad, text in checks]))
+    return F.array_compact(F.array(*[F.when(bad, F.lit(text)) for bad, text in checks]))
 
 
 def checked_events(parsed: DataFrame) -> DataFrame:

@@ -186,7 +186,7 @@ def spells_check(matches, spells) -> DataFrame:
 def late_spells_check(matches, spells, substitutions, slack: int = 60) -> DataFrame:
     off = substitutions.select("match_id", F.col("player_off_id").alias("player_id"), key_of("period", "period_seconds").alias("off_key"))
     # Only the latest end of a player's spells matters, so each side is one row per player.
-    never = F.lit(10**9).cast("decimal(12,3)")
+    never = F.lit(10**9).cast("decimal(14,3)")
     ends = spells.groupBy("match_id", "player_id").agg(F.max(F.coalesce(key_of("end_period", "end_seconds"), never)).alias("end_key"))
     first = off.groupBy("match_id", "player_id").agg(F.min("off_key").alias("off_key"))
     late = first.join(ends, ["match_id", "player_id"]).where(F.col("end_key") > F.col("off_key") + slack)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +17,16 @@ from touchline.sources import bridge
 _landed: dict[tuple, DataFrame] = {}
 
 
-def landed_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The ordered event stream, written once per session into the shared folder.
+def landed(spark: SparkSession, folder: str, layer: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A layer table, written once per session into the shared folder.
 
-    Ordering a match is a shuffle of all events; every query starts from it, so it is kept
-    as a table, as a warehouse would. The key holds the input files, not only the folder.
+    The layers are what a warehouse keeps: ordered events (a shuffle of everything), the
+    event context and the fixed windows. The key holds the input files, not only the folder.
     """
     files = tuple(sorted(bridge.table(spark, folder, "events").inputFiles()))
-    key = (spark.sparkContext.applicationId, folder, files)
+    key = (spark.sparkContext.applicationId, folder, files, layer)
     if key not in _landed:
-        _landed[key] = cut_lineage(bridge.match_events(spark, folder))
+        _landed[key] = cut_lineage(build())
     return _landed[key]
 
 
@@ -39,7 +40,7 @@ class Inputs:
 
     @cached_property
     def events(self) -> DataFrame:
-        return landed_events(self.spark, self.folder)
+        return landed(self.spark, self.folder, "events", lambda: bridge.match_events(self.spark, self.folder))
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -58,7 +59,7 @@ class Inputs:
 
     @cached_property
     def context(self) -> DataFrame:
-        return C.event_context(self.events, self.matches)
+        return landed(self.spark, self.folder, "context", lambda: C.event_context(self.events, self.matches))
 
     @cached_property
     def possession_context(self) -> DataFrame:
@@ -116,7 +117,8 @@ class Inputs:
 
     @cached_property
     def windows(self) -> DataFrame:
-        return G.fixed_windows(self.context, self.events, self.matches)
+        build = lambda: G.fixed_windows(self.context, self.events, self.matches)
+        return landed(self.spark, self.folder, "windows", build)
 
     @cached_property
     def pairs(self) -> DataFrame:

@@ -215,7 +215,7 @@ part("cho", """select cast(case when n_nationkey = 24 then 0 else n_nationkey %
 # --- A: sources ---------------------------------------------------------------------------
 
 
-@query("a1_read_events", "select match_id, cast(event_id as varchar) as id, sequence as index_number, period, provider_type, action from (select *, " + ACTION + " as action from typed)")
+@query("a1_read_events", "select match_id, cast(event_id as varchar) as id, sequence as index_number, period, provider_type, case when provider_type = 'Mystery' then null else action end as action from (select *, " + ACTION + " as action from typed)")
 def _(i: Inputs):
     path = new_folder(i.spark, "events")
     documents(i).records.write.partitionBy("match_id").text(path)
@@ -644,9 +644,15 @@ def _(i: Inputs):
     return Q.dq_status(Gate(i).every())
 
 
-@query("c15_gated_events", "select e.match_id, count(*) as events from me e join dqs using (match_id) where dq_status <> 'excluded' group by 1")
+part("dqg", """select match_id, case when bool_or(not passed and severity = 'blocking') then 'excluded' else 'in' end as dq_status
+  from (select * from c7 union all select * from c9 union all select * from c13) group by 1""")
+
+
+@query("c15_gated_events", "select e.match_id, count(*) as events from me e join dqg using (match_id) where dq_status <> 'excluded' group by 1")
 def _(i: Inputs):
-    return Q.gate(i.events, Q.dq_status(Gate(i).every())).groupBy("match_id").agg(F.count("*").alias("events"))
+    found = Gate(i).checks()
+    statuses = Q.dq_status(found["c7"].unionByName(found["c9"]).unionByName(found["c13"]))
+    return Q.gate(i.events, statuses).groupBy("match_id").agg(F.count("*").alias("events"))
 
 
 @query("c16_quality_report", """select 1 as section, dq_status as key, dq_status || ': ' || count(*) as line from dqs group by dq_status

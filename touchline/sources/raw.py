@@ -53,7 +53,16 @@ def read_records(spark: SparkSession, path: str, *, lines: bool = False) -> Data
 
 def parse_events(records: DataFrame) -> DataFrame:
     """Columns match_id, record (as recorded) and e (typed)."""
-    return records.select("match_id", "record", F.from_json("record", EVENT_SCHEMA).alias("e"))
+    return records.select("match_id", "record", _parsed_once("record", EVENT_SCHEMA, "e"))
+
+
+def _parsed_once(column: str, schema: str, name: str) -> Column:
+    """Parse each text a single time.
+
+    A plain ``from_json`` is repeated by the optimizer for every field a later filter or
+    select touches; a generator of one element keeps it to one evaluation per row.
+    """
+    return F.explode(F.array(F.from_json(column, schema))).alias(name)
 
 
 def read_events(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
@@ -72,7 +81,7 @@ def read_lineups(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_match_index(records: DataFrame) -> DataFrame:
-    return records.select("record", F.from_json("record", MATCH_SCHEMA).alias("m"))
+    return records.select("record", _parsed_once("record", MATCH_SCHEMA, "m"))
 
 
 def read_match_index(
@@ -94,7 +103,7 @@ def absent_matches(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def parse_manifest(lines: DataFrame) -> DataFrame:
     """Receipts of an append-only manifest, one JSON object per ``value``."""
-    return lines.select(F.from_json("value", RECEIPT_SCHEMA).alias("r")).select("r.*")
+    return lines.select(_parsed_once("value", RECEIPT_SCHEMA, "r")).select("r.*")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

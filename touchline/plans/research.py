@@ -68,7 +68,7 @@ def _(i: Inputs):
 
 @query("j4_nearest_quantile", f"select {DESCRIBE('entries')} from win where complete")
 def _(i: Inputs):
-    return T.describe(i.windows.where("complete"), "entries")
+    return T.describe(i.windows.where("complete").withColumn("entries", F.col("entries").cast("double")), "entries")
 
 
 def bins_sql(source: str, key: str, by: str = "") -> str:

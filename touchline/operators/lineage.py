@@ -1,0 +1,149 @@
+"""Run ids, fingerprints, definitions, provenance, claims, and the layer writer."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from touchline.operators.quality import text
+
+
+def run_id(parts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """First 16 hex digits of the hash over the sorted inputs (``key``, ``value``).
+
+    Inputs are hashed to fixed-size pieces first and summed, so any number of them fits:
+    the sum does not depend on order, and a repeated input changes it.
+    """
+    keys = list(group)
+    total = F.sum(content_hash(["key", "value"])).cast("decimal(38,0)")
+    return parts.groupBy(*keys).agg(F.count("*").alias("inputs"), total.alias("_sum")).select(
+        *keys, "inputs", F.substring(F.sha2(F.concat_ws(":", F.col("inputs").cast("string"), F.col("_sum").cast("string")), 256), 1, 16).alias("run_id")
+    )
+
+
+def _shown(field: T.StructField) -> Column:
+    c = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(c)) if isinstance(field.dataType, T.ArrayType | T.StructType | T.MapType) else c.cast("string")
+
+
+def content_hash(columns: Sequence[str | Column]) -> Column:
+    """A 60-bit number from the row's text; NULL and empty text differ."""
+    shown = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\\N")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *shown)), 1, 15), 16, 10).cast("decimal(20,0)")
+
+
+def fingerprint(tables: Mapping[str, DataFrame], volatile: Sequence[str] = ("ingest_run_id",)) -> DataFrame:
+    """Row count and order-independent content hash of each table."""
+    out = None
+    for name, df in tables.items():
+        fields = [f for f in df.schema.fields if f.name not in volatile]
+        row = df.select(content_hash([_shown(f) for f in fields]).alias("h")).agg(
+            F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("decimal(38,0)").alias("_sum")
+        )
+        found = row.select(F.lit(name).alias("table_name"), "rows", F.substring(F.sha2(F.col("_sum").cast("string"), 256), 1, 16).alias("content"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def compare_fingerprints(left: DataFrame, right: DataFrame) -> DataFrame:
+    both = left.join(right.select("table_name", F.col("rows").alias("_r"), F.col("content").alias("_c")), "table_name", "full")
+    same = (F.col("rows") == F.col("_r")) & (F.col("content") == F.col("_c"))
+    return both.select("table_name", F.coalesce(same, F.lit(False)).alias("identical"))
+
+
+# What each derived table holds, and the version of that definition.
+DEFINITIONS = {
+    "team_matches": "One row per team and match; goals are the final score, known afterwards.",
+    "periods": "A period ends at its latest recorded end or event clock; period 5 is a shootout.",
+    "score_states": "Goals of both teams before each event by sequence, without shootout goals.",
+    "event_context": "Events with place, zone, openness, completion, provider xG and the score before.",
+    "final_third_entries": "Completed open-play pass or carry from x < 80 to x >= 80, channel from its end.",
+    "box_entries": "Completed open-play pass or carry from outside to inside the penalty area.",
+    "team_time_bins": "Every 5-minute bin of each team and regular period, empty ones included.",
+    "player_intervals": "Union of position spells, cut at the player's substitution.",
+    "player_period_spans": "Player intervals split by period.",
+    "player_match_involvement": "A player's passes over the team's passes while on the pitch.",
+    "player_time_bins": "Presence and actions of a player per team bin.",
+    "possessions": "Provider possessions, known afterwards; measures of the possessing team only.",
+    "team_match_summary": "Totals over the bins of a team and match.",
+}
+
+
+def definitions(spark: SparkSession, version: int = 1) -> DataFrame:
+    return spark.createDataFrame([(k, version, v) for k, v in DEFINITIONS.items()], "table_name string, definition_version int, definition string")
+
+
+def with_provenance(result: DataFrame, facts: Mapping[str, str]) -> DataFrame:
+    """Attach run facts to every row of a result."""
+    return result.withColumns({f"run_{k}": F.lit(v) for k, v in facts.items()})
+
+
+def write_tables(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], folder: str, *, partitions: int | None = None) -> None:
+    """Rebuild a layer: each table range-partitioned and sorted by its order columns.
+
+    ``tables`` maps a name to its rows and order columns; order columns start with a
+    unique enough key for range partitioning to split a very large match as well.
+    """
+    for name, (df, order) in tables.items():
+        ranged = df.repartitionByRange(*([partitions] if partitions else []), *order)
+        ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
+# --- claims -------------------------------------------------------------------------------
+
+
+def claim_problems() -> Column:
+    blank = [F.coalesce(F.trim(c) == "", F.lit(True)) for c in ("claim_id", "subject", "predicate", "value", "license_class")]
+    any_blank = blank[0]
+    for b in blank[1:]:
+        any_blank = any_blank | b
+    confidence = F.col("confidence")
+    return (
+        F.when(any_blank, "a required text is empty")
+        .when(~F.coalesce(F.col("source_url").rlike(r"^https://[^/?#]+"), F.lit(False)), "source must be an https address")
+        .when(F.col("valid_from") >= F.col("valid_until"), "validity must not be empty")
+        .when(F.col("retrieved_at").isNull(), "retrieval time is missing")
+        .when(F.col("published_at") > F.col("retrieved_at"), "retrieved before publication")
+        .when(~F.coalesce(confidence.between(0.0, 1.0), F.lit(False)), "confidence must be between 0 and 1")
+        .when(F.col("recorded_at") < F.col("retrieved_at"), "recorded before retrieval")
+    )
+
+
+def append_claims(existing: DataFrame, new: DataFrame, recorded_at: Column) -> tuple[DataFrame, DataFrame]:
+    """Claims to append, stamped with their recording time, and rejected ones with a reason."""
+    stamped = new.withColumn("recorded_at", recorded_at)
+    repeated = stamped.groupBy("claim_id").agg(F.count("*").alias("_times"))
+    known = existing.select("claim_id", F.lit(True).alias("_known")).distinct()
+    rows = stamped.join(repeated, "claim_id", "left").join(known, "claim_id", "left")
+    reason = F.coalesce(
+        claim_problems(), F.when(F.col("_known") | (F.col("_times") > 1), "claim id was already used")
+    )
+    judged = rows.withColumn("reason", reason).drop("_times", "_known")
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null").select("claim_id", "reason")
+
+
+def freeze_at_kickoff(claims: DataFrame, asks: DataFrame) -> DataFrame:
+    """Claims a match may use: ``asks`` has match_id, subject, kickoff_utc, local_date.
+
+    Published strictly before kickoff, retrieved and recorded by then, valid on the date.
+    """
+    kickoff, day = F.col("kickoff_utc"), F.col("local_date")
+    known = (
+        (F.col("published_at") < kickoff)
+        & (F.col("retrieved_at") <= kickoff)
+        & (F.col("recorded_at") <= kickoff)
+        & F.coalesce(F.col("valid_from") <= day, F.lit(True))
+        & F.coalesce(F.col("valid_until") > day, F.lit(True))
+    )
+    return asks.join(claims, "subject").where(known)
+
+
+def provenance_line(run: str, tables: DataFrame) -> DataFrame:
+    return tables.select(text("run ", F.lit(run), ": ", F.col("table_name"), " ", F.col("rows"), " rows ", F.col("content")).alias("line"))

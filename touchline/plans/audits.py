@@ -79,12 +79,12 @@ def _(i: Inputs):
 
 
 @query("j14_trigger_mechanisms", f"""with {CUR}, pv as (select match_id, sequence, lag(period) over w as pp, lag(elapsed_seconds) over w as pe from me window w as (partition by match_id order by sequence)),
-  c2 as (select *, lag(period) over w as lp, lag(elapsed_seconds) over w as le0 from (select * exclude (lp, le) from cur) window w as (partition by match_id, team_id order by sequence)),
-  c3 as (select c2.*, pp, pe, ps from c2 join pv using (match_id, sequence) join pst using (match_id, period) where actor_id <> team_id)
+  mech2 as (select *, lag(period) over w as lp, lag(elapsed_seconds) over w as le0 from (select * exclude (lp, le) from cur) window w as (partition by match_id, team_id order by sequence)),
+  mech3 as (select mech2.*, pp, pe, ps from mech2 join pv using (match_id, sequence) join pst using (match_id, period) where actor_id <> team_id)
   select match_id, team_id, sequence as card_sequence, channel,
    coalesce(pp = period, false) and exists (select 1 from entm f where f.match_id = c.match_id and f.team_id = c.team_id and f.period = c.period and f.sequence < c.sequence and f.elapsed_seconds > pe - 600 and f.elapsed_seconds <= c.elapsed_seconds - 600) as entry_expired,
    coalesce(pp = period and lp = period and pe < le0 + 600 and elapsed_seconds >= le0 + 600, false) as cooldown_ended, coalesce(pp = period and pe - ps < 600 and elapsed_seconds - ps >= 600, false) as first_full_window,
-   case when age is null then 'no_current_period_entry' when age < 0 then 'clock_reversed' when age <= 30 then 'up_to_30_seconds' when age <= 60 then '31_to_60_seconds' when age <= 180 then '61_to_180_seconds' else 'over_180_seconds' end as gap from c3 c""", recursive=True)
+   case when age is null then 'no_current_period_entry' when age < 0 then 'clock_reversed' when age <= 30 then 'up_to_30_seconds' when age <= 60 then '31_to_60_seconds' when age <= 180 then '61_to_180_seconds' else 'over_180_seconds' end as gap from mech3 c""", recursive=True)
 def _(i: Inputs):
     return A.trigger_mechanisms(_current(i), i.events, A.entries_of(i.events))
 
@@ -135,9 +135,9 @@ def _(i: Inputs):
 
 part("nsp", """select match_id, period, ps as s, pl_max as e, coalesce(sum(pl_max - ps) over (partition by match_id order by period rows between unbounded preceding and 1 preceding), 0) as off
   from pst join plast using (match_id, period) where pl_max > ps""")
-part("nshot", """select match_id, team_id, ref, event_id, arg_max(period, off) as period, cast(arg_max(s + at - off, off) as bigint) as elapsed_seconds from
-  (select b.match_id, b.team_id, r.ref, b.event_id, cast('0x' || substr(md5('20260928:' || ref || ':' || event_id), 1, 8) as bigint) % (select sum(e - s) from nsp p where p.match_id = b.match_id) as at
-   from (select * from me where event_type = 'shot' and not penalty) b, (select unnest(generate_series(1, 10)) as ref) r) x join nsp using (match_id) where off <= at group by all""")
+part("nshot", """select match_id, team_id, ref, event_id, arg_max(period, off) as period, cast(arg_max(s + spot - off, off) as bigint) as elapsed_seconds from
+  (select b.match_id, b.team_id, r.ref, b.event_id, cast('0x' || substr(md5('20260928:' || ref || ':' || event_id), 1, 8) as bigint) % (select sum(e - s) from nsp p where p.match_id = b.match_id) as spot
+   from (select * from me where event_type = 'shot' and not penalty) b, (select unnest(generate_series(1, 10)) as ref) r) x join nsp using (match_id) where off <= spot group by all""")
 part("nseq", """select *, row_number() over (partition by match_id, team_id, ref order by period, elapsed_seconds, event_id) as sequence from nshot""")
 part("nbw", """select t.match_id, t.team_id, t.ref, t.period, t.sequence, t.elapsed_seconds, max(p.off) + t.elapsed_seconds - 600 - max(p.s) as earlier_seconds,
   count(*) filter (where f.period = t.period and f.elapsed_seconds > t.elapsed_seconds - 600) as recent_shots, count(*) filter (where not (f.period = t.period and f.elapsed_seconds > t.elapsed_seconds - 600)) as earlier_shots

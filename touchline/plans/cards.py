@@ -8,7 +8,7 @@ from touchline.operators import cards as K
 from touchline.operators import detect as D
 from touchline.operators import score as S
 from touchline.plans.derived import CHANNEL
-from touchline.plans.inputs import Inputs
+from touchline.plans.inputs import Inputs, landed
 from touchline.plans.registry import num, nums, part, query
 
 # Thresholds low enough for cards to appear on the given tables; the functions keep their own.
@@ -69,11 +69,12 @@ LOSING = "concat_ws(',', " + ", ".join(f"case when recent_{c} * b < baseline_{c}
 
 
 def _shifts(i: Inputs):
-    return D.side_shift_cards(i.events, **SHIFT)
+    """Card tables are a layer too: what follows from cards reads them."""
+    return landed(i.spark, i.folder, "shift_cards", lambda: D.side_shift_cards(i.events, **SHIFT))
 
 
 def _bursts(i: Inputs):
-    return D.burst_cards(i.events, **BURST)
+    return landed(i.spark, i.folder, "burst_cards", lambda: D.burst_cards(i.events, **BURST))
 
 
 @query("h0_replay_order_guard", "select match_id, sequence - 1 + sequence % 2 as sequence, count(*) as events from me where sequence % 16 in (1, 2) group by 1, 2 having count(*) > 1")
@@ -108,7 +109,7 @@ def _(i: Inputs):
 
 @query("h4_side_shift_cards", f"with {SHIFT_CARDS} select {POS}, channel, {', '.join(RB)}, r as recent_total, b as baseline_total, {LOSING} as losing_channels, 'bridge' as sources from shifts", recursive=True)
 def _(i: Inputs):
-    return _shifts(i)
+    return D.side_shift_cards(i.events, **SHIFT)
 
 
 @query("h4_side_shift_evidence", f"""with {SHIFT_CARDS} select t.match_id, t.team_id, t.sequence as card_sequence, f.event_id, f.ch as channel,
@@ -151,7 +152,7 @@ BCOLS = "window_seconds, cast(earlier_seconds as bigint) as earlier_seconds, rec
 
 @query("h6_burst_cards", f"with {BURST_CARDS} select {POS}, {BCOLS} from bursts", recursive=True)
 def _(i: Inputs):
-    return _bursts(i)
+    return D.burst_cards(i.events, **BURST)
 
 
 @query("h6_burst_candidates", f"select {POS}, {BCOLS} from bc")

@@ -1,6 +1,6 @@
 """Registered queries. Importing this package fills the registry."""
 
-from touchline.plans import audits, cards, derived, lineage, raw, research  # noqa: F401
+from touchline.plans import audits, cards, derived, lineage, raw, research, streams  # noqa: F401
 from touchline.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -91,13 +91,30 @@ def running(
         else:
             value = F.greatest(here, before)
         results.append(value.alias(m.name))
+    # Asked for explicitly: a frame already placed by a match key would satisfy the window
+    # as it is, and leave a very large match in one task.
     return (
-        rows.select("*", *inside)
+        rows.repartition(*keys, "_block")
+        .select("*", *inside)
         .join(carried, [*keys, "_block", *extra])
         .select(*[F.col(f"`{c}`") for c in df.columns], *results)
     )
 
 
+SALTS = 16
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows of a stream with a few rows per key, without placing a whole key in one task.
+
+    The stream side is salted by its sequence and the small side repeated per salt, so a
+    very large match is spread, and a later aggregation still combines before its shuffle.
+    """
+    left = rows.withColumn("_salt", F.pmod(F.col("sequence"), F.lit(SALTS)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def sequence_block(size: int = BLOCK_ROWS, column: str = "sequence") -> Column:
     return F.floor((F.col(column) - 1) / F.lit(size))
 

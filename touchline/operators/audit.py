@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.exact import text_hash
 from touchline.functions.pitch import CHANNELS, channel, is_final_third_entry
-from touchline.functions.prefix import Running, greedy_cooldown, numbered, running, sequence_block
+from touchline.functions.prefix import Running, greedy_cooldown, join_small, numbered, running, sequence_block
 from touchline.operators.cards import evidence
 from touchline.operators.detect import _big, burst_rule, burst_windows, is_burst_shot, period_starts
 
@@ -82,12 +82,12 @@ def card_persistence(
     c = cards.withColumn("card_sequence", F.col("sequence")).withColumn("card_elapsed", F.col("elapsed_seconds"))
     counts = [f"{p}_{k}" for p in ("recent", "baseline") for k in CHANNELS]
     later = entries.select(
-        "match_id", "team_id", "period", F.col("sequence").alias("s"), F.col("elapsed_seconds").alias("e"), F.col("channel").alias("c")
+        "match_id", "team_id", "period", "sequence", F.col("elapsed_seconds").alias("e"), F.col("channel").alias("c")
     )
     c = c.select(*CARD, "period", "card_elapsed", "channel", *counts)
     key = ["match_id", "team_id", "period"]
-    following = c.select(*key, "card_sequence", "card_elapsed", "channel").join(later, key).where(
-        (F.col("s") > F.col("card_sequence")) & (F.col("e") > F.col("card_elapsed")) & (F.col("e") <= F.col("card_elapsed") + seconds)
+    following = join_small(later, c.select(*key, "card_sequence", "card_elapsed", "channel"), key).where(
+        (F.col("sequence") > F.col("card_sequence")) & (F.col("e") > F.col("card_elapsed")) & (F.col("e") <= F.col("card_elapsed") + seconds)
     )
     found = following.groupBy(*CARD).agg(F.count("*").alias("later"), F.count_if(F.col("c") == F.col("channel")).alias("later_named"))
     rows = c.join(found, CARD, "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("later", "later_named")})
@@ -138,9 +138,9 @@ def trigger_mechanisms(cards: DataFrame, events: DataFrame, entries: DataFrame,
     now = F.col("elapsed_seconds")
     same = F.coalesce(F.col("prior_period") == F.col("period"), F.lit(False))
     slim = rows.where(same).select(*CARD, "period", F.col("prior").alias("_p"), now.alias("_n"))
-    e = entries.select("match_id", "team_id", "period", F.col("sequence").alias("_s"), F.col("elapsed_seconds").alias("_e"))
-    gone = slim.join(e, ["match_id", "team_id", "period"]).where(
-        (F.col("_s") < F.col("card_sequence")) & (F.col("_e") > F.col("_p") - seconds) & (F.col("_e") <= F.col("_n") - seconds)
+    e = entries.select("match_id", "team_id", "period", "sequence", F.col("elapsed_seconds").alias("_e"))
+    gone = join_small(e, slim, ["match_id", "team_id", "period"]).where(
+        (F.col("sequence") < F.col("card_sequence")) & (F.col("_e") > F.col("_p") - seconds) & (F.col("_e") <= F.col("_n") - seconds)
     )
     expired = gone.groupBy(*CARD).agg(F.lit(True).alias("_expired"))
     no = F.lit(False)
@@ -293,11 +293,11 @@ def null_shot_stream(events: DataFrame, *, seeds: int = 10, seed: int = 20260928
         F.sort_array(F.collect_list(F.struct("period", "start", "end", "offset"))).alias("spans"),
         F.sum(F.col("end") - F.col("start")).alias("play"),
     )
-    shots = events.where(is_burst_shot()).select("match_id", "team_id", "event_id")
+    shots = events.where(is_burst_shot()).select("match_id", "team_id", "event_id", "sequence")
     references = F.explode(F.sequence(F.lit(1), F.lit(seeds)))
     at = text_hash(F.lit(seed), F.col("reference"), F.col("event_id")) % F.col("play")
     placed = (
-        shots.join(per_match, "match_id")
+        join_small(shots, per_match, ["match_id"])
         .withColumn("reference", references)
         .withColumn("at", at)
         .withColumn("span", F.element_at(F.filter("spans", lambda s: s["offset"] <= F.col("at")), -1))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions.clock import clock_text
 from touchline.functions.exact import half_up_percent
 from touchline.functions.pitch import CHANNELS, channel, is_final_third_entry
+from touchline.functions.prefix import join_small
 from touchline.operators.detect import is_burst_shot
 from touchline.operators.score import score_after
 
@@ -50,7 +51,7 @@ def evidence(cards: DataFrame, facts: DataFrame, *, window_seconds: int = 600) -
     )
     recent = (F.col("period") == F.col("card_period")) & (F.col("elapsed_seconds") > F.col("card_elapsed") - window_seconds)
     return (
-        facts.join(c, ["match_id", "team_id"])
+        join_small(facts, c, ["match_id", "team_id"])
         .where("sequence <= card_sequence")
         .withColumn("role", F.when(recent, "recent").otherwise("baseline"))
         .drop("card_period", "card_elapsed")

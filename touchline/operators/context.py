@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import pitch
 from touchline.functions.prefix import Running, running, sequence_block
+from touchline.operators.stats import medians
 from touchline.operators.score import score_measures, state_name, team_matches, with_match_teams
 
 BIN_SECONDS = 300
@@ -27,16 +28,10 @@ def event_context(events: DataFrame, matches: DataFrame) -> DataFrame:
     the event row, so no join on the event id is needed.
     """
     ahead = Running("_ahead", "max", F.col("period_seconds"), ("period",), exclusive=True)
-    seen = running(
-        with_match_teams(events, matches),
-        ["match_id"],
-        ["sequence"],
-        sequence_block(),
-        [*score_measures(exclusive=True), ahead],
-    )
+    passed = running(events, ["match_id"], ["sequence"], sequence_block(), [*score_measures(exclusive=True), ahead])
+    seen = with_match_teams(passed, matches)
     home = F.col("team_id") == F.col("home_team_id")
-    before = lambda a, b: F.when(home, F.col(f"{a}_score_before")).otherwise(F.col(f"{b}_score_before"))
-    goals_for, goals_against = before("home", "away"), before("away", "home")
+    goals_for, goals_against = F.col("_own"), F.col("_all") - F.col("_own")
     kind = F.col("event_type")
     return seen.where(home | (F.col("team_id") == F.col("away_team_id"))).select(
         "match_id",
@@ -115,7 +110,6 @@ def directness_and_recoveries(
     measured = rows.groupBy("match_id", "team_id").agg(
         count(recovery).alias("recovery_events"),
         count(recovery & start).alias("valid_recoveries"),
-        F.median(F.when(recovery & start, F.col("x"))).alias("median_recovery_x"),
         count(recovery & start & (F.col("x") >= 80)).alias("attacking_third_recoveries"),
         count(move).alias("completed_open_play_moves"),
         count(move & start & end).alias("valid_moves"),
@@ -127,7 +121,10 @@ def directness_and_recoveries(
         "completed_open_play_moves", "valid_moves",
     ]
     directness = 100 * F.col("_forward").cast("double") / F.nullif(F.col("_length").cast("double"), F.lit(0.0))
-    full = team_matches(matches).select("match_id", "team_id").join(measured, ["match_id", "team_id"], "left")
+    middle = medians(rows.where(recovery & start), "x", ["match_id", "team_id"]).withColumnRenamed("median", "median_recovery_x")
+    full = team_matches(matches).select("match_id", "team_id")
+    for part in (measured, middle):
+        full = full.join(part, ["match_id", "team_id"], "left")
     return full.select(
         "match_id",
         "team_id",
@@ -143,22 +140,18 @@ def directness_and_recoveries(
 def directness_summary(metrics: DataFrame) -> DataFrame:
     q = F.col("qualified")
     share = F.col("attacking_third_recoveries") / F.nullif(F.col("valid_recoveries"), F.lit(0))
-    spread = []
-    for name, value in (
-        ("recovery_x", F.col("median_recovery_x")), ("directness", F.col("directness")), ("attacking_share", share),
-    ):
-        kept = F.when(q, value)
-        spread += [
-            F.min(kept).alias(f"{name}_minimum"),
-            F.median(kept).alias(f"{name}_median"),
-            F.max(kept).alias(f"{name}_maximum"),
-        ]
-    return metrics.agg(
+    names = {"recovery_x": F.col("median_recovery_x"), "directness": F.col("directness"), "attacking_share": share}
+    rows = metrics.withColumns({f"_{n}": F.round(F.when(q, v), 9) for n, v in names.items()})
+    out = rows.agg(
         F.count("*").alias("team_matches"),
         F.count_if(q).alias("qualified_team_matches"),
         F.sum("recovery_events").alias("recovery_events"),
         F.sum(F.col("recovery_events") - F.col("valid_recoveries")).alias("invalid_recoveries"),
         F.sum("completed_open_play_moves").alias("completed_open_play_moves"),
         F.sum(F.col("completed_open_play_moves") - F.col("valid_moves")).alias("invalid_moves"),
-        *spread,
-    )
+        *[f(f"_{n}").alias(f"{n}_{label}") for n in names for f, label in ((F.min, "minimum"), (F.max, "maximum"))],
+    ).withColumn("_k", F.lit(0))
+    for n in names:
+        middle = medians(rows, f"_{n}").select(F.lit(0).alias("_k"), F.col("median").alias(f"{n}_median"))
+        out = out.join(middle, "_k", "left")
+    return out.drop("_k")

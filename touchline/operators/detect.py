@@ -9,6 +9,7 @@ from touchline.functions.pitch import CHANNELS, FINAL_THIRD_X, channel, is_final
 from touchline.functions.prefix import (
     Running,
     greedy_cooldown,
+    join_small,
     prefix_window,
     running,
     sequence_block,
@@ -43,14 +44,14 @@ def period_starts(events: DataFrame) -> DataFrame:
 
 
 def with_period_start(events: DataFrame, rows: DataFrame) -> DataFrame:
-    return rows.join(period_starts(events), ["match_id", "period"])
+    return join_small(rows, period_starts(events), ["match_id", "period"])
 
 
 def per_side(events: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """One row per event and team of its match; ``actor_id`` keeps the acting team."""
     teams = events.groupBy("match_id", "team_id").agg(F.lit(1).alias("_one")).drop("_one")
     rows = events if rows is None else rows
-    return rows.withColumnRenamed("team_id", "actor_id").join(teams, "match_id")
+    return join_small(rows.withColumnRenamed("team_id", "actor_id"), teams, ["match_id"])
 
 
 # --- attacking-side shift -----------------------------------------------------------------
@@ -271,7 +272,7 @@ def earlier_playing_seconds(
     """Playing time before the recent window, over every period so far."""
     trigger = is_burst_shot() if trigger is None else trigger
     starts, latest = _period_clock(events)
-    rows = events.join(starts, "match_id")
+    rows = join_small(events, starts, ["match_id"])
     seen = running(rows, ["match_id"], ["sequence"], sequence_block(), latest)
     return seen.where(trigger).select(
         *POSITION,
@@ -284,7 +285,7 @@ def earlier_playing_seconds(
 def burst_windows(events: DataFrame, *, window_seconds: int = 600, **tuning) -> DataFrame:
     """Recent and earlier shots and entries, and earlier playing time, at each counted shot."""
     starts, latest = _period_clock(events)
-    rows = events.join(starts, "match_id").select(
+    rows = join_small(events, starts, ["match_id"]).select(
         *POSITION,
         "minute",
         "second",
@@ -529,7 +530,7 @@ def chances_checks(
     """Shot rate of the window against the earlier rate, at every event and side."""
     starts, _ = _period_clock(events)
     shot = (F.col("event_type") == "shot") & (F.col("period") != 5)
-    rows = per_side(events).join(starts, "match_id").select(
+    rows = join_small(per_side(events), starts, ["match_id"]).select(
         *POSITION,
         "minute",
         _own_start().alias("period_start"),
@@ -610,7 +611,7 @@ def involvement_checks(
     passes = (F.col("event_type") == "pass") & F.col("open_play")
     sides = with_period_start(events, per_side(events)).withColumnRenamed("player_id", "passer_id")
     squad = changes.groupBy("match_id", "team_id", "player_id").agg(F.lit(1).alias("_one")).drop("_one")
-    acts = sides.join(squad, ["match_id", "team_id"]).select(
+    acts = join_small(sides, squad, ["match_id", "team_id"]).select(
         *POSITION,
         "minute",
         "period_start",
@@ -742,7 +743,7 @@ def detector_outcomes(checks: DataFrame, *, cooldown_seconds: int = 600) -> Data
         & (F.col("elapsed_seconds") < c["elapsed_seconds"] + cooldown_seconds),
     )
     return (
-        checks.join(fired, key, "left")
+        join_small(checks, fired, key, "left")
         .where(~cooling)
         .groupBy(*key, "minute")
         .agg(F.max_by("outcome", "sequence").alias("outcome"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions import pitch
 from touchline.operators.context import BIN_SECONDS
 from touchline.operators.score import periods, team_matches
+from touchline.operators.stats import ratio
 
 BIN = ["match_id", "team_id", "period", "time_bin"]
 WINDOW = ["match_id", "team_id", "period", "window_index"]
@@ -75,10 +76,6 @@ def bin_counts() -> dict[str, Column]:
     }
 
 
-def ratio(top: Column, bottom: Column) -> Column:
-    return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
-
-
 def team_time_bins(
     context: DataFrame, events: DataFrame, matches: DataFrame, width: int = BIN_SECONDS
 ) -> DataFrame:

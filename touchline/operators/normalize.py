@@ -259,13 +259,15 @@ def event_rejects(parsed: DataFrame, matches: DataFrame) -> DataFrame:
         .select("match_id", F.lit("repeated index").alias("reason"))
     )
     foreign = (
-        parsed.select("match_id", F.col("e.team.id").alias("_t"))
+        parsed.groupBy("match_id", F.col("e.team.id").alias("_t")).agg(F.count("*").alias("records"))
         .join(matches.select("match_id", "home_team_id", "away_team_id"), "match_id")
         .where("_t <> home_team_id and _t <> away_team_id")
-        .select("match_id", F.lit("team is not in the match").alias("reason"))
+        .groupBy("match_id")
+        .agg(F.sum("records").alias("records"))
+        .select("match_id", F.lit("team is not in the match").alias("reason"), "records")
     )
-    every = bad.unionByName(repeated).unionByName(foreign)
-    return every.groupBy("match_id", "reason").agg(F.count("*").alias("records"))
+    counted = bad.unionByName(repeated).groupBy("match_id", "reason").agg(F.count("*").alias("records"))
+    return counted.unionByName(foreign)
 
 
 def adapter_rejects(event_problems: DataFrame, lineup_issues: DataFrame) -> DataFrame:

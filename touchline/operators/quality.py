@@ -109,12 +109,11 @@ def adapter_check(matches: DataFrame, rejects: DataFrame) -> DataFrame:
 
 
 def score_check(events: DataFrame, matches: DataFrame) -> DataFrame:
-    goal = lambda side: F.count_if(
-        F.coalesce(F.col("scores_goal") & (F.col("period") != 5) & (F.col("team_id") == F.col(f"{side}_team_id")), F.lit(False))
-    )
-    found = matches.select("match_id", "home_team_id", "away_team_id", "home_score", "away_score").join(
-        events.where("scores_goal").select("match_id", "team_id", "period", "scores_goal"), "match_id", "left"
+    scored = events.where("scores_goal and period <> 5").groupBy("match_id", "team_id").agg(F.count("*").alias("goals"))
+    goal = lambda side: F.coalesce(
+        F.sum(F.when(F.col("team_id") == F.col(f"{side}_team_id"), F.col("goals"))), F.lit(0)
     )
+    found = matches.select("match_id", "home_team_id", "away_team_id", "home_score", "away_score").join(scored, "match_id", "left")
     derived = found.groupBy("match_id", "home_score", "away_score").agg(goal("home").alias("home"), goal("away").alias("away"))
     return check(
         derived, "score_reconciles", BLOCKING,

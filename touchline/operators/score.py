@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.clock import SHOOTOUT_PERIOD
-from touchline.functions.prefix import Running, running, sequence_block
+from touchline.functions.prefix import Running, join_small, running, sequence_block
 
 
 def team_matches(matches: DataFrame, lineup_problems: DataFrame | None = None) -> DataFrame:
@@ -44,43 +44,41 @@ def periods(events: DataFrame) -> DataFrame:
     )
 
 
-def _counted_goal(team: Column) -> Column:
-    goal = F.col("scores_goal") & (F.col("period") != SHOOTOUT_PERIOD) & (F.col("team_id") == team)
-    return F.coalesce(goal, F.lit(False)).cast("int")
-
-
 def score_measures(exclusive: bool) -> list[Running]:
-    when = "before" if exclusive else "after"
-    return [
-        Running(f"{side}_score_{when}", "sum", _counted_goal(F.col(f"{side}_team_id")), (), exclusive)
-        for side in ("home", "away")
-    ]
+    """Goals so far of the acting team and of both teams; shootout goals never count.
+
+    No match table is needed for these, so nothing is joined before the ordered pass.
+    """
+    goal = F.coalesce(F.col("scores_goal") & (F.col("period") != SHOOTOUT_PERIOD), F.lit(False)).cast("int")
+    return [Running("_own", "sum", goal, ("team_id",), exclusive), Running("_all", "sum", goal, (), exclusive)]
 
 
 def with_match_teams(events: DataFrame, matches: DataFrame) -> DataFrame:
-    return events.join(matches.select("match_id", "home_team_id", "away_team_id"), "match_id")
+    return join_small(events, matches.select("match_id", "home_team_id", "away_team_id"), ["match_id"])
 
 
-def score_states(events: DataFrame, matches: DataFrame) -> DataFrame:
-    """Score before each event; shootout goals never count."""
-    rows = with_match_teams(
-        events.select("match_id", "event_id", "sequence", "period", "period_seconds", "team_id", "scores_goal"),
-        matches,
+def _both_scores(seen: DataFrame, matches: DataFrame, when: str) -> DataFrame:
+    home = F.col("team_id") == F.col("home_team_id")
+    other = F.col("_all") - F.col("_own")
+    return (
+        with_match_teams(seen, matches)
+        .withColumn(f"home_score_{when}", F.when(home, F.col("_own")).otherwise(other))
+        .withColumn(f"away_score_{when}", F.when(home, other).otherwise(F.col("_own")))
+        .drop("_own", "_all", "home_team_id", "away_team_id")
     )
-    return running(
-        rows, ["match_id"], ["sequence"], sequence_block(), score_measures(exclusive=True)
-    ).drop("team_id", "scores_goal", "home_team_id", "away_team_id")
+
+
+def score_states(events: DataFrame, matches: DataFrame) -> DataFrame:
+    """Score before each event. Foreign goals must be ruled out first (``foreign_goals``)."""
+    rows = events.select("match_id", "event_id", "sequence", "period", "period_seconds", "team_id", "scores_goal")
+    seen = running(rows, ["match_id"], ["sequence"], sequence_block(), score_measures(exclusive=True))
+    return _both_scores(seen, matches, "before").drop("team_id", "scores_goal")
 
 
 def score_after(events: DataFrame, matches: DataFrame) -> DataFrame:
     """Score after each event, as cards show it."""
-    return running(
-        with_match_teams(events, matches),
-        ["match_id"],
-        ["sequence"],
-        sequence_block(),
-        score_measures(exclusive=False),
-    )
+    seen = running(events, ["match_id"], ["sequence"], sequence_block(), score_measures(exclusive=False))
+    return _both_scores(seen, matches, "after")
 
 
 def foreign_goals(events: DataFrame, matches: DataFrame) -> DataFrame:

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from touchline.functions.exact import text_hash
 from touchline.functions.prefix import Running, numbered, running
-from touchline.operators.grid import ratio
 from touchline.session import cut_lineage
 
 WIDE = "decimal(38,0)"
 
 
+def ratio(top: Column, bottom: Column) -> Column:
+    return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
+
+
 def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Add a constant key when there is no group, so one code path serves both."""
     return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
@@ -141,6 +144,16 @@ def quantiles(df: DataFrame, value: str, spots: dict[str, float], by: Sequence[s
     return found if by else found.drop("_all")
 
 
+def medians(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Median (mean of the two middle values) per group from distinct values in blocks."""
+    rows, keys = _grouped(df.where(F.col(value).isNotNull()), by)
+    counted = value_counts(rows, value, keys)
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
+    middle = lambda shift: F.min(F.when(F.col("upto") > F.floor((F.col("total") - shift) / 2), F.col("value")))
+    found = counted.join(totals, keys).groupBy(*keys).agg(((middle(1) + middle(0)) / 2).alias("median"))
+    return found if by else found.drop("_all")
+
+
 DECILES = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90}
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions import pitch
 from touchline.functions.prefix import Running, running
 from touchline.operators.grid import count
+from touchline.operators.stats import medians
 
 COLUMNS, ROWS = 16, 12
 
@@ -238,15 +239,13 @@ def auc_by_match(scored: DataFrame, first: str, second: str, target: str) -> Dat
     a = auc(scored, first, target, ("match_id",)).select("match_id", F.col("auc").alias("_a"))
     b = auc(scored, second, target, ("match_id",)).select("match_id", F.col("auc").alias("_b"))
     gap = F.round(F.col("_a") - F.col("_b"), 9)
-    return (
-        a.join(b, "match_id")
-        .where("_a is not null and _b is not null")
-        .select(gap.alias("gap"))
-        .agg(
-            F.count("*").alias("evaluable_matches"),
-            F.count_if(F.col("gap") > 0).alias("first_better"),
-            F.count_if(F.col("gap") < 0).alias("second_better"),
-            F.count_if(F.col("gap") == 0).alias("tied"),
-            F.median("gap").alias("median_difference"),
-        )
-    )
+    gaps = a.join(b, "match_id").where("_a is not null and _b is not null").select(gap.alias("gap"))
+    counts = gaps.agg(
+        F.count("*").alias("evaluable_matches"),
+        F.count_if(F.col("gap") > 0).alias("first_better"),
+        F.count_if(F.col("gap") < 0).alias("second_better"),
+        F.count_if(F.col("gap") == 0).alias("tied"),
+        F.lit(0).alias("_k"),
+    )
+    middle = medians(gaps, "gap").select(F.lit(0).alias("_k"), F.col("median").alias("median_difference"))
+    return counts.join(middle, "_k", "left").drop("_k")

@@ -125,7 +125,7 @@ def _(i: Inputs):
 
 
 # Claims from ``lineitem``; keys repeat and some fields are wrong on purpose.
-part("cl", """select cast(l_orderkey as varchar) || '-' || cast(case when l_linenumber = 7 then 6 else l_linenumber end as varchar) as claim_id, 'team-' || (l_suppkey % 50) as subject,
+part("cl", """select cast(l_orderkey as varchar) || '-' || cast(case when l_linenumber = 7 then 6 else l_linenumber end as varchar) as claim_id, 'team-' || l_suppkey as subject,
   case when l_partkey % 97 = 0 then ' ' else 'coach' end as predicate, l_shipdate as published_at, l_shipdate + interval 2 hour as retrieved_at,
   cast(l_shipdate as date) as valid_from, cast(l_shipdate as date) + cast(l_quantity as int) - 2 as valid_until, l_discount * 11 as confidence,
   case when l_partkey % 89 = 0 then 'http' else 'https' end || '://example.org/' || l_partkey as source_url, l_orderkey, l_linenumber from lineitem""")
@@ -140,7 +140,7 @@ def _claims(i: Inputs):
     day = F.col("l_shipdate").cast("date")
     new = i.table("lineitem").select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), line.cast("string")).alias("claim_id"),
-        F.concat(F.lit("team-"), (F.col("l_suppkey") % 50).cast("string")).alias("subject"),
+        F.concat(F.lit("team-"), F.col("l_suppkey").cast("string")).alias("subject"),
         F.when(F.col("l_partkey") % 97 == 0, " ").otherwise("coach").alias("predicate"), F.lit("somebody").alias("value"),
         day.alias("valid_from"), F.date_add(day, F.col("l_quantity").cast("int") - 2).alias("valid_until"),
         shipped.alias("published_at"), (shipped + F.expr("interval 2 hours")).alias("retrieved_at"),
@@ -163,11 +163,11 @@ def _(i: Inputs):
     return _claims(i)[1]
 
 
-@query("k10_freeze_at_kickoff", """select a.match_id, c.claim_id, a.subject from (select o_orderkey as match_id, 'team-' || (o_custkey % 50) as subject, o_orderdate as kickoff, cast(o_orderdate as date) as day from orders where o_totalprice > 350000) a
+@query("k10_freeze_at_kickoff", """select a.match_id, c.claim_id, a.subject from (select o_orderkey as match_id, 'team-' || o_custkey as subject, o_orderdate as kickoff, cast(o_orderdate as date) as day from orders) a
   join clj c on c.subject = a.subject and reason is null and published_at < kickoff and published_at + interval 3 hour <= kickoff and valid_from <= day and valid_until > day""")
 def _(i: Inputs):
-    asks = i.table("orders").where("o_totalprice > 350000").select(
-        F.col("o_orderkey").alias("match_id"), F.concat(F.lit("team-"), (F.col("o_custkey") % 50).cast("string")).alias("subject"),
+    asks = i.table("orders").select(
+        F.col("o_orderkey").alias("match_id"), F.concat(F.lit("team-"), F.col("o_custkey").cast("string")).alias("subject"),
         F.col("o_orderdate").cast("timestamp").alias("kickoff_utc"), F.col("o_orderdate").cast("date").alias("local_date"),
     )
     return L.freeze_at_kickoff(_claims(i)[0], asks).select("match_id", "claim_id", "subject")

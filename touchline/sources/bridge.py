@@ -21,7 +21,13 @@ def match_events(spark: SparkSession, folder: str) -> DataFrame:
         "event_type",
         "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("es"),
+        # Wall-clock seconds of a zone-less timestamp, whatever the session time zone.
+        (
+            F.unix_date(F.col("ts").cast("date")).cast("bigint") * 86400
+            + F.hour("ts") * 3600
+            + F.minute("ts") * 60
+            + F.second("ts")
+        ).alias("es"),
     )
     # One minute of one match is a block, so a match of any size is numbered in parallel.
     ordered = numbered(

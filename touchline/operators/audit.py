@@ -234,13 +234,14 @@ def entry_quartiles(events: DataFrame) -> DataFrame:
     tied = per_team.groupBy("entries").agg(F.count("*").alias("n")).withColumn("_k", F.lit(0))
     counted = running(tied, ["_k"], ["entries"], F.floor(F.col("entries") / 1024), [Running("upto", "sum", F.col("n"))])
     total = tied.groupBy("_k").agg(F.sum("n").alias("total"))
-    edges = counted.join(total, "_k").groupBy("_k").agg(
+    edges = counted.join(F.broadcast(total), "_k").groupBy("_k").agg(
         *[
             F.min(F.when(F.col("upto") > F.floor(F.col("total") * k / 4), F.col("entries"))).alias(f"edge{k}")
             for k in (1, 2, 3)
         ]
     )
-    rows = per_team.withColumn("_k", F.lit(0)).join(edges, "_k")
+    # A single row of edges.
+    rows = per_team.withColumn("_k", F.lit(0)).join(F.broadcast(edges), "_k")
     above = sum(((F.col("entries") > F.col(f"edge{k}")).cast("int") for k in (1, 2, 3)), F.lit(0))
     return rows.select("match_id", "team_id", "entries", (above + 1).alias("quartile"))
 
@@ -388,7 +389,7 @@ def candidate_summary(candidates: DataFrame, matches: DataFrame, *, default_marg
         F.count_if(F.col("gap_with_penalties") >= default_margin).alias("still_at_margin_with_penalties"),
     )
     total = matches.agg(F.count("*").alias("matches")).withColumn("_k", F.lit(0))
-    return summary.join(per_match, "margin").withColumn("_k", F.lit(0)).join(total, "_k").drop("_k")
+    return summary.join(per_match, "margin").withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").drop("_k")
 
 
 def moment_category(candidates: DataFrame) -> DataFrame:

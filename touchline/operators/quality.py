@@ -43,7 +43,7 @@ def event_facts(events: DataFrame, matches: DataFrame) -> DataFrame:
     # parallel inside one match.
     teams = F.array(*[F.col(f"{s}_team_id") for s in ("home", "away")])
     per_sequence = events.groupBy("match_id", "sequence").agg(
-        F.count("*").alias("n"), F.count_if(off).alias("off"), F.collect_set("team_id").alias("teams")
+        F.count("*").alias("n"), F.count_if(off).alias("off")
     )
     per_match = per_sequence.groupBy("match_id").agg(
         F.sum("n").alias("event_count"), F.count("*").alias("distinct_sequences"),

@@ -23,6 +23,11 @@ def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
+def _per_group(small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per group; without groups that is a single row, which is safe to broadcast."""
+    return F.broadcast(small) if list(keys) == ["_all"] else small
+
+
 def value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Distinct values with their count and the number of rows up to them.
 
@@ -108,7 +113,7 @@ def spearman_cluster_interval(
     whole = per.groupBy(*keys).agg(F.count("*").alias("matches"), *[F.sum(c).cast(WIDE).alias(c) for c in SUMS])
     draws = (
         indexed.select(*keys, "i")
-        .join(whole.select(*keys, "matches"), keys)
+        .join(_per_group(whole.select(*keys, "matches"), keys), keys)
         .withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
         .groupBy(*keys, "r", (text_hash(F.lit(seed), F.col("r"), F.col("i")) % F.col("matches") + 1).alias("i"))
         .agg(F.count("*").cast(WIDE).alias("times"))
@@ -138,7 +143,7 @@ def quantiles(df: DataFrame, value: str, spots: dict[str, float], by: Sequence[s
     counted = value_counts(rows, value, keys)
     totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
     place = lambda f: F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(f)))
-    found = counted.join(totals, keys).groupBy(*keys).agg(
+    found = counted.join(_per_group(totals, keys), keys).groupBy(*keys).agg(
         *[F.min(F.when(F.col("upto") > place(f), F.col("value"))).alias(name) for name, f in spots.items()]
     )
     return found if by else found.drop("_all")
@@ -150,7 +155,7 @@ def medians(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     counted = value_counts(rows, value, keys)
     totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
     middle = lambda shift: F.min(F.when(F.col("upto") > F.floor((F.col("total") - shift) / 2), F.col("value")))
-    found = counted.join(totals, keys).groupBy(*keys).agg(((middle(1) + middle(0)) / 2).alias("median"))
+    found = counted.join(_per_group(totals, keys), keys).groupBy(*keys).agg(((middle(1) + middle(0)) / 2).alias("median"))
     return found if by else found.drop("_all")
 
 
@@ -170,8 +175,7 @@ def binned(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Bin 0-4 by the 20/40/60/80% cut values; ties stay together."""
     rows, keys = _grouped(df.where(F.col(value).isNotNull()), by)
     above = sum(((F.col(value) > F.col(c)).cast("int") for c in CUTS), F.lit(0))
-    # One row of cuts per group, joined by key; AQE broadcasts it when it is small.
-    return rows.join(quantiles(rows, value, CUTS, keys), keys).withColumn("bin", above).drop(*CUTS, "_all")
+    return rows.join(_per_group(quantiles(rows, value, CUTS, keys), keys), keys).withColumn("bin", above).drop(*CUTS, "_all")
 
 
 def _exact(c) -> Column:
@@ -266,7 +270,7 @@ def tilt_sensitivity(pairs: DataFrame, minimums: Sequence[int] = (1, 5, 10, 20),
 def counterexamples(pairs: DataFrame) -> DataFrame:
     """Counts of the strongest entry changes with the opposite outcome."""
     cuts = quantiles(pairs, "entries_change", {"top_cut": 0.9, "bottom_cut": 0.1}).withColumn("_k", F.lit(0))
-    rows = pairs.withColumn("_k", F.lit(0)).join(cuts, "_k")
+    rows = pairs.withColumn("_k", F.lit(0)).join(F.broadcast(cuts), "_k")
     top, bottom = F.col("entries_change") >= F.col("top_cut"), F.col("entries_change") <= F.col("bottom_cut")
     return rows.groupBy("top_cut", "bottom_cut").agg(
         F.count_if(top).alias("top_pairs"),
@@ -280,7 +284,7 @@ def counterexamples(pairs: DataFrame) -> DataFrame:
 def counterexample_rows(pairs: DataFrame, size: int = 6, most_shots: int = 0) -> DataFrame:
     """The largest entry windows of the top decile with no (or few) shots: a ranked short list."""
     cuts = quantiles(pairs, "entries_change", {"top_cut": 0.9}).withColumn("_k", F.lit(0))
-    rows = pairs.withColumn("_k", F.lit(0)).join(cuts, "_k").where(
+    rows = pairs.withColumn("_k", F.lit(0)).join(F.broadcast(cuts), "_k").where(
         (F.col("entries_change") >= F.col("top_cut")) & (F.col("shots_after") <= most_shots)
     )
     return rows.orderBy(F.col("entries_after").desc(), "match_id", "team_id", "period", "window_index").limit(size).drop("_k", "top_cut")

@@ -63,15 +63,15 @@ def _(i: Inputs):
     return P.review_sample(_promoted(i), core, seed=20260928)
 
 
-@query("k4_select_development", "select distinct w.match_id from (select l_orderkey + 2 as match_id from lineitem where l_quantity > 48) w join osp using (match_id) where bucket = 'development'")
+@query("k4_select_development", "select distinct w.match_id from (select l_orderkey + 2 as match_id from lineitem) w join osp using (match_id) where bucket = 'development'")
 def _(i: Inputs):
-    wanted = i.table("lineitem").where("l_quantity > 48").select((F.col("l_orderkey") + 2).alias("match_id"))
+    wanted = i.table("lineitem").select((F.col("l_orderkey") + 2).alias("match_id"))
     return P.select_development(_split(i), wanted)[0]
 
 
-@query("k4_refused_matches", "select distinct w.match_id, coalesce(bucket, 'unknown') as reason from (select l_orderkey + 2 as match_id from lineitem where l_quantity > 48) w left join osp using (match_id) where bucket is distinct from 'development'")
+@query("k4_refused_matches", "select distinct w.match_id, coalesce(bucket, 'unknown') as reason from (select l_orderkey + 2 as match_id from lineitem) w left join osp using (match_id) where bucket is distinct from 'development'")
 def _(i: Inputs):
-    wanted = i.table("lineitem").where("l_quantity > 48").select((F.col("l_orderkey") + 2).alias("match_id"))
+    wanted = i.table("lineitem").select((F.col("l_orderkey") + 2).alias("match_id"))
     return P.select_development(_split(i), wanted)[1]
 
 
@@ -118,9 +118,9 @@ def _(i: Inputs):
     return L.compare_fingerprints(one, other)
 
 
-@query("k8_leak_check", "select distinct l_orderkey as match_id, bucket from lineitem left join (select * from osp where match_id % 7 <> 0) on match_id = l_orderkey where l_quantity > 48 and bucket is distinct from 'development'")
+@query("k8_leak_check", "select distinct l_orderkey as match_id, bucket from lineitem left join (select * from osp where match_id % 7 <> 0) on match_id = l_orderkey where bucket is distinct from 'development'")
 def _(i: Inputs):
-    matches = i.table("lineitem").where("l_quantity > 48").select(F.col("l_orderkey").alias("match_id")).distinct()
+    matches = i.table("lineitem").select(F.col("l_orderkey").alias("match_id")).distinct()
     return P.leak_check(matches, _split(i).where("match_id % 7 <> 0"))
 
 

@@ -234,11 +234,11 @@ def _(i: Inputs):
     return R.read_lineups(i.spark, path).select("match_id", "team_id", "p.player_id", "p.player_name", F.size("p.positions").alias("positions"))
 
 
-@query("a3_read_match_index", "select match_id, competition_id, season_id, strftime(o_orderdate, '%Y-%m-%d') as match_date from oidx where exists (select 1 from lineitem where l_orderkey = match_id and l_quantity > 45)")
+@query("a3_read_match_index", "select match_id, competition_id, season_id, strftime(o_orderdate, '%Y-%m-%d') as match_date from oidx where exists (select 1 from lineitem where l_orderkey + 3 = match_id)")
 def _(i: Inputs):
     path = new_folder(i.spark, "index")
     documents(i).index_records.withColumn("season", F.expr("get_json_object(record, '$.season.season_id')")).write.partitionBy("season").text(path)
-    wanted = i.table("lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("match_id")).distinct()
+    wanted = i.table("lineitem").select((F.col("l_orderkey") + 3).alias("match_id")).distinct()
     m = lambda p: F.col(f"m.{p}")
     return R.read_match_index(i.spark, path, wanted, lines=True).select(
         m("match_id").alias("match_id"), m("competition.competition_id").alias("competition_id"), m("season.season_id").alias("season_id"), m("match_date").alias("match_date"),

@@ -68,3 +68,32 @@ def test_formation_fact_needs_a_change(spark):
         " formation string, player_off_id int, player_on_id int")
     found = [(r["sequence"], r["kind"], r["previous_formation"], r["previous_event_id"]) for r in D.recorded_facts(df).orderBy("sequence").collect()]
     assert found == [(1, "lineup", None, None), (9, "formation_change", "442", "5")]
+
+
+def test_pairing_takes_the_nearest_first(spark):
+    from touchline.operators.audit import variant_pairing
+
+    schema = "match_id int, team_id int, channel string, period int, sequence int, elapsed_seconds int"
+    side = lambda *rows: spark.createDataFrame([(1, 1, "left", 1, s, e) for s, e in rows], schema)
+    found = variant_pairing(side((1, 0), (2, 700), (3, 3000)), side((10, 600), (11, 1300), (12, 5000)))
+    got = {(r["state"], r["current_sequence"], r["variant_sequence"], r["delay"]) for r in found.collect()}
+    assert got == {
+        ("paired", 2, 10, -100), ("lost", 1, None, None), ("lost", 3, None, None),
+        ("new", None, 11, None), ("new", None, 12, None),
+    }
+
+
+def test_replay_positions_are_laid_end_to_end(spark):
+    recorded = spark.createDataFrame(
+        [(1, 1, 0, 0, 47, 0), (1, 2, 45, 0, 93, 0)],
+        "match_id int, period int, start_minute int, start_second int, end_minute int, end_second int",
+    )
+    periods = K.timeline(recorded)
+    items = spark.createDataFrame(
+        [(1, 1, 50, 0), (1, 2, 45, 30), (1, 2, 44, 0), (1, 3, 0, 0)], "match_id int, period int, minute int, second int"
+    )
+    found = {(r["period"], r["minute"]): r["position"] for r in K.with_position(items, periods).collect()}
+    assert found == {(1, 50): 2820, (2, 45): 2850, (2, 44): 2820, (3, 0): 5700}
+    asks = spark.createDataFrame([(1, p) for p in (-5, 2820, 2821, 99999)], "match_id int, position bigint")
+    clocks = {r["position"]: (r["period"], r["minute"], r["second"]) for r in K.clock_at(asks, periods).collect()}
+    assert clocks == {-5: (1, 0, 0), 2820: (1, 47, 0), 2821: (2, 45, 1), 99999: (2, 93, 0)}

@@ -274,7 +274,7 @@ def threshold_cards(windows: DataFrame, grid: Sequence[tuple[int, int, int]] = G
     return greedy_cooldown(found, cooldown_seconds, ["setting", "match_id", "team_id", "period"])
 
 
-def threshold_sweep(cards: DataFrame, matches: int | Column | None = None) -> DataFrame:
+def threshold_sweep(cards: DataFrame) -> DataFrame:
     per_team = cards.groupBy("setting", "match_id", "team_id").agg(F.count("*").alias("c"))
     return per_team.groupBy("setting").agg(F.sum("c").alias("cards"), F.count("*").alias("team_matches_with_a_card"))
 

@@ -208,7 +208,7 @@ def percent_change(c: str) -> Column:
     return F.coalesce(F.floor((200 * top + bottom) / (2 * bottom)), F.lit(0)).cast("bigint")
 
 
-def clock_line(entry: bool = True) -> Column:
+def clock_line() -> Column:
     return _text("period ", F.col("period"), ", ", clock_text("minute", "second"))
 
 

@@ -75,14 +75,8 @@ def side_shift_windows(
     else:
         rows = per_side(events)
         own = entry & (F.col("actor_id") == F.col("team_id"))
-        also = [
-            Running(
-                "last_entry",
-                "max",
-                F.when(own, F.struct("sequence", "period", "elapsed_seconds")),
-                ("team_id",),
-            )
-        ]
+        last = F.when(F.col("_own"), F.struct("sequence", "period", "elapsed_seconds"))
+        also = [Running("last_entry", "max", last, ("team_id",))]
     rows = with_period_start(events, rows).select(
         *POSITION,
         "minute",
@@ -91,13 +85,6 @@ def side_shift_windows(
         F.when(own, channel("end_y")).alias("entry_channel"),
         *([] if fire_on_own_entry else ["actor_id", own.alias("_own")]),
     )
-    if not fire_on_own_entry:
-        also[0] = Running(
-            "last_entry",
-            "max",
-            F.when(F.col("_own"), F.struct("sequence", "period", "elapsed_seconds")),
-            ("team_id",),
-        )
     found = prefix_window(
         rows,
         {c: _flag(F.col("entry_channel") == c) for c in CHANNELS},

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.operators.quality import text
 
 
 def run_id(parts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -143,7 +142,3 @@ def freeze_at_kickoff(claims: DataFrame, asks: DataFrame) -> DataFrame:
         & F.coalesce(F.col("valid_until") > day, F.lit(True))
     )
     return asks.join(claims, "subject").where(known)
-
-
-def provenance_line(run: str, tables: DataFrame) -> DataFrame:
-    return tables.select(text("run ", F.lit(run), ": ", F.col("table_name"), " ", F.col("rows"), " rows ", F.col("content")).alias("line"))

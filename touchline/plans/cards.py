@@ -9,7 +9,7 @@ from touchline.operators import detect as D
 from touchline.operators import score as S
 from touchline.plans.derived import CHANNEL
 from touchline.plans.inputs import Inputs, landed
-from touchline.plans.registry import num, nums, part, query
+from touchline.plans.registry import num, part, query
 
 # Thresholds low enough for cards to appear on the given tables; the functions keep their own.
 SHIFT = dict(minimum_recent=4, minimum_baseline=6)

@@ -38,7 +38,6 @@ class Documents:
     def records(self) -> DataFrame:
         named = lambda id_, name: F.struct(id_.alias("id"), name.alias("name"))
         text = lambda expression: F.expr(expression)
-        only = lambda name: F.lit(0).cast("int") if name is None else F.lit(0)
         kind, p = F.col("_type"), F.col("player_id")
         label = lambda c: F.when(c.isNotNull(), named(F.lit(1), c))
         player = lambda c: named(c, F.concat(F.lit("Player "), c.cast("string")))

@@ -98,6 +98,7 @@ def test_event_array_files_are_read_and_judged(spark, tmp_path):
         record(4, "Shot", shot={"type": {"name": "Penalty"}, "outcome": {"name": "Goal"}, "statsbomb_xg": 0.78, "end_location": [120.0, 40.0, 1.0]}),
         record(5, "Own Goal For"),
         record(6, "Teleport"),
+        record(11, **{"pass": {"end_location": [90.0, 20.0], "outcome": None}}),
         record(7, **{"pass": {"end_location": [1.0]}}),
         record(8, location=None),
         record(9, "Starting XI", tactics={"formation": 442, "lineup": eleven[:10] + eleven[:1]}),
@@ -107,7 +108,7 @@ def test_event_array_files_are_read_and_judged(spark, tmp_path):
     (tmp_path / "77.json").write_text(json.dumps(records))
     parsed = R.read_events(spark, str(tmp_path))
     good = {r["sequence"]: r for r in N.normalize_events(parsed).collect()}
-    assert sorted(good) == [1, 2, 3, 4, 5] and {r["match_id"] for r in good.values()} == {77}
+    assert sorted(good) == [1, 2, 3, 4, 5, 11] and not good[11]["completed"] and {r["match_id"] for r in good.values()} == {77}
     assert good[2]["completed"] and good[2]["open_play"]
     assert not good[3]["completed"] and not good[3]["open_play"] and good[3]["set_piece_type"] == "Corner"
     assert good[4]["penalty"] and good[4]["scores_goal"] and good[4]["shot_end_z"] == 1.0

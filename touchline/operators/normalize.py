@@ -89,6 +89,12 @@ def normalize_events(parsed: DataFrame) -> DataFrame:
     open_pass = e("pass.type").isNull() | e("pass.type.name").isin(*OPEN_PASSES)
     end = lambda i: F.when(is_pass, at("pass.end_location", i)).when(is_carry, at("carry.end_location", i))
     own_goal = e("type.name") == "Own Goal For"
+    # A typed field cannot tell a null outcome from no outcome; look at the keys only where
+    # the text has such a null.
+    keys = F.json_object_keys(F.get_json_object("record", "$.pass"))
+    null_outcome = F.col("record").rlike(r'"outcome"\s*:\s*null') & F.coalesce(
+        F.array_contains(keys, "outcome"), F.lit(False)
+    )
     return checked_events(parsed).where(F.size("reasons") == 0).select(
         "match_id",
         e("id").alias("event_id"),
@@ -110,7 +116,7 @@ def normalize_events(parsed: DataFrame) -> DataFrame:
         end(0).alias("end_x"),
         end(1).alias("end_y"),
         # Any recorded outcome, even an unknown one, means not completed.
-        F.when(is_pass, e("pass.outcome").isNull()).when(is_carry, True).alias("completed"),
+        F.when(is_pass, e("pass.outcome").isNull() & ~null_outcome).when(is_carry, True).alias("completed"),
         F.when(is_pass, open_pass).when(is_carry, True).when(is_shot, e("shot.type.name") == "Open Play").alias("open_play"),
         F.when(is_pass & ~open_pass, e("pass.type.name")).alias("set_piece_type"),
         e("pass.type.name").alias("pass_type"),

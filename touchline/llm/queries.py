@@ -8,21 +8,70 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, toxicity
+from touchline.llm import byte_bpe, decontam, pii, quality_rules, toxicity
 from touchline.llm.base import fold_of, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality_rules.ledger(table(spark, folder, "documents"), "doc_id")
+    kept = quality_rules.apply_policy(rows, quality_rules.STANDARD)
+    return kept.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~quality_rules.passes(quality_rules.BASE)).alias("base_failed"), "kept", "failed", "policy",
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), "doc_id")
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents"), "doc_id")
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[number(k) for k in pii.KINDS],
+        F.sha2(pii.joined("base").cast("binary"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"),
+    )
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     scored = toxicity.score(docs, toxicity.learn(docs, labels), "doc_id")
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "n_hits")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_byte_bpe, op10_toxicity)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op4_byte_bpe, op5_pii, op6_decontamination, op10_toxicity)}
+
+_MATCH = "[^\\x20\\x09-\\x0D]+"
+
+SQL: dict[str, str] = {
+    "op2_quality_rules": f"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_MATCH}') as w from documents),
+lines as (
+    select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+    from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '{_MATCH}') group by doc_id
+),
+wins as (select doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') as win from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d)),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, win) as n from wins) where n > 1),
+again as (select doc_id, count(distinct i + k) as n from twice, range(5) r(k) group by doc_id),
+m as (
+    select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+        length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_upper,
+        coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(again.n, 0) as n_repeat_words
+    from d left join lines using (doc_id) left join again using (doc_id)
+),
+f as (
+    select *, (n_words < 10)::int + 2 * (100 * n_repeat_words > 20 * n_words)::int + 4 * (100 * n_symbols > 10 * n_words)::int
+        + 8 * (100 * n_dup_lines > 30 * n_lines)::int + 16 * (word_chars < 2 * n_words or word_chars > 15 * n_words)::int
+        + 32 * (2 * n_upper > word_chars)::int as failed from m
+)
+select doc_id, n_words, word_chars::bigint as word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 > 0 as base_failed,
+    failed = 0 as kept, failed::bigint as failed, 'standard-1' as policy from f""",
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, decontam, pii, quality_rules, toxicity
+from touchline.llm import byte_bpe, decontam, ngram_join, pii, quality_rules, toxicity
 from touchline.llm.base import fold_of, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -40,13 +40,17 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     scored = toxicity.score(docs, toxicity.learn(docs, labels), "doc_id")
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "n_hits")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op4_byte_bpe, op5_pii, op6_decontamination, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op4_byte_bpe, op5_pii, op6_decontamination, op8_ngram_join, op10_toxicity)}
 
 _MATCH = "[^\\x20\\x09-\\x0D]+"
 

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, decontam, ngram_join, pii, quality_rules, toxicity
-from touchline.llm.base import fold_of, table
+from touchline.llm import byte_bpe, decontam, ngram_join, pii, quality_rules, secret_scan, sharding, token_counts, toxicity
+from touchline.llm.base import cut_lineage, fold_of, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -23,6 +23,21 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after three batches over all documents: first counts, a second tokenizer version, then edits and deletions."""
+    docs = table(spark, folder, "documents")
+    book = token_counts.Book(spark, token_counts.new_book(spark))
+    every = docs.select("doc_id", "source", "lang", "text")
+    for version in token_counts.COUNTERS:
+        book.commit(f"load-{version}", token_counts.counted(every, version))
+    gone = F.col("doc_id") % 10 == 3
+    edited = every.where((F.col("doc_id") % 10 == 7) & ~gone).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" one more line")))
+    changes = token_counts.counted(edited, "words-1").unionByName(token_counts.removed(every.where(gone), "words-1"))
+    book.commit("edit-1", changes)
+    book.commit("edit-1", changes)  # a repeated commit changes nothing
+    return book.totals()
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), "doc_id")
 
@@ -40,21 +55,48 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.find(table(spark, folder, "documents"), "doc_id")
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[number(k) for k in secret_scan.KINDS],
+        F.sha2(pii.joined("base").cast("binary"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"),
+    )
+
+
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents"))
 
 
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """A shard for each document, and the one it would have after one shard more."""
+    docs = table(spark, folder, "documents").select("doc_id")
+    now = sharding.place(docs, "doc_id", [f"shard-{i:03d}" for i in range(64)])
+    return sharding.place(now, "doc_id", [f"shard-{i:03d}" for i in range(65)], name="next_shard").select("doc_id", "slot", "shard", "next_shard")
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     scored = toxicity.score(docs, toxicity.learn(docs, labels), "doc_id")
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "n_hits")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op4_byte_bpe, op5_pii, op6_decontamination, op8_ngram_join, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op2_quality_rules, op3_token_counts, op4_byte_bpe, op5_pii, op6_decontamination, op7_secret_scan, op8_ngram_join, op9_sharding, op10_toxicity,
+)}
 
 _MATCH = "[^\\x20\\x09-\\x0D]+"
 
 SQL: dict[str, str] = {
+    "op3_token_counts": f"""
+with d as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, coalesce(text, '') as text from documents),
+w as (select *, len(regexp_extract_all(text, '{_MATCH}')) as n from d),
+v as (
+    select source, lang, 'words-1' as tokenizer, n + case when doc_id % 10 = 7 then 3 else 0 end as tokens from w where doc_id % 10 is distinct from 3
+    union all
+    select source, lang, 'bytes4-1', cast(ceil(octet_length(encode(text)) / 4.0) as bigint) from d
+)
+select source, lang, tokenizer, count(*) as documents, sum(tokens)::bigint as tokens from v group by all""",
     "op2_quality_rules": f"""
 with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_MATCH}') as w from documents),
 lines as (

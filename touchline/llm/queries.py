@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, decontam, ngram_join, pii, quality_rules, secret_scan, sharding, token_counts, toxicity
+from touchline.llm import byte_bpe, decontam, ngram_join, pii, quality_rules, secret_scan, sharding, suffix_dedup, token_counts, toxicity
 from touchline.llm.base import cut_lineage, fold_of, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality_rules.ledger(table(spark, folder, "documents"), "doc_id")
     kept = quality_rules.apply_policy(rows, quality_rules.STANDARD)
@@ -82,7 +86,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_quality_rules, op3_token_counts, op4_byte_bpe, op5_pii, op6_decontamination, op7_secret_scan, op8_ngram_join, op9_sharding, op10_toxicity,
+    op1_suffix_dedup, op2_quality_rules, op3_token_counts, op4_byte_bpe, op5_pii, op6_decontamination, op7_secret_scan, op8_ngram_join, op9_sharding, op10_toxicity,
 )}
 
 _MATCH = "[^\\x20\\x09-\\x0D]+"

@@ -15,7 +15,7 @@ from touchline.session import cut_lineage
 __all__ = ["chunks", "cut_lineage", "fold_of", "over_texts", "raw", "table"]
 
 # Bytes of text that a helper works on at once; one longer text is worked on whole.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,8 +23,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def raw(docs: DataFrame, *keep: str) -> DataFrame:
-    """The identifier, the text as bytes and ``keep``; other columns, whatever their names, stay behind."""
-    return docs.select(*keep, F.col("text").cast("binary").alias("text"))
+    """``keep`` as ``_0``, ``_1`` and so on, then the text as bytes; other columns, whatever their names, stay behind."""
+    return docs.select(*[docs[f"`{c}`"].alias(f"_{i}") for i, c in enumerate(keep)], docs["text"].cast("binary").alias("_text"))
 
 
 def fold_of(key: Column, folds: int = 5) -> Column:
@@ -50,7 +50,8 @@ def over_texts(docs: DataFrame, work: Callable[[list[bytes]], dict[str, list]],
     ``work`` gets texts of one Arrow batch, about ``CHUNK_BYTES`` at a time, and returns a list per new column.
     """
     source = raw(docs, *keep)
-    types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema).fields]
+    new = StructType.fromDDL(schema).fields
+    types = [to_arrow_type(f.dataType) for f in new]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,6 +61,8 @@ def over_texts(docs: DataFrame, work: Callable[[list[bytes]], dict[str, list]],
                 made = work(texts[a:b])
                 kept = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 columns = [pa.array(v, t) for v, t in zip(made.values(), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(kept + columns, names=[*keep, *made])
+                yield pa.RecordBatch.from_arrays(kept + columns, names=names)
 
-    return source.mapInArrow(run, ", ".join([*fields, schema]))
+    made_fields = [f"`_m{i}` {f.dataType.simpleString()}" for i, f in enumerate(new)]
+    names = [f"_{i}" for i in range(len(keep))] + [f"_m{i}" for i in range(len(new))]
+    return source.mapInArrow(run, ", ".join([*fields, *made_fields])).toDF(*keep, *[f.name for f in new])

@@ -217,22 +217,38 @@ def joined(spans: str):
 
 
 def mask(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` with ``text`` in which each span is replaced by its kind in angle brackets."""
-    found = find(docs.select(*keep, "text"), *keep, "text")
+    """``keep`` with ``masked``: the text with each span replaced by its kind in angle brackets.
+
+    The classifier is trained on counts over all documents; texts are then read again and their candidates found anew, so texts
+    neither move nor are stored.
+    """
+    found = candidates(docs, "doc_id")
+    patterns = found.select(F.inline("candidates")).groupBy("kind", "votes", "features").agg(F.count("*").alias("n"))
+    shared = docs.sparkSession.sparkContext.broadcast(train([tuple(r) for r in patterns.collect()]))
 
     def work(texts: list[bytes]) -> dict[str, list]:
-        return {"masked": [_replace(*t.decode("utf-8", "replace").split("\x00", 1)) for t in texts]}
+        out = []
+        for raw_text in texts:
+            text = raw_text.decode("utf-8", "replace")
+            base = strict(text)
+            more = [s for s in loose(text, base) if accepted(describe(text, *s, False), shared.value)]
+            out.append(_replace([*base, *more], text))
+        return {"masked": out}
+
+    return over_texts(docs, work, "masked string", *keep)
+
 
-    packed = found.withColumn("text", F.concat(joined("spans"), F.lit("\x00"), F.coalesce("text", F.lit(""))))
-    return over_texts(packed, work, "masked string", *keep)
+def accepted(candidate: dict, weights: dict[str, list[float]], threshold: float = 0.5) -> bool:
+    own = weights.get(candidate["kind"])
+    return own is not None and 1 / (1 + np.exp(-(own[0] + sum(w for w, f in zip(own[1:], candidate["features"], strict=True) if f == "1")))) >= threshold
 
 
-def _replace(spans: str, text: str) -> str:
+def _replace(spans: list[tuple[str, int, int]], text: str) -> str:
     out, last = [], 0
-    for kind, a, b in sorted((s.split(":") for s in spans.split(",") if s), key=lambda s: int(s[1])):
-        if int(a) < last:  # inside one already replaced
-            last = max(last, int(b))
+    for kind, a, b in sorted(spans, key=lambda s: s[1:]):
+        if a < last:  # overlaps one already replaced
+            last = max(last, b)
             continue
-        out += [text[last : int(a)], f"<{kind}>"]
-        last = int(b)
+        out += [text[last:a], f"<{kind}>"]
+        last = b
     return "".join(out) + text[last:]

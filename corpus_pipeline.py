@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages: each takes documents and returns documents, the last one their tokens."""
+"""A corpus pipeline of five stages: each takes documents and returns documents, the last one their tokens.
+
+Every stage works on what its predecessor kept. The first four return the columns of ``documents``. Null texts pass through the
+filters as empty texts; an empty table gives empty tables with the same columns.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +10,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, toxicity
+from touchline.llm import byte_bpe, decontam, ngram_join, pii, toxicity
 from touchline.llm.base import cut_lineage, table
 from touchline.llm.queries import VOCABULARY
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the classifier does not reject. Learned from all documents of the folder, applied to ``docs``."""
+    """Documents that the classifier does not reject. Learned from the documents and labels of the folder, applied to ``docs``."""
     model = toxicity.learn(table(spark, folder, "documents"), table(spark, folder, "labels"))
-    return toxicity.score(docs, model, *docs.columns).where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs, model, *docs.columns).toDF(*docs.columns, "_score", "_predicted", "_hits")
+    return scored.where("_predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least identifier. Empty documents have no duplicates."""
+    found = ngram_join.join(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without a verified overlap with the benchmark."""
+    found = decontam.overlaps(docs, table(spark, folder, "benchmark"), *docs.columns).toDF(*docs.columns, "_words", "_overlaps")
+    return found.where(F.size("_overlaps") == 0).select(*docs.columns)
+
+
+def mask_private(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents; personal data is replaced by its kind in angle brackets, and ``n_chars`` follows the new text."""
+    masked = pii.mask(docs, *docs.columns).toDF(*docs.columns, "_masked")
+    new = F.when(F.col("text").isNotNull(), F.col("_masked"))
+    return masked.withColumns({"text": new, "n_chars": F.length(new).cast("bigint")}).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -22,7 +46,13 @@ def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path(VOCABULARY), "doc_id")
 
 
-STAGES = [("toxicity", drop_toxic), ("byte_bpe", tokenize)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", mask_private),
+    ("byte_bpe", tokenize),
+]
 
 # Learned scores and merges are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None

@@ -15,6 +15,6 @@ def half_up_percent(numerator: Column, denominator: Column) -> Column:
 
 
 def text_hash(*parts) -> Column:
-    """A 32-bit number from the md5 of ``a:b:c``; the same in every engine."""
+    """A 60-bit number from the md5 of ``a:b:c``; the same in every engine."""
     text = F.concat_ws(":", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

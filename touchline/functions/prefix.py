@@ -285,8 +285,14 @@ def greedy_cooldown(
     The limit only rises, so once one candidate of a given second was kept or dropped every
     later one with the same or a lower clock is dropped too. The first candidate of each
     second is therefore enough, which bounds the ordered scan by the seconds of a period.
+    Without a cooldown every candidate not earlier than all before it is kept. A negative one is an error.
     """
     keys = list(keys)
+    if seconds < 0:
+        raise ValueError("a cooldown cannot be negative")
+    if seconds == 0:
+        latest = running(candidates, keys, ["sequence"], sequence_block(), [Running("_latest", "max", F.col("elapsed_seconds"))])
+        return latest.where("elapsed_seconds >= _latest").select(*candidates.columns)
     rest = [c for c in candidates.columns if c not in keys]
     row = F.struct("sequence", "elapsed_seconds", *[c for c in rest if c not in ("sequence", "elapsed_seconds")])
     firsts = candidates.groupBy(*keys, "elapsed_seconds").agg(F.min_by(row, "sequence").alias("_row"))

@@ -215,10 +215,15 @@ def is_burst_shot() -> Column:
     return (F.col("event_type") == "shot") & ~F.coalesce(F.col("penalty"), F.lit(False))
 
 
-PERIODS = (1, 2, 3, 4, 5)
+def _periods(events: DataFrame, most: int = 64) -> list[int]:
+    """The periods that occur; a handful by nature, so more than ``most`` is taken for a broken feed."""
+    found = sorted(r["period"] for r in events.select("period").where("period is not null").distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} different periods")
+    return found or [1]
 
 
-def _period_clock(events: DataFrame) -> tuple[DataFrame, list[Running]]:
+def _period_clock(events: DataFrame, periods: list[int]) -> tuple[DataFrame, list[Running]]:
     """Period starts per match as columns, and the latest clock of each period so far."""
     starts = events.groupBy("match_id").agg(
         *[
@@ -226,28 +231,28 @@ def _period_clock(events: DataFrame) -> tuple[DataFrame, list[Running]]:
                 F.when(F.col("period") == p, F.col("elapsed_seconds")),
                 F.when(F.col("period") == p, F.col("sequence")),
             ).alias(f"start_{p}")
-            for p in PERIODS
+            for p in periods
         ]
     )
     latest = [
         Running(f"latest_{p}", "max", F.when(F.col("period") == p, F.col("elapsed_seconds")))
-        for p in PERIODS
+        for p in periods
     ]
     return starts, latest
 
 
-def _own_start() -> Column:
-    return F.coalesce(*[F.when(F.col("period") == p, F.col(f"start_{p}")) for p in PERIODS])
+def _own_start(periods: list[int]) -> Column:
+    return F.coalesce(*[F.when(F.col("period") == p, F.col(f"start_{p}")) for p in periods])
 
 
-def _earlier_periods() -> Column:
+def _earlier_periods(periods: list[int]) -> Column:
     return sum(
         (
             F.when(
                 F.col("period") > p,
                 F.coalesce(F.col(f"latest_{p}") - F.col(f"start_{p}"), F.lit(0)),
             ).otherwise(0)
-            for p in PERIODS[:-1]
+            for p in periods[:-1]
         ),
         F.lit(0),
     )
@@ -258,12 +263,13 @@ def earlier_playing_seconds(
 ) -> DataFrame:
     """Playing time before the recent window, over every period so far."""
     trigger = is_burst_shot() if trigger is None else trigger
-    starts, latest = _period_clock(events)
+    periods = _periods(events)
+    starts, latest = _period_clock(events, periods)
     rows = join_small(events, starts, ["match_id"])
     seen = running(rows, ["match_id"], ["sequence"], sequence_block(), latest)
     return seen.where(trigger).select(
         *POSITION,
-        (_earlier_periods() + F.col("elapsed_seconds") - window_seconds - _own_start()).alias(
+        (_earlier_periods(periods) + F.col("elapsed_seconds") - window_seconds - _own_start(periods)).alias(
             "earlier_seconds"
         ),
     )
@@ -271,13 +277,14 @@ def earlier_playing_seconds(
 
 def burst_windows(events: DataFrame, *, window_seconds: int = 600, **tuning) -> DataFrame:
     """Recent and earlier shots and entries, and earlier playing time, at each counted shot."""
-    starts, latest = _period_clock(events)
+    periods = _periods(events)
+    starts, latest = _period_clock(events, periods)
     rows = join_small(events, starts, ["match_id"]).select(
         *POSITION,
         "minute",
         "second",
-        _own_start().alias("period_start"),
-        *[f"start_{p}" for p in PERIODS],
+        _own_start(periods).alias("period_start"),
+        *[f"start_{p}" for p in periods],
         _flag(is_burst_shot()).alias("_shot"),
         _flag(is_final_third_entry()).alias("_entry"),
     )
@@ -290,7 +297,7 @@ def burst_windows(events: DataFrame, *, window_seconds: int = 600, **tuning) ->
         also=latest,
         **tuning,
     )
-    earlier = _earlier_periods() + F.col("elapsed_seconds") - window_seconds - F.col("period_start")
+    earlier = _earlier_periods(periods) + F.col("elapsed_seconds") - window_seconds - F.col("period_start")
     return found.select(
         *POSITION,
         "minute",
@@ -515,13 +522,14 @@ def chances_checks(
     **tuning,
 ) -> DataFrame:
     """Shot rate of the window against the earlier rate, at every event and side."""
-    starts, _ = _period_clock(events)
+    periods = _periods(events)
+    starts, _ = _period_clock(events, periods)
     shot = (F.col("event_type") == "shot") & (F.col("period") != 5)
     rows = join_small(per_side(events), starts, ["match_id"]).select(
         *POSITION,
         "minute",
-        _own_start().alias("period_start"),
-        *[f"start_{p}" for p in PERIODS],
+        _own_start(periods).alias("period_start"),
+        *[f"start_{p}" for p in periods],
         _flag(shot & (F.col("actor_id") == F.col("team_id"))).alias("_shot"),
     )
     # Here a period ends at its last clock by sequence, not at its largest one.
@@ -529,7 +537,7 @@ def chances_checks(
         Running(
             f"last_{p}", "max", F.when(F.col("period") == p, F.struct("sequence", "elapsed_seconds"))
         )
-        for p in PERIODS
+        for p in periods
     ]
     found = prefix_window(
         rows,
@@ -539,9 +547,9 @@ def chances_checks(
         also=last,
         **tuning,
     )
-    for p in PERIODS:
+    for p in periods:
         found = found.withColumn(f"latest_{p}", F.col(f"last_{p}.elapsed_seconds"))
-    baseline = _earlier_periods() + F.greatest(
+    baseline = _earlier_periods(periods) + F.greatest(
         F.lit(0), F.col("elapsed_seconds") - window_seconds - F.col("period_start")
     )
     found = found.withColumns(

@@ -29,9 +29,10 @@ def _shown(field: T.StructField) -> Column:
 
 
 def content_hash(columns: Sequence[str | Column]) -> Column:
-    """A 60-bit number from the row's text; NULL and empty text differ."""
-    shown = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\\N")) for c in columns]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *shown)), 1, 15), 16, 10).cast("decimal(20,0)")
+    """A 60-bit number from the row's values, each written with its length; NULL is N, which no value is."""
+    texts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    shown = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("N")) for t in texts]
+    return F.conv(F.substring(F.md5(F.concat(*shown)), 1, 15), 16, 10).cast("decimal(20,0)")
 
 
 def fingerprint(tables: Mapping[str, DataFrame], volatile: Sequence[str] = ("ingest_run_id",)) -> DataFrame:
@@ -39,7 +40,8 @@ def fingerprint(tables: Mapping[str, DataFrame], volatile: Sequence[str] = ("ing
     out = None
     for name, df in tables.items():
         fields = [f for f in df.schema.fields if f.name not in volatile]
-        row = df.select(content_hash([_shown(f) for f in fields]).alias("h")).agg(
+        named = [F.lit(",".join(f.name for f in fields)), *[_shown(f) for f in fields]]
+        row = df.select(content_hash(named).alias("h")).agg(
             F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).cast("decimal(38,0)").alias("_sum")
         )
         found = row.select(F.lit(name).alias("table_name"), "rows", F.substring(F.sha2(F.col("_sum").cast("string"), 256), 1, 16).alias("content"))

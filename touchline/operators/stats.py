@@ -69,12 +69,16 @@ def correlation() -> Column:
     return F.when(n >= 3, (n * sxy - sx * sy) / F.nullif(spread, F.lit(0.0)))
 
 
-def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = (), scale: int = 1_000_000) -> DataFrame:
-    """Pearson on values read to six places, summed exactly."""
+def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """Pearson from central moments, which merge between tasks (values up to about 1e150); NULL below three rows or without spread."""
     rows, keys = _grouped(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by)
-    whole = lambda c: F.round(F.col(c).cast("double") * scale).cast("bigint").alias(c)
-    sums = rows.select(*keys, whole(x), whole(y)).groupBy(*keys).agg(*moments(x, y, F.lit(1)))
-    return sums.select(*by, F.col("n").cast("bigint").alias("observations"), correlation().alias("pearson"))
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    found = rows.groupBy(*keys).agg(
+        F.count("*").alias("observations"), F.covar_pop(a, b).alias("_both"), F.stddev_pop(a).alias("_x"), F.stddev_pop(b).alias("_y")
+    )
+    value = F.col("_both") / F.nullif(F.col("_x"), F.lit(0.0)) / F.nullif(F.col("_y"), F.lit(0.0))
+    found = found.withColumn("pearson", F.when(F.col("observations") >= 3, value))
+    return found.select(*by, "observations", "pearson")
 
 
 def rank_pairs(df: DataFrame, x: str, y: str, by: Sequence[str], cluster: str | None) -> DataFrame:
@@ -118,11 +122,12 @@ def spearman_cluster_interval(
         .groupBy(*keys, "r", (text_hash(F.lit(seed), F.col("r"), F.col("i")) % F.col("matches") + 1).alias("i"))
         .agg(F.count("*").cast(WIDE).alias("times"))
     )
-    times = F.col("times").cast("decimal(8,0)")
+    # Doubles: sums of squared ranks outgrow any decimal; they are whole and exact up to 2^53.
+    times = F.col("times").cast("double")
     drawn = (
         draws.join(indexed, [*keys, "i"])
         .groupBy(*keys, "r")
-        .agg(*[F.sum(times * F.col(c).cast("decimal(30,0)")).cast(WIDE).alias(c) for c in SUMS])
+        .agg(*[F.sum(times * F.col(c).cast("double")).alias(c) for c in SUMS])
         .select(*keys, correlation().alias("value"))
         .where("value is not null")
     )

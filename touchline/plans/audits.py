@@ -136,7 +136,7 @@ def _(i: Inputs):
 part("nsp", """select match_id, period, ps as s, pl_max as e, coalesce(sum(pl_max - ps) over (partition by match_id order by period rows between unbounded preceding and 1 preceding), 0) as off
   from pst join plast using (match_id, period) where pl_max > ps""")
 part("nshot", """select match_id, team_id, ref, event_id, arg_max(period, off) as period, cast(arg_max(s + spot - off, off) as bigint) as elapsed_seconds from
-  (select b.match_id, b.team_id, r.ref, b.event_id, cast('0x' || substr(md5('20260928:' || ref || ':' || event_id), 1, 8) as bigint) % (select sum(e - s) from nsp p where p.match_id = b.match_id) as spot
+  (select b.match_id, b.team_id, r.ref, b.event_id, cast('0x' || substr(md5('20260928:' || ref || ':' || event_id), 1, 15) as bigint) % (select sum(e - s) from nsp p where p.match_id = b.match_id) as spot
    from (select * from me where event_type = 'shot' and not penalty) b, (select unnest(generate_series(1, 10)) as ref) r) x join nsp using (match_id) where off <= spot group by all""")
 part("nseq", """select *, row_number() over (partition by match_id, team_id, ref order by period, elapsed_seconds, event_id) as sequence from nshot""")
 part("nbw", """select t.match_id, t.team_id, t.ref, t.period, t.sequence, t.elapsed_seconds, max(p.off) + t.elapsed_seconds - 600 - max(p.s) as earlier_seconds,
@@ -187,7 +187,7 @@ def _(i: Inputs):
 
 
 def lot(seed: int) -> str:
-    return f"cast('0x' || substr(md5('{seed}:' || match_id), 1, 8) as bigint)"
+    return f"cast('0x' || substr(md5('{seed}:' || match_id), 1, 15) as bigint)"
 
 
 STRATA = [("first cup", "competition_id = 0"), ("second cup", "competition_id = 1"), ("any", "true")]

@@ -21,15 +21,26 @@ def landed(spark: SparkSession, folder: str, layer: str, build: Callable[[], Dat
     """A layer table, written once per session into the shared folder.
 
     The layers are what a warehouse keeps: ordered events (a shuffle of everything), the
-    event context and the fixed windows. The key holds the input files, not only the folder.
+    event context and the fixed windows. The key holds the input files with length and time of change, so a table that was
+    rewritten under the same name is read again.
     """
-    files = tuple(sorted(bridge.table(spark, folder, "events").inputFiles()))
+    files = _files(spark, bridge.table(spark, folder, "events").inputFiles())
     key = (spark.sparkContext.applicationId, folder, files, layer)
     if key not in _landed:
         _landed[key] = cut_lineage(build())
     return _landed[key]
 
 
+def _files(spark: SparkSession, paths: list[str]) -> tuple:
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in sorted(paths):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(name))
+        status = path.getFileSystem(hadoop).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark

@@ -89,20 +89,25 @@ def _(i: Inputs):
 HASH = "cast('0x' || substr(md5({0}), 1, 15) as bigint)"
 
 
-@query("k6_run_id", f"select c_nationkey, count(*) as inputs, substr(sha256(count(*) || ':' || cast(sum({HASH.format('c_custkey || chr(124) || c_name')}) as varchar)), 1, 16) as run_id from customer group by 1", bridge=False)
+def sized(c: str) -> str:
+    """A value with its length before it, NULL as N."""
+    return f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), 'N')"
+
+
+@query("k6_run_id", f"select c_nationkey, count(*) as inputs, substr(sha256(count(*) || ':' || cast(sum({HASH.format(sized('c_custkey') + ' || ' + sized('c_name'))}) as varchar)), 1, 16) as run_id from customer group by 1", bridge=False)
 def _(i: Inputs):
     parts = i.table("customer").select("c_nationkey", F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("value"))
     return L.run_id(parts, ["c_nationkey"])
 
 
 def finger(name: str, columns: list[str]) -> str:
-    row = " || chr(124) || ".join(f"coalesce(cast({c} as varchar), chr(92) || 'N')" for c in columns)
+    row = " || ".join([sized(f"'{','.join(columns)}'"), *map(sized, columns)])
     return f"select '{name}' as table_name, count(*) as rows, substr(sha256(cast(coalesce(sum({HASH.format(row)}), 0) as varchar)), 1, 16) as content from {name}"
 
 
 FINGERS = {
     "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "labels": ["doc_id", "quality", "toxic"],
-    "documents": ["doc_id", "text", "lang", "source"], "conversations": ["conv_id", "turn", "role", "text"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"], "conversations": ["conv_id", "turn", "role", "text"],
 }
 
 
@@ -111,6 +116,16 @@ def _(i: Inputs):
     return L.fingerprint({n: i.table(n).select(*c) for n, c in FINGERS.items()})
 
 
+# Rows that plain joining of texts would take for equal: a bar inside a value, and NULL against its written form.
+@query("k7_awkward_values", "select unnest(['bars', 'nulls', 'same']) as table_name, unnest([(select count(*) from customer) = 0, (select count(*) from customer) = 0, true]) as identical", bridge=False)
+def _(i: Inputs):
+    c = i.table("customer")
+    name, other = F.col("c_name"), F.col("c_nationkey").cast("string")
+    one = {"bars": c.select(F.concat(name, F.lit("|x")).alias("a"), other.alias("b")), "nulls": c.select(F.lit(None).cast("string").alias("a"), "c_custkey"), "same": c}
+    two = {"bars": c.select(name.alias("a"), F.concat(F.lit("x|"), other).alias("b")), "nulls": c.select(F.lit("\\N").alias("a"), "c_custkey"), "same": c.repartition(3)}
+    return L.compare_fingerprints(L.fingerprint(one), L.fingerprint(two))
+
+
 @query("k7_compare_builds", "select unnest(['nation', 'labels']) as table_name, unnest([true, (select count(*) from labels where doc_id % 50 = 0) = 0]) as identical", bridge=False)
 def _(i: Inputs):
     one = L.fingerprint({"nation": i.table("nation"), "labels": i.table("labels")})
@@ -176,7 +191,8 @@ def _(i: Inputs):
 TABLE_COUNTS = {"team_matches": "tm", "periods": "pe", "final_third_entries": "ent"}
 
 
-@query("k11_definitions", " union all ".join(f"select '{n}' as table_name, 1 as definition_version, count(*) as rows from {t}" for n, t in TABLE_COUNTS.items()))
+@query("k11_definitions", " union all ".join(f"select '{n}' as table_name, 1 as definition_version, count(*) as rows from {t}" for n, t in TABLE_COUNTS.items())
+       + "".join(f" union all select '{n}', 1, null" for n in L.DEFINITIONS if n not in TABLE_COUNTS))
 def _(i: Inputs):
     from touchline.operators import context as C
 
@@ -185,7 +201,7 @@ def _(i: Inputs):
     for name, df in tables.items():
         row = df.agg(F.count("*").alias("rows")).withColumn("table_name", F.lit(name))
         counts = row if counts is None else counts.unionByName(row)
-    return L.definitions(i.spark).join(counts, "table_name").select("table_name", "definition_version", "rows")
+    return L.definitions(i.spark).join(counts, "table_name", "left").select("table_name", "definition_version", "rows")
 
 
 @query("k12_provenance", "select match_id, 'abc123' as run_source_commit, '1' as run_split_version, count(*) as events from me group by match_id")

@@ -278,10 +278,14 @@ def _(i: Inputs):
     return CT.catalog_season_summary(documents(i).index, documents(i).choices)
 
 
-@query("a7_verify_files", """select relative_path, case when s is null then 'missing' when sha256 is null then 'no receipt' when s = sha256 and n = bytes then 'verified' else 'mismatch' end as outcome
-  from sto full join (select * from rcp where sha256 is not null) using (relative_path)""")
+OUTCOME = """case when records > 1 then 'repeated receipt' when records is null then 'no receipt' when sha256 is null or bytes is null then 'incomplete receipt'
+  when s is null then 'missing' when s = sha256 and n = bytes then 'verified' else 'mismatch' end"""
+part("rcps", "select relative_path, count(*) as records, min(sha256) as sha256, min(bytes) as bytes, min(provider_match_id) as provider_match_id from rcp group by 1")
+
+
+@query("a7_verify_files", f"select relative_path, {OUTCOME} as outcome from sto full join rcps using (relative_path)")
 def _(i: Inputs):
-    return R.verify_contents(documents(i).stored, documents(i).receipts.where("sha256 is not null"))
+    return R.verify_contents(documents(i).stored, documents(i).receipts)
 
 
 @query("a8_read_manifest", """select relative_path, count(*) as records, count(*) filter (where sha256 is null) as incomplete,
@@ -295,20 +299,14 @@ def _(i: Inputs):
     return R.receipts_by_kind(documents(i).receipts, "new")
 
 
-part("rcp1", "select relative_path, min(sha256) as sha256, min(bytes) as bytes, min(provider_match_id) as provider_match_id from rcp group by 1 having count(*) = 1")
-
-
-@query("a10_inventory_audit", """select * from (select relative_path, case when s is null then case when provider_match_id % 3 <> 0 then 'missing' end
+@query("a10_inventory_audit", """select * from (select relative_path, case when records > 1 then 'repeated receipt' when s is null then case when provider_match_id % 3 <> 0 then 'missing' end
    when provider_match_id is null then 'unexpected object' when provider_match_id % 3 = 0 then 'held-out match file' when s <> sha256 or n <> bytes then 'size or checksum differs' end as problem
-  from sto full join rcp1 using (relative_path)) where problem is not null""")
+  from sto full join rcps using (relative_path)) where problem is not null""")
 def _(i: Inputs):
     d = documents(i)
-    once = d.receipts.groupBy("relative_path").agg(
-        F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("sha256", "bytes", "provider_match_id")]
-    ).where("n = 1")
     stored = d.stored.select("relative_path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("bytes"))
     allowed = i.table("documents").select(F.expr("doc_id div 2").alias("match_id")).distinct().where("match_id % 3 <> 0")
-    return R.inventory_audit(stored, once, allowed)
+    return R.inventory_audit(stored, d.receipts, allowed)
 
 
 part("cust", """select c_custkey, 'Q' || (c_custkey + 1) as coach, case when c_custkey % 7 <> 0 then '2020-01-01T00:00:00Z' end as st,
@@ -533,7 +531,7 @@ part("bsub", "select match_id, team_id, player_id as off_id, player_id + 1 as on
 part("steps", """select match_id, event_type, period, period_seconds - max(period_seconds) over (partition by match_id, period order by sequence, event_id rows between unbounded preceding and 1 preceding) as step from
   (select match_id, event_id, sequence, period, event_type, period_seconds - case when match_id % 3 = 1 and event_id % 50 = 0 then 12 else 0 end as period_seconds from me)""")
 part("c2", """select match_id, 'raw_checksum' as check_name, 'blocking' as severity, count(*) filter (where not ok) = 0 as passed, count(*) filter (where not ok) || ' of ' || count(*) || ' files not verified' as detail
-  from (select coalesce(provider_match_id, try_cast(regexp_extract(relative_path, '(\\d+)', 1) as bigint) // 2) as match_id, coalesce(s = sha256 and n = bytes, false) as ok from sto full join rcp1 using (relative_path)) group by 1""")
+  from (select coalesce(provider_match_id, try_cast(regexp_extract(relative_path, '(\\d+)', 1) as bigint) // 2) as match_id, coalesce(records = 1 and s = sha256 and n = bytes, false) as ok from sto full join rcps using (relative_path)) group by 1""")
 part("c3", "select match_id, 'adapter_validation' as check_name, 'blocking' as severity, reasons is null as passed, coalesce(reasons, 'accepted') as detail from ma left join arej using (match_id)")
 part("c4", "select match_id, 'teams_present' as check_name, 'blocking' as severity, team_count = 2 and home_seen and away_seen as passed, team_count || ' teams on events; home seen ' || home_seen || ', away seen ' || away_seen as detail from ef")
 part("c5", "select match_id, 'event_count_plausible' as check_name, 'blocking' as severity, event_count >= 1000 as passed, event_count || ' events (minimum 1000)' as detail from ef")
@@ -624,8 +622,8 @@ def _(i: Inputs):
 @query("c2_raw_checksum", "select * from c2")
 def _(i: Inputs):
     d = documents(i)
-    once = d.receipts.groupBy("relative_path").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("sha256", "bytes", "provider_match_id")]).where("n = 1")
-    files = R.verify_contents(d.stored, once.where("sha256 is not null")).join(once.select("relative_path", "provider_match_id"), "relative_path", "left")
+    matches = d.receipts.groupBy("relative_path").agg(F.min("provider_match_id").alias("provider_match_id"))
+    files = R.verify_contents(d.stored, d.receipts).join(matches, "relative_path", "left")
     return Q.checksum_check(files.withColumn("match_id", F.coalesce("provider_match_id", F.expr("cast(regexp_extract(relative_path, '([0-9]+)', 1) as bigint) div 2"))))
 
 

@@ -29,7 +29,7 @@ def interval_sql(source: str, x: str, y: str, seed: int, by: str = "g") -> str:
     return f"""with r0 as (select {by}, match_id, {rank2(x, by)} as a, {rank2(y, by)} as b from {source} where {x} is not null and {y} is not null),
   per as (select {by}, match_id, {SUMS.format(w='1')} from r0 group by all),
   idx as (select *, row_number() over (partition by {by} order by match_id) as i, count(*) over (partition by {by}) as m from per),
-  dr as (select {by}, r, cast('0x' || substr(md5('{seed}:' || r || ':' || i), 1, 8) as bigint) % m + 1 as i from idx, (select unnest(generate_series(1, {REPS})) as r)),
+  dr as (select {by}, r, cast('0x' || substr(md5('{seed}:' || r || ':' || i), 1, 15) as bigint) % m + 1 as i from idx, (select unnest(generate_series(1, {REPS})) as r)),
   rep as (select d.{by}, r, sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(syy) as syy, sum(sxy) as sxy from dr d join idx using ({by}, i) group by all),
   val as (select {by}, list_sort(list(v)) as v from (select {by}, {CORR} as v from rep) where v is not null group by 1),
   tot as (select {by}, sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(syy) as syy, sum(sxy) as sxy, count(*) as matches from per group by 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,9 +32,11 @@ def build_session(app: str = "touchline", master: str | None = None, **extra: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where none is set."""
+    """The folder every executor can reach. Only a local session without one gets a temporary folder; a cluster is refused."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="touchline-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

@@ -135,20 +135,29 @@ def receipts_by_kind(receipts: DataFrame, source_commit: str, kinds=("events", "
 
 
 def read_contents(spark: SparkSession, path: str) -> DataFrame:
+    """Files under ``path`` with their place below it, as manifests have it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("relative_path"), "content")
+    # Readers write schemes in their own way (file:/a, file:///a); what counts is the path.
+    root = path.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
+    return files.select(F.substring_index("path", root, -1).alias("relative_path"), "content")
 
 
 def verify_contents(stored: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Compare stored bytes with their receipts: verified, mismatch, missing or no receipt."""
+    """Compare stored bytes with their receipts, a row per path.
+
+    Outcomes: verified, mismatch, missing, no receipt, repeated receipt (recorded more than once), incomplete receipt.
+    """
+    once = receipts.groupBy("relative_path").agg(F.count("*").alias("_records"), F.min("sha256").alias("sha256"), F.min("bytes").alias("bytes"))
     found = stored.select(
         "relative_path", F.sha2("content", 256).alias("found_sha256"), F.octet_length("content").alias("found_bytes")
     )
     same = (F.col("found_sha256") == F.col("sha256")) & (F.col("found_bytes") == F.col("bytes"))
-    return found.join(receipts.select("relative_path", "sha256", "bytes"), "relative_path", "full").select(
+    return found.join(once, "relative_path", "full").select(
         "relative_path",
-        F.when(F.col("found_sha256").isNull(), "missing")
-        .when(F.col("sha256").isNull(), "no receipt")
+        F.when(F.col("_records") > 1, "repeated receipt")
+        .when(F.col("_records").isNull(), "no receipt")
+        .when(F.col("sha256").isNull() | F.col("bytes").isNull(), "incomplete receipt")
+        .when(F.col("found_sha256").isNull(), "missing")
         .when(same, "verified")
         .otherwise("mismatch")
         .alias("outcome"),
@@ -156,17 +165,19 @@ def verify_contents(stored: DataFrame, receipts: DataFrame) -> DataFrame:
 
 
 def inventory_audit(stored: DataFrame, receipts: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Problems between stored objects (relative_path, sha256, bytes) and allowed receipts."""
-    known = receipts.join(
+    """Problems between stored objects (relative_path, sha256, bytes) and allowed receipts; a path recorded twice is one."""
+    once = receipts.groupBy("relative_path").agg(F.count("*").alias("_records"), *[F.min(c).alias(c) for c in ("sha256", "bytes", "provider_match_id")])
+    known = once.join(
         allowed.select(F.col("match_id").alias("provider_match_id"), F.lit(True).alias("_allowed")), "provider_match_id", "left"
     ).select(
-        "relative_path", F.col("sha256").alias("_sha"), F.col("bytes").alias("_bytes"), "provider_match_id",
+        "relative_path", F.col("sha256").alias("_sha"), F.col("bytes").alias("_bytes"), "provider_match_id", "_records",
         F.coalesce("_allowed", F.col("provider_match_id").isNull()).alias("_allowed"), F.lit(True).alias("_known"),
     )
     both = stored.withColumn("_stored", F.lit(True)).join(known, "relative_path", "full")
     differs = (F.col("sha256") != F.col("_sha")) | (F.col("bytes") != F.col("_bytes"))
     problem = (
-        F.when(F.col("_stored").isNull(), F.when(F.col("_allowed"), "missing"))
+        F.when(F.col("_records") > 1, "repeated receipt")
+        .when(F.col("_stored").isNull(), F.when(F.col("_allowed"), "missing"))
         .when(F.col("_known").isNull(), "unexpected object")
         .when(~F.col("_allowed"), "held-out match file")
         .when(differs, "size or checksum differs")

@@ -4,15 +4,16 @@ Documents with equal shingle sets are one class, named by a fingerprint. Tokens
 hash first, hot ones (counted over all documents) last. Two sets of similarity ``SHARE`` or more share a token among the first
 ``n - ceil(SHARE n) + 1`` of each, so only these enter inverted lists, and lists of one class are dropped.
 
+* A document's vector is its prefix tokens that other classes have too. With ``c`` common tokens in both prefixes, the overlap
+  is at most ``c`` and all that lies behind one of the prefixes; this gives a threshold T for ``c`` that grows with the sets.
 * First wave: in every list the class that has the token earliest is the query, all others are the index. Members of one query
-  are dealt in chunks, so a group of any size spreads.
-* Components of the links found are taken. A list inside one component holds nothing new.
+  are dealt in chunks, so a group of any size spreads. Pairs found are checked on whole sets.
+* Components of the links are taken. A list inside one component holds nothing new.
 * Second wave: in the other lists, classes outside the component of the list's query are searched against all members, chunk by
   chunk. Every pair of a list that is not yet connected is met here, so no link that matters to a component is lost.
 
 Each search sets the longest lists of a query aside (DivideSkip), merges the short ones with a heap, keeps members that occur
-often enough to still reach T, and probes the long lists for those by binary search. Occurrences are counted over whole sets,
-so the overlap is exact and there is nothing to verify.
+often enough to still reach T, and probes the long lists for those by binary search.
 
 Null and empty texts have empty sets and are linked with nothing. Rows that repeat an identifier are rows of their own with
 that identifier. With no rows the result is empty.
@@ -37,7 +38,7 @@ from touchline.llm.hashing import Words, mix, windows
 
 WIDTH, SHARE = 5, 80
 # Documents that a token must be in to count as hot, and the most hot tokens (the bound doubles until they fit).
-HOT, MOST_HOT = 32, 1_000_000
+HOT, MOST_HOT = 3, 1_000_000
 # Tokens gathered before a task sends them on, tokens of a slice, classes of a chunk, rows that may be broadcast.
 GATHER, SLICE, CHUNK, SMALL = 1_500_000, 1_000_000, 128, 1_000_000
 
@@ -59,7 +60,7 @@ def fingerprint(tokens: np.ndarray) -> bytes:
     return hashlib.md5(tokens.tobytes(), usedforsecurity=False).digest()
 
 
-def prefix_size(n: int, share: int) -> int:
+def prefix_size(n, share: int):
     return n - -(-share * n // 100) + 1
 
 
@@ -119,17 +120,18 @@ def hot_tokens(docs: DataFrame, slices: int, width: int = WIDTH, hot: int = HOT,
 
     sent = raw(docs).mapInArrow(send, "slice int, keys binary")
     counted = cut_lineage(sent.groupBy("slice").applyInPandas(count, "key bigint, n bigint"))
-    level = F.floor(F.log2("n")).cast("int")
+    level = F.floor(2 * F.log2("n")).cast("int")
     levels = sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True)
-    total, lowest = 0, 64
+    total, lowest = 0, 128
     for row in levels:
         total += row["count"]
         if total > most:
             break
         lowest = row["level"]
-    rows = counted.where(level >= lowest).select("key", level.alias("level")).collect()
-    rows.sort()
-    return np.array([r["key"] for r in rows], np.uint64), np.array([r["level"] for r in rows], np.int64)
+    rows = counted.where(level >= lowest).select("key", level.alias("level")).toArrow()
+    keys, levels = rows["key"].to_numpy().astype(np.uint32), rows["level"].to_numpy().astype(np.int8)
+    order = np.argsort(keys)
+    return keys[order], levels[order]
 
 
 def _sets_of(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -181,7 +183,7 @@ def postings(docs: DataFrame, slices: int, hot: tuple[np.ndarray, np.ndarray], w
                     seen.add(name)
                     level = np.zeros(len(tokens), np.int64)
                     if len(keys):
-                        small = _small(tokens)
+                        small = _small(tokens).astype(np.uint32)
                         at = np.minimum(np.searchsorted(keys, small), len(keys) - 1)
                         level = np.where(keys[at] == small, levels[at], 0)
                     first = np.lexsort((tokens, level))[: prefix_size(len(tokens), share)]
@@ -213,73 +215,133 @@ def postings(docs: DataFrame, slices: int, hot: tuple[np.ndarray, np.ndarray], w
 
 
 class Index:
-    """Inverted lists over the sets of a chunk."""
+    """Inverted lists over the vectors of a chunk; ``sizes`` are those of the whole sets."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
-        tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+    def __init__(self, vectors: list[np.ndarray], sizes: np.ndarray, share: int):
+        self.share, self.sizes, self.known = share, sizes.astype(np.int64), {}
+        self.behind = self.sizes - prefix_size(self.sizes, share)
+        tokens = np.concatenate(vectors) if vectors else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
         order = np.argsort(tokens, kind="stable")
         self.owner = owner[order]
         self.tokens, self.begin = np.unique(tokens[order], return_index=True)
         self.end = np.append(self.begin[1:], len(order))
 
-    def search(self, query: np.ndarray, share: int, weight: float = 0.02) -> list[tuple[int, int]]:
-        """(member, overlap) of every member whose Jaccard percent with ``query`` is ``share`` or more."""
+    def needs(self, size: int) -> np.ndarray:
+        """T for each member: prefix tokens it must share with a set of ``size``; huge where sizes alone forbid a link."""
+        behind = size - prefix_size(size, self.share)
+        need = np.maximum(needed(size, self.sizes, self.share) - np.maximum(self.behind, behind), 1)
+        fits = 100 * np.minimum(self.sizes, size) >= self.share * np.maximum(self.sizes, size)
+        return np.where(fits, need, 1 << 40)
+
+    def search(self, query: np.ndarray, size: int, allowed: np.ndarray, weight: float = 0.02) -> list[int]:
+        """Members among ``allowed`` that share T or more tokens with ``query``."""
         if not len(self.tokens):
             return []
         at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
         at = at[self.tokens[at] == query]
-        n = len(query)
-        low = needed(n, -(-share * n // 100), share)  # T for the smallest member that can match
+        if size not in self.known:
+            self.known[size] = self.needs(size)
+        need = np.where(allowed, self.known[size], 1 << 40)
+        low = int(need.min())
         if len(at) < low:
             return []
         length = self.end[at] - self.begin[at]
         at = at[np.argsort(length, kind="stable")]
-        longest = int(length.max())
-        aside = min(int(low / (weight * np.log2(longest + 1) + 1)), low - 1)
+        aside = min(int(low / (weight * np.log2(int(length.max()) + 1) + 1)), low - 1)
         lists = [self.owner[self.begin[i] : self.end[i]] for i in at.tolist()]
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
         out = []
         for member, run in groupby(heapq.merge(*[x.tolist() for x in short])):
-            found = sum(1 for _ in run)
-            need = int(needed(n, int(self.sizes[member]), share))
-            if found + len(long) < need:
-                continue
+            found, least = sum(1 for _ in run), int(need[member])
             for left, probe in enumerate(long):
-                where = int(np.searchsorted(probe, member))
-                found += where < len(probe) and probe[where] == member
-                if found + len(long) - left - 1 < need:
+                if found >= least or found + len(long) - left < least:
                     break
-            if found >= need:
-                out.append((member, found))
+                where = int(np.searchsorted(probe, member))
+                found += where < len(probe) and bool(probe[where] == member)
+            if found >= least:
+                out.append(member)
         return out
 
 
-def _links(rows: pd.DataFrame, share: int) -> list[tuple[bytes, bytes]]:
-    """Links of the queries of one block to its members, one for each query and component of members."""
-    members, queries = rows[~rows["query"]], rows[rows["query"]]
-    sets = [np.frombuffer(t, np.uint64) for t in members["tokens"]]
-    names, groups = members["class"].tolist(), members["root"].tolist()
-    index = Index(sets)
-    out = []
-    for name, root, tokens in zip(queries["class"], queries["root"], queries["tokens"], strict=True):
-        met = set()
-        for member, _ in index.search(np.frombuffer(tokens, np.uint64), share):
-            if names[member] != name and groups[member] != root and groups[member] not in met:
-                met.add(groups[member])
-                out.append((name, names[member]))
-    return out
+def _candidates(blocks: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
+    """Distinct pairs ``a`` < ``b`` that reach T. ``blocks``: ``block``, ``part``, ``other``, ``class``, ``query``, ``root``, ``place``.
+
+    A pair counts in the block of its first common token. Behind that token must lie enough of both sets, which excludes most
+    pairs by their sizes and the token's places (0 where the block is not of one token).
+
+    Blocks are small and many, so a task reads sorted rows and works on one block after the other. A block holds at most two
+    chunks, and blocks are dealt by a hash.
+    """
 
+    def pairs(rows: list[tuple]) -> set[tuple[bytes, bytes]]:
+        """Rows: class, query, root, key, vector, size, place."""
+        members, queries = [r for r in rows if not r[1]], [r for r in rows if r[1]]
+        roots = {root: i for i, root in enumerate({r[2] for r in rows})}
+        column = lambda side, f: np.array([f(r) for r in side], np.int64)
+        (n, place, root), (m, there, other) = ((column(side, lambda r: r[5]), column(side, lambda r: r[6]), column(side, lambda r: roots[r[2]])) for side in (queries, members))
+        least = needed(n[:, None], m[None, :], share)
+        may = (root[:, None] != other[None, :]) & (n[:, None] - place[:, None] >= least) & (m[None, :] - there[None, :] >= least)
+        found: set[tuple[bytes, bytes]] = set()
+        asks = np.flatnonzero(may.any(axis=1)).tolist()
+        if not asks:
+            return found
+        used = np.flatnonzero(may.any(axis=0))
+        index = Index([members[k][4] for k in used.tolist()], m[used], share)
+        for i in asks:
+            name, own = queries[i][0], may[i, used]
+            for k in index.search(queries[i][4], queries[i][5], own):
+                other_name = members[used[k]][0]
+                if other_name != name:
+                    found.add((min(name, other_name), max(name, other_name)))
+        return found
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        found: set[tuple[bytes, bytes]] = set()
 
-def _search(blocks: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """``a``, ``b`` of each link. ``blocks``: ``block``, ``part``, ``other``, ``class``, ``query``, ``root``; sets are joined on the class."""
+        def out() -> pa.RecordBatch:
+            rows = sorted(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            keys, names, queries, roots, places, sizes = (batch.column(i).to_pylist() for i in range(6))
+            lists = batch.column(6)
+            flat, edge = lists.values.to_numpy(), lists.offsets.to_numpy()
+            vectors = [flat[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            for row in zip(names, queries, roots, keys, vectors, sizes, places, strict=True):
+                if held and row[3] != held[0][3]:
+                    found |= pairs(held)
+                    held = []
+                held.append(row)
+            if len(found) > 50_000:
+                yield out()
+        if held:
+            found |= pairs(held)
+        yield out()
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_links(rows, share), columns=["a", "b"])
+    key = F.concat_ws(":", F.hex("block"), F.col("part").cast("string"), F.col("other").cast("string")).alias("key")
+    full = blocks.select(key, "class", "query", "root", "place").join(vectors, "class").select("key", "class", "query", "root", "place", "n", "tokens")
+    dealt = full.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(work, "a binary, b binary").distinct()
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, own: DataFrame, width: int, share: int) -> DataFrame:
+    """Pairs whose whole sets reach the similarity."""
+    pairs = cut_lineage(pairs)
+    sets = _sets(docs, own, pairs.select(F.col("a").alias("class")).union(pairs.select("b")), width)
+    left, right = (sets.withColumnsRenamed({"class": c, "tokens": f"{c}_tokens"}) for c in "ab")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(t, np.uint64) for t in batch.column(i).to_pylist()] for i in (2, 3))
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
+            both = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64)
+            yield batch.select([0, 1]).filter(pa.array(common >= needed(both, 0, share)))
 
-    full = blocks.join(sets, "class")
-    return full.groupBy("block", "part", "other").applyInPandas(work, "a binary, b binary")
+    full = pairs.join(left, "a").join(right, "b").select("a", "b", "a_tokens", "b_tokens")
+    return cut_lineage(full.mapInArrow(work, "a binary, b binary"))
 
 
 def _sets(docs: DataFrame, own: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -310,38 +372,39 @@ def join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     slices = max(8, -(-int(total) // (4 * SLICE)))
     hot = hot_tokens(docs, slices, width)
-    lists = cut_lineage(postings(docs, slices, hot, width, share))
+    found = cut_lineage(postings(docs, slices, hot, width, share))
+    heads = found.groupBy("token").agg(F.min(F.struct("place", "class", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
+    lists = cut_lineage(found.join(heads, "token"))
+    vectors = cut_lineage(lists.groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("token")).alias("tokens")))
 
     # The query of a list is the class that has the token earliest: it has the fewest tokens of its own.
-    heads = lists.groupBy("token").agg(F.min(F.struct("place", "class", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    near = lists.join(heads, "token").where(F.col("class") != F.col("head.class"))
+    near = lists.where(F.col("class") != F.col("head.class"))
     fits = 100 * F.least(F.col("n"), F.col("head.n")) >= share * F.greatest(F.col("n"), F.col("head.n"))
     pairs = cut_lineage(near.where(fits).select(F.col("head.class").alias("block"), "class").distinct())
     counts = pairs.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    sets = _sets(docs, known, lists, width)
     none = F.lit(None).cast("binary")
     dealt = pairs.join(counts, "block").select("block", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part"), "class", F.lit(False).alias("query"), F.col("class").alias("root"))
     asking = dealt.select("block", "part").distinct().select("block", "part", F.col("block").alias("class"), F.lit(True).alias("query"), none.alias("root"))
-    first = cut_lineage(_search(dealt.unionByName(asking).withColumn("other", F.lit(0)), sets, share))
+    first = _checked(_candidates(dealt.unionByName(asking).withColumns({"other": F.lit(0), "place": F.lit(0)}), vectors, share), docs, known, width, share)
 
     roots = cut_lineage(components(first))
-    rooted = lists.join(roots, F.col("class") == F.col("node"), "left").select("token", "class", "n", "place", F.coalesce("root", "class").alias("root"))
+    rooted = lists.join(roots, F.col("class") == F.col("node"), "left").select("token", "class", "place", "size", F.coalesce("root", "class").alias("root"))
     mixed = rooted.groupBy("token").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("place", "class", "root")).alias("head"), F.count("*").alias("size"),
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("place", "class", "root")).alias("main"), F.first("size").alias("size"),
         F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("xor"),
     ).where("low < high")
-    # Lists of the same members are searched once.
-    mixed = mixed.groupBy("size", "sum", "xor").agg(F.min("token").alias("token"), F.min_by("head", "token").alias("head"))
-    open_lists = cut_lineage(rooted.join(mixed.select("token", F.col("head.root").alias("main"), "size"), "token"))
+    # Lists of the same members are searched once, for the token that comes first in the order.
+    mixed = mixed.groupBy("size", "sum", "xor").agg(F.min_by("token", "main").alias("token"), F.min("main").alias("main"))
+    open_lists = cut_lineage(rooted.drop("size").join(mixed.select("token", F.col("main.root").alias("main"), "size"), "token"))
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    outside = open_lists.where(F.col("root") != F.col("main"))
-    asked = outside.select("token", F.pmod(F.xxhash64("class"), parts).cast("int").alias("part"), "class", "root", parts.alias("parts"))
-    held = open_lists.select("token", F.pmod(F.xxhash64("class"), parts).cast("int").alias("other"), "class", "root")
+    asked = open_lists.where(F.col("root") != F.col("main")).select("token", F.pmod(F.xxhash64("class"), parts).cast("int").alias("part"), "class", "root", "place")
+    held = open_lists.select("token", F.pmod(F.xxhash64("class"), parts).cast("int").alias("other"), "class", "root", "place")
     # Each part with queries meets each part of members of its list; blocks hold at most two chunks.
     meet = asked.select("token", "part").distinct().join(held.select("token", "other").distinct(), "token")
-    queries = meet.join(asked.drop("parts"), ["token", "part"]).select("token", "part", "other", "class", F.lit(True).alias("query"), "root")
-    members = meet.join(held, ["token", "other"]).select("token", "part", "other", "class", F.lit(False).alias("query"), "root")
-    second = cut_lineage(_search(queries.unionByName(members).withColumnRenamed("token", "block"), sets, share))
+    queries = meet.join(asked, ["token", "part"]).select("token", "part", "other", "class", F.lit(True).alias("query"), "root", "place")
+    members = meet.join(held, ["token", "other"]).select("token", "part", "other", "class", F.lit(False).alias("query"), "root", "place")
+    blocks = queries.unionByName(members).withColumnRenamed("token", "block")
+    second = _checked(_candidates(blocks, vectors, share), docs, known, width, share)
 
     merged = components(first.unionByName(second)) if not second.isEmpty() else roots
     least = known.groupBy("class").agg(F.min("doc_id").alias("least"))

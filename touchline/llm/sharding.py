@@ -52,7 +52,7 @@ def place(docs: DataFrame, key: str, shards: list[str], slots: int = SLOTS, name
     table = ",".join(map(str, lookup(shards, slots)))
     # One row of `slots` numbers: the bound of what is broadcast.
     one = docs.sparkSession.sql("select 1").select(F.split(F.lit(table), ",").cast("array<int>").alias("_table"), F.array(*map(F.lit, shards)).alias("_names"))
-    rest = docs.select(*[docs[c] for c in docs.columns if c not in ("slot", name)], slot_of(docs[key], slots).alias("slot"))
+    rest = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in ("slot", name)], slot_of(docs[f"`{key}`"], slots).alias("slot"))
     joined = rest.join(F.broadcast(one), F.lit(True))
     return joined.withColumn(name, F.get("_names", F.get("_table", F.col("slot").cast("int")))).drop("_table", "_names")
 

@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from touchline.llm.base import chunks, cut_lineage, over_texts
 from touchline.llm.hashing import _BACK, _BASE, _VALUES, _series, mix
 
-LENGTH, LEAD = 200, 48
+LENGTH, LEAD = 200, 96
 PLACE_BITS = 28  # of a position in one task's text; a single text may have 256 MB
 GATHER, BUCKET, SAMPLE_DOCS, SMALL = 600_000, 500_000, 2_000, 500_000
 EMPTY = hashlib.sha256(b"").hexdigest()
-ROW = "doc_id bigint, digest binary, kind int, first int, last int"
+ROW = "doc_id bigint, digest bigint, kind int, first int, last int"
 
 
 class Rolling:
@@ -131,8 +131,14 @@ def _equal(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[False], same]) | np.concatenate([same, [False]])
 
 
-def _digest(text: bytes) -> bytes:
-    return hashlib.md5(text, usedforsecurity=False).digest()
+def _digest(text: bytes) -> int:
+    """Half of the md5, as a signed number; it only tells rows of one identifier apart."""
+    return int.from_bytes(hashlib.md5(text, usedforsecurity=False).digest()[:8], "big", signed=True)
+
+
+def _digest_column():
+    high = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint")
+    return F.shiftleft(high, 32).bitwiseOR(F.conv(F.substring(F.md5("text"), 9, 8), 16, 10).cast("bigint"))
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[list, list[bytes]]:
@@ -180,7 +186,9 @@ class Sender:
         keys = np.concatenate([p[0] for p in self.parts])
         owner, first, last = (np.concatenate([p[i] for p in self.parts]) for i in (1, 2, 3))
         order = multikey_order(*keys.T)
-        keys, owner, first, last = keys[order], owner[order], first[order], last[order]
+        single = all(p[3] is p[2] for p in self.parts)  # windows: the first start is the last one
+        keys, owner, first = keys[order], owner[order], first[order]
+        last = first if single else last[order]
         again = np.concatenate([[False], (keys[1:] == keys[:-1]).all(axis=1)])
         head = np.flatnonzero(~again)
         many = np.diff(np.append(head, len(keys))) > 1
@@ -188,13 +196,14 @@ class Sender:
         bucket = np.searchsorted(self.cuts, keys[head, 0], "right")
         edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(head)]])
         for a, b in zip(edge[:-1], edge[1:], strict=True):
-            rows.append(self._row(int(bucket[a]), keys[head[a:b]], owner[head[a:b]], first[head[a:b]], last[head[a:b]], many[a:b]))
+            own = head[a:b]
+            rows.append(self._row(int(bucket[a]), keys[own], owner[own], start := first[own], start if single else last[own], many[a:b]))
         if again.any():  # spread over as many groups as there are buckets; nothing is compared there
             at = np.flatnonzero(again)
             spread = owner[at] % (len(self.cuts) + 1)
             for k in np.unique(spread):
                 own = at[spread == k]
-                rows.append(self._row(-1 - int(k), keys[:0], owner[own], first[own], last[own], np.ones(len(own), bool)))
+                rows.append(self._row(-1 - int(k), keys[:0], owner[own], start := first[own], start if single else last[own], np.ones(len(own), bool)))
         self._clear()
         kinds = [pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(self.NAMES))
@@ -202,8 +211,8 @@ class Sender:
     def _row(self, bucket, keys, owner, first, last, many) -> tuple:
         own, inverse = np.unique(owner, return_inverse=True)
         small = lambda x: x.astype(np.int32).tobytes()
-        ids, digests = [self.documents[i][0] for i in own], b"".join(self.documents[i][1] for i in own)
-        return bucket, keys.tobytes(), small(inverse), small(first), small(last), many.tobytes(), ids, digests
+        ids, digests = [self.documents[i][0] for i in own], np.array([self.documents[i][1] for i in own], np.int64).tobytes()
+        return bucket, keys.tobytes(), small(inverse), small(first), b"" if last is first else small(last), np.packbits(many).tobytes(), ids, digests
 
 
 SENT = "bucket int, keys binary, owner binary, first binary, last binary, many binary, ids array<bigint>, digests binary"
@@ -213,10 +222,11 @@ def _received(rows: pd.DataFrame, width: int):
     join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name]])
     keys = join("keys", np.uint64).reshape(-1, width)
     ids = [i for row in rows["ids"] for i in row]
-    digests = [d[i : i + 16] for d in rows["digests"] for i in range(0, len(d), 16)]
+    digests = join("digests", np.int64).tolist()
     shift = np.cumsum([0, *map(len, rows["ids"])])[:-1]
     owner = np.concatenate([np.frombuffer(x, np.int32) + s for x, s in zip(rows["owner"], shift, strict=True)])
-    return keys, owner, join("first", np.int32), join("last", np.int32), join("many", bool), ids, digests
+    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(o) // 4) for m, o in zip(rows["many"], rows["owner"], strict=True)]).astype(bool)
+    return keys, owner, join("first", np.int32), join("last", np.int32), many, ids, digests
 
 
 def _out(on: np.ndarray, kind, owner, first, last, ids, digests) -> pd.DataFrame:
@@ -332,7 +342,7 @@ def _cut(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes,
 def dedup(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, a row per row of ``docs``."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    base = rows.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    base = rows.select("doc_id", _digest_column().alias("digest"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, -(-int(total) * 2 // (length - lead) // BUCKET))
     cuts = splitters(rows, buckets, length, lead)
@@ -346,7 +356,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
     def with_text(spans: DataFrame, ids: DataFrame) -> DataFrame:
         """Rows of documents named in ``ids`` with their spans; texts of others are not moved."""
         small = F.broadcast(ids) if ids.count() <= SMALL else ids
-        texts = rows.withColumn("digest", F.unhex(F.md5("text"))).join(small.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+        texts = rows.withColumn("digest", _digest_column()).join(small.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
         other = spans.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "runs")
         return texts.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("doc_id", "runs", "text")
 
@@ -359,10 +369,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
             ids, texts = _ids(batch)
             found = [_cut(t, [(r["first"], r["last"]) for r in row], length) for t, row in zip(texts, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array([_digest(t) for t in texts], pa.binary()), pa.array([x[1] for x in found], pa.int64()),
+                pa.array(ids, pa.int64()), pa.array([_digest(t) for t in texts], pa.int64()), pa.array([x[1] for x in found], pa.int64()),
                 pa.array([x[2] for x in found], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in found], pa.string()),
             ], names=["_id", "_digest", "removed", "spans", "sha"])
 
-    done = with_text(spans, spans.select(*key)).mapInArrow(work, "_id bigint, _digest binary, removed bigint, spans bigint, sha string").dropDuplicates(["_id", "_digest"])
+    done = with_text(spans, spans.select(*key)).mapInArrow(work, "_id bigint, _digest bigint, removed bigint, spans bigint, sha string").dropDuplicates(["_id", "_digest"])
     full = base.join(done, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     return full.select("doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.coalesce("spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))

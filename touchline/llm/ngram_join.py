@@ -40,7 +40,7 @@ WIDTH, SHARE = 5, 80
 # Documents that a token must be in to count as hot, and the most hot tokens (the bound doubles until they fit).
 HOT, MOST_HOT = 3, 1_000_000
 # Tokens gathered before a task sends them on, tokens of a slice, classes of a chunk, rows that may be broadcast.
-GATHER, SLICE, CHUNK, SMALL = 1_500_000, 1_000_000, 128, 1_000_000
+GATHER, SLICE, CHUNK, SMALL = 1_500_000, 1_000_000, 1024, 1_000_000
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -264,18 +264,23 @@ class Index:
         return out
 
 
+def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
+    flat, edge = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [flat[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
 def _candidates(blocks: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
     """Distinct pairs ``a`` < ``b`` that reach T. ``blocks``: ``block``, ``part``, ``other``, ``class``, ``query``, ``root``, ``place``.
 
-    A pair counts in the block of its first common token. Behind that token must lie enough of both sets, which excludes most
-    pairs by their sizes and the token's places (0 where the block is not of one token).
+    A pair counts only in the block of its first common token, so it is made once. Behind that token must lie enough of both
+    sets, which excludes most pairs by their sizes and the token's places (0 where the block is not of one token).
 
     Blocks are small and many, so a task reads sorted rows and works on one block after the other. A block holds at most two
     chunks, and blocks are dealt by a hash.
     """
 
     def pairs(rows: list[tuple]) -> set[tuple[bytes, bytes]]:
-        """Rows: class, query, root, key, vector, size, place."""
+        """Rows: class, query, root, key, tokens, size, place, places of the tokens."""
         members, queries = [r for r in rows if not r[1]], [r for r in rows if r[1]]
         roots = {root: i for i, root in enumerate({r[2] for r in rows})}
         column = lambda side, f: np.array([f(r) for r in side], np.int64)
@@ -291,8 +296,9 @@ def _candidates(blocks: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
         for i in asks:
             name, own = queries[i][0], may[i, used]
             for k in index.search(queries[i][4], queries[i][5], own):
-                other_name = members[used[k]][0]
-                if other_name != name:
+                other_name, _, _, _, tokens = members[used[k]][:5]
+                _, mine, _ = np.intersect1d(queries[i][4], tokens, assume_unique=True, return_indices=True)
+                if other_name != name and queries[i][7][mine].min() >= queries[i][6]:
                     found.add((min(name, other_name), max(name, other_name)))
         return found
 
@@ -307,10 +313,8 @@ def _candidates(blocks: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
 
         for batch in batches:
             keys, names, queries, roots, places, sizes = (batch.column(i).to_pylist() for i in range(6))
-            lists = batch.column(6)
-            flat, edge = lists.values.to_numpy(), lists.offsets.to_numpy()
-            vectors = [flat[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            for row in zip(names, queries, roots, keys, vectors, sizes, places, strict=True):
+            vectors, orders = _arrays(batch.column(6)), _arrays(batch.column(7))
+            for row in zip(names, queries, roots, keys, vectors, sizes, places, orders, strict=True):
                 if held and row[3] != held[0][3]:
                     found |= pairs(held)
                     held = []
@@ -322,7 +326,7 @@ def _candidates(blocks: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
         yield out()
 
     key = F.concat_ws(":", F.hex("block"), F.col("part").cast("string"), F.col("other").cast("string")).alias("key")
-    full = blocks.select(key, "class", "query", "root", "place").join(vectors, "class").select("key", "class", "query", "root", "place", "n", "tokens")
+    full = blocks.select(key, "class", "query", "root", "place").join(vectors, "class").select("key", "class", "query", "root", "place", "n", "tokens", "places")
     dealt = full.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(work, "a binary, b binary").distinct()
 
@@ -375,7 +379,9 @@ def join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     found = cut_lineage(postings(docs, slices, hot, width, share))
     heads = found.groupBy("token").agg(F.min(F.struct("place", "class", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
     lists = cut_lineage(found.join(heads, "token"))
-    vectors = cut_lineage(lists.groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("token")).alias("tokens")))
+    # A vector is bounded by the length of a document.
+    vectors = lists.groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("token", "place"))).alias("vector"))
+    vectors = cut_lineage(vectors.select("class", "n", F.col("vector.token").alias("tokens"), F.col("vector.place").alias("places")))
 
     # The query of a list is the class that has the token earliest: it has the fewest tokens of its own.
     near = lists.where(F.col("class") != F.col("head.class"))

@@ -33,7 +33,7 @@ S_LETTER, S_NUMBER, S_OTHER, SHORT, LONG, JOIN, LAST, MORE, RESET = range(9)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, JOINED, IN_SPACE, ONE_LEFT, TWO_LEFT = range(8)
 
 # Pieces kept by a worker, beside those of the texts at hand; longer pieces than SHORT_PIECE bytes are merged one by one.
-CACHE = 800_000
+CACHE = 300_000
 SHORT_PIECE = 48
 
 

@@ -40,7 +40,7 @@ WIDTH, SHARE = 5, 80
 # Documents that a token must be in to count as hot, and the most hot tokens (the bound doubles until they fit).
 HOT, MOST_HOT = 3, 1_000_000
 # Tokens gathered before a task sends them on, tokens of a slice, classes of a chunk, rows that may be broadcast.
-GATHER, SLICE, CHUNK, SMALL = 1_500_000, 1_000_000, 1024, 1_000_000
+GATHER, SLICE, CHUNK, SMALL = 800_000, 1_000_000, 1024, 1_000_000
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:

@@ -280,6 +280,25 @@ def test_decontamination(spark, docs, none):
     assert decontam.contaminated(docs, bench.where("item_id < 0")).where("contaminated").count() == 0
 
 
+def test_decontamination_keeps_each_row_with_any_number_of_slabs(spark, docs):
+    bench = spark.createDataFrame([(1, passage(4, 40)), (2, passage(9, 25)), (3, passage(1, 90)), (4, "no name here, but words")], "item_id bigint, text string")
+    nameless = spark.createDataFrame([(None, passage(9, 25)), (None, passage(9, 25)), (None, "clean text without a name")], "doc_id bigint, text string")
+    every = docs.select("doc_id", "text").union(nameless)
+    texts = [(i, t) for i, t in corpus()] + [(None, passage(9, 25)), (None, passage(9, 25)), (None, "clean text without a name")]
+    for keep in (("doc_id",), ("doc_id", "text")):
+        whole = decontam.overlaps(every, bench, *keep).collect()
+        for slab in (60, 1):
+            found = decontam.overlaps(every, bench, *keep, slab=slab)
+            assert found.columns == [*keep, "n_words", "overlaps"] and rows_of(found) == sorted(map(tuple, whole), key=str)
+        assert collections.Counter((r["doc_id"], r["n_words"]) for r in whole) == collections.Counter((i, len(words(t))) for i, t in texts)
+    for slab in (decontam.SLAB, 60):
+        found = decontam.contaminated(every, bench, slab=slab).collect()
+        assert sorted(r["contaminated"] for r in found if r["doc_id"] == 17) == [False, True, True]
+        assert collections.Counter(r["items"] for r in found if r["doc_id"] is None) == {"2": 2, "4": 1, "": 1}
+    clashing = decontam.overlaps(docs, bench, *docs.columns, slab=60)
+    assert clashing.columns == [*docs.columns, "n_words", "overlaps"] and clashing.count() == len(corpus())
+
+
 # 7
 
 

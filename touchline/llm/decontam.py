@@ -9,16 +9,20 @@ Tokens are runs without space or 0x09-0x0D, A-Z lower-cased. Null or empty docum
 nothing; items of under ``SHORT`` words are compared wherever one of their words occurs. Repeated items are found under each of their ids.
 
 The benchmark is cut into slabs of at most ``SLAB`` words; each slab is broadcast and held against all documents, so a
-benchmark of any size is worked on whole with bounded memory per task.
+benchmark of any size is worked on whole with bounded memory per task. The result does not depend on the number of slabs: rows are
+told apart by a number of their own, so repeated rows, repeated identifiers and null identifiers each keep their row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.base import over_texts
+from touchline.llm.base import cut_lineage, over_texts, raw
 from touchline.llm.hashing import Words, mix
 
 WINDOW, SHARE = 20, 80
@@ -119,34 +123,55 @@ def _slabs(bench: DataFrame, most: int):
         yield items
 
 
+def _against(docs: DataFrame, shared: Broadcast, window: int, share: int, *keep: str) -> DataFrame:
+    """``keep``, ``n_words`` and ``overlaps`` with the items of one broadcast slab."""
+
+    def work(texts: list[bytes]) -> dict[str, list]:
+        words = Words(texts, lower=True)
+        ends = zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)
+        # All positions are looked up at once; only documents with a hit are then compared.
+        here, _ = shared.value.hits(words.hash)
+        near = set(words.text_of_word()[here].tolist())
+        found = [shared.value.overlaps(words.hash[a:b], window, share) if i in near else [] for i, (a, b) in enumerate(ends)]
+        named = [[{"item_id": i, "first": a, "stop": b, "equal": n} for i, a, b, n in row] for row in found]
+        return {"n_words": np.diff(words.first).tolist(), "overlaps": named}
+
+    kind = "array<struct<item_id bigint, first bigint, stop bigint, equal bigint>>".replace(" bigint", ":bigint")
+    return over_texts(docs, work, f"n_words bigint, overlaps {kind}", *keep)
+
+
 def overlaps(docs: DataFrame, bench: DataFrame, *keep: str, window: int = WINDOW, share: int = SHARE, slab: int = SLAB) -> DataFrame:
-    """``keep``, ``n_words`` and ``overlaps``: an array of (item_id, first, stop, equal), word positions of each verified overlap.
+    """``keep``, ``n_words`` and ``overlaps``: a row per row of ``docs``, with an array of (item_id, first, stop, equal), word positions of
+    each verified overlap, sorted.
 
-    With more than one slab, rows of a document are put together by the columns ``keep``.
+    With more than one slab, rows get a number and are written to the shared folder with the overlaps of the first slab. What later
+    slabs hit is written slab by slab as (number, overlaps) and joined back by the number; no text is a key.
     """
     context = docs.sparkSession.sparkContext
-    parts = []
-    for items in [*_slabs(bench, slab)] or [[]]:
+    slabs = _slabs(bench, slab)
+    shared = context.broadcast(Slab(next(slabs, [])))
+    items = next(slabs, None)
+    if items is None:
+        return _against(docs, shared, window, share, *keep).withColumn("overlaps", F.array_sort("overlaps"))
+
+    # By place, whatever the names of ``keep``; the text is written once.
+    names = [f"_{i}" for i in range(len(keep))]
+    numbered = raw(docs, *keep).withColumnRenamed("_text", "text").withColumn("_row", F.monotonically_increasing_id())
+    own = f"_{keep.index('text')}" if "text" in keep else "text"
+    rows = cut_lineage(_against(numbered, shared, window, share, *names, "_row", *(["text"] if own == "text" else [])))
+    shared.destroy()
+    texts = rows.select("_row", F.col(own).alias("text"))
+    hits = []
+    while items is not None:
         shared = context.broadcast(Slab(items))
-
-        def work(texts: list[bytes], shared=shared) -> dict[str, list]:
-            words = Words(texts, lower=True)
-            ends = zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)
-            # All positions are looked up at once; only documents with a hit are then compared.
-            here, _ = shared.value.hits(words.hash)
-            near = set(words.text_of_word()[here].tolist())
-            found = [shared.value.overlaps(words.hash[a:b], window, share) if i in near else [] for i, (a, b) in enumerate(ends)]
-            named = [[{"item_id": i, "first": a, "stop": b, "equal": n} for i, a, b, n in row] for row in found]
-            return {"n_words": np.diff(words.first).tolist(), "overlaps": named}
-
-        kind = "array<struct<item_id bigint, first bigint, stop bigint, equal bigint>>".replace(" bigint", ":bigint")
-        parts.append(over_texts(docs, work, f"n_words bigint, overlaps {kind}", *keep))
-    out = parts[0]
-    if len(parts) > 1:
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy(*keep).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("overlaps")).alias("overlaps"))
-    return out
+        found = _against(texts, shared, window, share, "_row").where(F.size("overlaps") > 0)
+        hits.append(cut_lineage(found.select("_row", F.col("overlaps").alias("_more"))))
+        shared.destroy()
+        items = next(slabs, None)
+    more = reduce(DataFrame.unionByName, hits).groupBy("_row").agg(F.flatten(F.collect_list("_more")).alias("_more"))
+    every = F.when(F.col("_more").isNull(), F.col("overlaps")).otherwise(F.concat("overlaps", "_more"))
+    out = rows.join(more, "_row", "left").select(*names, "n_words", F.array_sort(every).alias("overlaps"))
+    return out.toDF(*keep, "n_words", "overlaps")
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:

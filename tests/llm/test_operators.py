@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -474,3 +475,33 @@ def test_toxicity_on_held_out_documents(spark):
     scored = toxicity.score(docs, toxicity.learn(docs, known), "doc_id").join(known, "doc_id").where("crc32(cast(doc_id as string)) % 5 = 0").collect()
     right = sum(r["predicted"] == r["toxic"] for r in scored)
     assert right >= 0.95 * len(scored)
+
+
+def test_toxicity_scores_do_not_move_with_the_sample(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(3000):
+        w, toxic = passage(20000 + i, 25).split(), i % 10 == 0
+        for term in ("blarg", "dworbel", "quizzlat"):
+            if rng.random() < (0.35 if toxic else 0.01):
+                w.insert(rng.randrange(len(w)), term)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    assert toxicity.class_sizes(docs.union(docs.where("doc_id = 1")), known.where("doc_id <> 2")) == {
+        k: sum(int(t == k) for i, t in labels if zlib.crc32(str(i).encode()) % 5 and i != 2) + (k == 0 and zlib.crc32(b"1") % 5 > 0) for k in (0, 1)
+    }
+    scores = {}
+    for sample in (10**6, 240):  # the smaller one leaves toxic whole, or nearly so, and cuts clean to a tenth
+        scores[sample] = np.array([r["score"] for r in toxicity.score(docs, toxicity.learn(docs, known, sample=sample), "doc_id").orderBy("doc_id").collect()])
+        assert abs(scores[sample].mean() - 0.1) < 0.02
+    whole, cut = scores.values()
+    assert ((whole >= 0.5) != (cut >= 0.5)).mean() < 0.02
+    plain = whole == np.median(whole)  # documents without a match
+    assert abs(np.log(whole[plain] / (1 - whole[plain])).mean() - np.log(cut[plain] / (1 - cut[plain])).mean()) < 0.5
+
+
+def test_fit_weights_counts_are_repeats():
+    rng = np.random.default_rng(3)
+    x, y, n = rng.random((40, 2)), rng.integers(0, 2, 40).astype(float), rng.integers(1, 5, 40)
+    assert np.allclose(toxicity.fit_weights(x, y, counts=n), toxicity.fit_weights(np.repeat(x, n, axis=0), np.repeat(y, n)))

@@ -1,8 +1,8 @@
 """Toxicity scores from a learned lexicon, matched with misspellings, and the words around each match.
 
 ``learn`` takes a lexicon (terms that tell toxic from clean documents) and the weights of a small logistic model from a bounded
-sample of labelled documents; ``score`` applies both to every whole text. A lexicon trie is intersected with a Levenshtein
-automaton: a state is a set of (trie node, edits left), made when first met, so a word costs one lookup per character until no
+sample of labelled documents, each class weighted to its share of all labelled ones; ``score`` applies both to every whole text.
+A lexicon trie is intersected with a Levenshtein automaton: a state is a set of (trie node, edits left), made when first met, so a word costs one lookup per character until no
 term is in reach. Each match counts by the evidence of its term, as exact or misspelled, and by its context window: other
 matches nearby and address of the reader speak for abuse, quotation marks around the match or verbs of report before it speak
 against.
@@ -191,13 +191,18 @@ class Reader:
         return [best, soft(total), soft(exact), soft(near), soft(quoted), soft(close), soft(address), soft(100 * total / (len(words) + 20))]
 
 
+def usable_labels(labels: DataFrame, target: str = "toxic") -> DataFrame:
+    """``labelled``, ``label``: one row for each identifier with a label outside the held-out fold."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & (fold_of(F.col("doc_id")) != 0))
+    return usable.groupBy(F.col("doc_id").alias("labelled")).agg(F.max(target).cast("int").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """``text`` and ``label`` of at most ``sample`` documents of each class outside the held-out fold.
 
     The identifiers chosen are bounded, so they are broadcast; the texts are never shuffled.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & (fold_of(F.col("doc_id")) != 0))
-    once = usable.groupBy(F.col("doc_id").alias("labelled")).agg(F.max(target).cast("int").alias("label"))
+    once = usable_labels(labels, target)
     pick = lambda value: once.where(F.col("label") == value).orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     chosen = pick(1).unionByName(pick(0))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -213,6 +218,12 @@ def _least(texts: list[bytes]) -> dict[str, list]:
     return {"least": least, "copy": [t.decode("utf-8", "replace") for t in texts]}
 
 
+def class_sizes(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> dict[int, int]:
+    """Documents of each class outside the held-out fold, over all rows: what ``labelled_sample`` draws from. Two rows come to the driver."""
+    rows = docs.groupBy("doc_id").count().join(usable_labels(labels, target), F.col("doc_id") == F.col("labelled"))
+    return {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.sum("count").alias("n")).collect()}
+
+
 def lexicon(sample: DataFrame, terms: int = TERMS, support: int = SUPPORT) -> tuple[list[str], list[float]]:
     """Terms, then beginnings of words, whose share among toxic documents is far above that among clean ones; log odds as evidence."""
     size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
@@ -233,16 +244,20 @@ def lexicon(sample: DataFrame, terms: int = TERMS, support: int = SUPPORT) -> tu
     return [r["word"] for r in rows], [float(min(r["odds"], 8.0)) for r in rows]
 
 
-def fit_weights(rows: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> list[float]:
-    """Logistic weights (intercept first) by Newton steps with a ridge; few features, so this is a small local sum."""
+def fit_weights(rows: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 40, counts: np.ndarray | None = None) -> list[float]:
+    """Logistic weights (intercept first) by Newton steps with a ridge; few features, so this is a small local sum.
+
+    ``counts``: how many documents each row stands for (default: one).
+    """
+    counts = np.ones(len(rows)) if counts is None else counts
     x = np.hstack([np.ones((len(rows), 1)), rows])
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - target) + penalty * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        gradient = x.T @ (counts * (p - target)) + penalty * w
+        curve = (x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         move = np.linalg.solve(curve, gradient)
         w -= np.clip(move, -4, 4)
         if np.abs(move).max() < 1e-6:
@@ -251,7 +266,11 @@ def fit_weights(rows: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds
 
 
 def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Lexicon and weights from the bounded sample; features come to the driver as counted distinct rows."""
+    """Lexicon and weights from the bounded sample; features come to the driver as counted distinct rows.
+
+    The sample takes classes in other shares than they have (the larger class is cut first, copies are left out), so the rows of
+    each class stand for all documents of the class: the level of the scores does not move with ``sample`` or the input's size.
+    """
     rows = labelled_sample(docs, labels, target, sample)
     model = Model(*lexicon(rows))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -263,9 +282,10 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
     seen = over_texts(rows, work, "features array<double>", "label").collect()
     if seen:
         found = Counter((tuple(np.round(r["features"], 4)), r["label"]) for r in seen)
-        x = np.repeat([k[0] for k in found], list(found.values()), axis=0)
-        y = np.repeat([k[1] for k in found], list(found.values())).astype(float)
-        model.weights = fit_weights(x, y) if 0 < y.sum() < len(y) else [20.0 if y.all() else -20.0, *[0.0] * FEATURES]
+        x, y = np.array([k[0] for k in found]), np.array([k[1] for k in found], float)
+        real, taken = class_sizes(docs, labels, target), Counter(r["label"] for r in seen)
+        counts = np.array([n * real[k[1]] / taken[k[1]] for k, n in found.items()])
+        model.weights = fit_weights(x, y, counts=counts) if 0 < y.sum() < len(y) else [20.0 if y.all() else -20.0, *[0.0] * FEATURES]
     else:
         model.weights = [-20.0, *[0.0] * FEATURES]
     return model

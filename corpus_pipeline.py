@@ -23,9 +23,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least identifier. Empty documents have no duplicates."""
-    found = ngram_join.join(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each group of near duplicates: the one with the least identifier (null last), any one of equal identifiers.
+
+    Rows are told apart by a number, written once, so copies that share an identifier or have none are found as well, and another
+    text under the identifier of a copy stays. Empty documents have no duplicates.
+    """
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = ngram_join.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    members = found.join(rows.select("_row", "doc_id"), "_row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"))
+    gone = found.join(first.select(F.col("least._row").alias("_row")), "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

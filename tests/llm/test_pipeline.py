@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tests.llm.test_operators import plain_components
+from tests.llm.test_operators import passage, plain_components
 from tools.check import TABLES, compare
 from touchline.llm import queries
 from touchline.llm.base import table
@@ -63,3 +63,13 @@ def test_stages_on_awkward_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             kept = stage(spark, kept, FOLDER)
         assert kept.count() == some.count()
+
+
+def test_near_duplicates_of_repeated_and_null_identifiers(spark):
+    one, two, three, four = (passage(7000 + k, 60) for k in range(4))
+    rows = [(1, one), (1, one), (2, one), (3, two), (3, one), (None, one), (None, three), (None, three), (None, four), (5, ""), (5, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    want = [(1, one), (3, two), (None, three), (None, four), (5, ""), (5, ""), (None, None)]
+    assert kept.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter(want)

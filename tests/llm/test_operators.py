@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from touchline.llm import byte_bpe, decontam, ngram_join, pii, quality_rules, queries, secret_scan, sharding, suffix_dedup, token_counts, toxicity
 from touchline.llm.components import components
@@ -168,6 +169,38 @@ def test_token_book(spark, docs):
     assert rows_of(small.totals()) == rows_of(book.totals())
 
 
+def test_token_book_counts_every_row(spark):
+    rows = [(1, "s", "a b"), (1, "s", "a b"), (1, "s", "c"), (1, "z", "d"), (None, "s", "e f g"), (None, "s", "h"), (None, None, "i"), (2, "s", None)]
+    docs = spark.createDataFrame([(i, s, "en", t) for i, s, t in rows], "doc_id bigint, source string, lang string, text string")
+    book = token_counts.Book(spark, token_counts.new_book(spark))
+
+    def totals(some):
+        return sorted((r["source"], r["documents"], r["tokens"]) for r in some.totals().collect())
+
+    book.commit("a", token_counts.counted(docs, "words-1"))
+    want = [("", 1, 1), ("s", 6, 9), ("z", 1, 1)]
+    assert totals(book) == want
+    book.commit("b", token_counts.counted(docs, "words-1"))  # nothing changed
+    assert totals(book) == want and totals(book.compact(token_counts.new_book(spark))) == want
+    book.commit("c", token_counts.removed(docs.where("doc_id is null"), "words-1"))
+    assert totals(book) == [("s", 4, 5), ("z", 1, 1)]
+    book.commit("d", token_counts.counted(docs.where("doc_id = 1 and text = 'c'"), "words-1"))
+    assert totals(book) == [("s", 2, 1)]
+
+
+def test_token_book_of_encoded_tokens(spark, docs):
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(), special_tokens={})
+    want = collections.Counter()
+    for i, t in corpus():
+        want["s" if (i or 0) % 2 else ""] += len(plain.encode_ordinary(t or ""))
+    book = token_counts.Book(spark, token_counts.new_book(spark))
+    book.commit("a", token_counts.encoded(docs, VOCABULARY, "byte-bpe-50k"))
+    assert {r["source"]: r["tokens"] for r in book.totals().collect()} == dict(want)
+    book.commit("b", token_counts.removed(docs.where("doc_id = 12"), "words-1").withColumn("tokenizer", F.lit("byte-bpe-50k")))
+    want[""] -= len(plain.encode_ordinary(dict(corpus())[12]))
+    assert {r["source"]: r["tokens"] for r in book.totals().collect()} == dict(want)
+
+
 # 4
 
 

@@ -8,8 +8,12 @@ Batches are numbered by name. A batch is written to a folder of its own and then
 skipped, and what a lost attempt left is overwritten, so a commit may be repeated at any time. ``compact`` folds all
 batches into one.
 
-Null source or language is the empty text; null texts have no tokens. Documents that repeat within a batch count once for each
-row of equal content taken together: the last by tokens, then source and language. Unknown documents to delete change nothing.
+Null source or language is the empty text; null texts have no tokens. Rows of a batch that repeat an identifier count each on their
+own, and so do rows without one. A later batch replaces all rows of each identifier that it names; null is an identifier here like
+any other. Unknown documents to delete change nothing.
+
+``words-1`` and ``bytes4-1`` are what SQL can express: words between blanks, and a quarter of the bytes as an estimate. ``encoded``
+counts the tokens of the byte-level encoder.
 """
 
 from __future__ import annotations
@@ -17,12 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.llm import byte_bpe
 from touchline.session import new_folder
 
 KEY = ["doc_id", "tokenizer"]
 GROUP = ["source", "lang", "tokenizer"]
 COUNTERS: dict[str, Column | None] = {"words-1": None, "bytes4-1": None}
-DELTAS = "doc_id bigint, source string, lang string, tokenizer string, sign int, tokens bigint"
+DELTAS = "doc_id bigint, source string, lang string, tokenizer string, sign bigint, tokens bigint"
 
 
 def counter(version: str) -> Column:
@@ -34,12 +39,22 @@ def counter(version: str) -> Column:
     raise ValueError(f"no tokenizer version {version}")
 
 
+def blank(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit("")).alias(name)
+
+
 def counted(docs: DataFrame, version: str) -> DataFrame:
     """A batch of the present counts of ``docs``."""
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return docs.select("doc_id", blank("source"), blank("lang"), F.lit(version).alias("tokenizer"), counter(version).alias("tokens"))
 
 
+def encoded(docs: DataFrame, vocabulary: str, version: str) -> DataFrame:
+    """A batch of the present counts of ``docs`` in tokens of the byte-level encoder with this vocabulary."""
+    coded = byte_bpe.encode(docs, vocabulary, "doc_id", "source", "lang")
+    tokens = (F.octet_length("ids") / 4).cast("bigint")
+    return coded.select("doc_id", blank("source"), blank("lang"), F.lit(version).alias("tokenizer"), tokens.alias("tokens"))
+
+
 def removed(docs: DataFrame, version: str) -> DataFrame:
     """A batch that deletes ``docs``."""
     return counted(docs.withColumn("text", F.lit("")), version).withColumn("tokens", F.lit(None).cast("bigint"))
@@ -76,16 +91,18 @@ class Book:
         names = self._names()
         if name in names:
             return False
-        present = batch.groupBy(*KEY).agg(F.max(F.struct("tokens", "source", "lang")).alias("now"))
-        present = present.select(*KEY, F.col("now.source").alias("source"), F.col("now.lang").alias("lang"), "now.tokens")
-        change = present
+        # Rows in ``documents`` of a batch stand for that many documents (those of ``compact``).
+        each = F.col("documents") if "documents" in batch.columns else F.lit(1)
+        present = batch.groupBy(*KEY, "source", "lang").agg(F.sum(F.when(F.col("tokens").isNotNull(), each).otherwise(0)).alias("sign"), F.sum("tokens").alias("tokens"))
+        signed = present.where("sign > 0").select(*KEY, "source", "lang", "sign", "tokens")
         if names:
-            held = self.deltas().join(present.select(*KEY), KEY, "left_semi").groupBy(*KEY, "source", "lang").agg(F.sum("sign").alias("sign"), F.sum("tokens").alias("tokens"))
-            back = held.where("sign <> 0 or tokens <> 0").select(*KEY, "source", "lang", (-F.col("sign")).cast("int").alias("sign"), (-F.col("tokens")).alias("tokens"))
-        plus = change.where(F.col("tokens").isNotNull()).select(*KEY, "source", "lang", F.lit(1).alias("sign"), "tokens")
-        signed = plus.unionByName(back) if names else plus
+            named = present.select(F.col("doc_id").alias("named"), F.col("tokenizer").alias("version")).distinct()
+            same = F.col("doc_id").eqNullSafe(F.col("named")) & (F.col("tokenizer") == F.col("version"))
+            held = self.deltas().groupBy(*KEY, "source", "lang").agg(F.sum("sign").alias("sign"), F.sum("tokens").alias("tokens")).where("sign <> 0 or tokens <> 0")
+            back = held.join(named, same, "left_semi")
+            signed = signed.unionByName(back.select(*KEY, "source", "lang", (-F.col("sign")).alias("sign"), (-F.col("tokens")).alias("tokens")))
         # A document that did not change leaves no rows.
-        net = signed.groupBy(*KEY, "source", "lang").agg(F.sum("sign").cast("int").alias("sign"), F.sum("tokens").alias("tokens")).where("sign <> 0 or tokens <> 0")
+        net = signed.groupBy(*KEY, "source", "lang").agg(F.sum("sign").alias("sign"), F.sum("tokens").alias("tokens")).where("sign <> 0 or tokens <> 0")
         net.select("doc_id", "source", "lang", "tokenizer", "sign", "tokens").write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
         self.spark.range(1).select(F.lit(len(names)).cast("bigint").alias("at"), F.lit(name).alias("batch")).coalesce(1).write.mode("overwrite").json(f"{self.path}/done/{len(names):08d}")
         return True
@@ -96,8 +113,8 @@ class Book:
         return sums.where("documents <> 0 or tokens <> 0")
 
     def compact(self, path: str) -> Book:
-        """The book with one row for each document, as a new book under ``path``."""
+        """The book with one row for each document, source and language, as a new book under ``path``."""
         out = Book(self.spark, path)
         left = self.deltas().groupBy(*KEY, "source", "lang").agg(F.sum("sign").alias("sign"), F.sum("tokens").alias("tokens")).where("sign > 0")
-        out.commit("compacted", left.select(*KEY, "source", "lang", "tokens"))
+        out.commit("compacted", left.select(*KEY, "source", "lang", "tokens", F.col("sign").alias("documents")))
         return out

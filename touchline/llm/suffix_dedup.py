@@ -1,17 +1,17 @@
-"""Removal of byte strings that repeat anywhere in the corpus, by a sparse suffix array.
+"""Removal of byte strings that repeat anywhere in the corpus, by fingerprints at anchors.
 
 A byte goes when some ``LENGTH``-byte string over it also starts elsewhere, in the same document or another.
 
-Sorting the suffixes at every byte would move each text ``LENGTH`` times. Only suffixes at anchors are sorted: the anchor of a
+Sorting the suffixes at every byte would move each text ``LENGTH`` times. Only anchors are entered: the anchor of a
 window is the place of the least hash among its ``LEAD``-byte strings, so equal windows have their anchors at equal places. All
 windows with one anchor form a run of starts, and the run's segment is every byte they cover.
 
 1. Sampled splitters range-partition the anchor suffixes by their leading bytes. Tasks send one of equal runs and report the
    others as repeated, so a passage in a third of all documents reaches its bucket once per task.
-2. A bucket sorts by multikey quicksort (leading bytes, anchor string, segment) and compares neighbours. Equal segments: every
+2. A bucket orders by leading bytes and the hashes of anchor string and segment, which groups equal ones, and compares neighbours. Equal segments: every
    window of the run repeats. Equal anchors with different segments: the run is mixed, some of its windows may repeat.
    A bucket gets whole key ranges, so equal leading bytes never straddle a boundary.
-3. Windows of mixed runs only (the edges of repeats) are hashed one by one, partitioned by sampled ranges of the hash, sorted and
+3. Windows of mixed runs only (the edges of repeats) are hashed one by one, partitioned by fixed ranges of the hash, sorted and
    compared again.
 4. Spans of each document are united and cut out of its text.
 

@@ -1,15 +1,19 @@
 """Registered queries against their SQL, and the pipeline stage by stage against plain versions."""
 
 import collections
+import hashlib
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tests.llm.test_operators import passage, plain_components
+from tests.llm.test_operators import VOCABULARY, passage, plain_components, ranks, words
 from tools.check import TABLES, compare
-from touchline.llm import queries
+from touchline.llm import pii, queries, toxicity
 from touchline.llm.base import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -73,3 +77,79 @@ def test_near_duplicates_of_repeated_and_null_identifiers(spark):
     want = [(1, one), (3, two), (None, three), (None, four), (5, ""), (5, ""), (None, None)]
     assert kept.columns == docs.columns
     assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter(want)
+
+
+def awkward(spark):
+    """Documents of the folder, one with a benchmark item inside, one with personal data, and repeated, nameless and empty ones."""
+    item = next(r["text"] for r in table(spark, FOLDER, "benchmark").orderBy("item_id").collect() if len(words(r["text"])) >= 20)
+    mail = "mail me: a.b@mail.example.com or 10.20.30.40, card 4111 1111 1111 1111"
+    rows = [(900001, passage(1, 9) + " " + item + " " + passage(2, 5)), (900002, mail), (900002, mail), (None, mail), (None, "x y z"), (900003, None), (900004, "")]
+    own = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return table(spark, FOLDER, "documents").select(own.columns).unionByName(own)
+
+
+def counted(df, *columns):
+    return collections.Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+def test_toxicity_stage_keeps_what_is_predicted_clean(spark, monkeypatch):
+    docs = awkward(spark)
+    model = toxicity.learn(table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels"))
+    monkeypatch.setattr(toxicity, "learn", lambda *_: model)
+    reader, weights = toxicity.Reader(model), np.array(model.weights)
+    toxic = lambda text: weights[0] + np.array(reader.features(text or "")) @ weights[1:] >= 0
+    want = collections.Counter(tuple(r) for r in docs.collect() if not toxic(r["text"]))
+    assert 0 < sum(want.values()) < docs.count()
+    assert counted(corpus_pipeline.drop_toxic(spark, docs, FOLDER), *docs.columns) == want
+
+
+def test_decontamination_stage_drops_what_overlaps(spark):
+    docs = awkward(spark)
+    number = {}
+    hashed = lambda text: np.array([number.setdefault(w.lower(), len(number)) for w in words(text)])
+    items = [h for r in table(spark, FOLDER, "benchmark").collect() if len(h := hashed(r["text"]))]
+
+    def overlaps(own, item):
+        size = min(20, len(item))
+        for shift in range(size - len(item), len(own) - size + 1):
+            a, b = max(0, shift), min(len(own), shift + len(item))
+            same = np.concatenate([[0], np.cumsum(own[a:b] == item[a - shift : b - shift])])
+            if b - a >= size and (100 * (same[size:] - same[:-size]) >= 80 * size).any():
+                return True
+        return False
+
+    want = collections.Counter(tuple(r) for r in docs.collect() if not any(overlaps(hashed(r["text"]), item) for item in items))
+    assert 0 < sum(want.values()) < docs.count()
+    assert counted(corpus_pipeline.drop_contaminated(spark, docs, FOLDER), *docs.columns) == want
+
+
+def test_pii_stage_replaces_the_spans_found(spark):
+    docs = awkward(spark)
+    spans = {r["text"] or "": [tuple(s) for s in r["spans"]] for r in pii.find(docs, "text").collect()}
+    assert any(spans.values())
+
+    def masked(text):
+        out, last = "", 0
+        for kind, a, b in sorted(spans[text], key=lambda s: s[1:]):
+            if a >= last:
+                out += text[last:a] + f"<{kind}>"
+            last = max(last, b)
+        return out + text[last:]
+
+    want = collections.Counter()
+    for r in docs.collect():
+        new = None if r["text"] is None else masked(r["text"])
+        want[(r["doc_id"], new, r["lang"], r["source"], None if new is None else len(new))] += 1
+    assert counted(corpus_pipeline.mask_private(spark, docs, FOLDER), *docs.columns) == want
+
+
+def test_byte_bpe_stage_equals_tiktoken(spark):
+    docs = awkward(spark)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(), special_tokens={})
+    want = collections.Counter()
+    for r in docs.collect():
+        text = r["text"] or ""
+        ids = np.array(plain.encode_ordinary(text), "<u4").tobytes()
+        want[(r["doc_id"], len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())] += 1
+    found = corpus_pipeline.tokenize(spark, docs, FOLDER)
+    assert counted(found, *found.columns) == want

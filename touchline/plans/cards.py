@@ -107,9 +107,11 @@ def _(i: Inputs):
     return D.side_shift_candidates(i.events, **SHIFT)
 
 
-@query("h4_side_shift_cards", f"with {SHIFT_CARDS} select {POS}, channel, {', '.join(RB)}, r as recent_total, b as baseline_total, {LOSING} as losing_channels, 'bridge' as sources from shifts", recursive=True)
+@query("h4_side_shift_cards", f"with {SHIFT_CARDS} select {POS}, channel, {', '.join(RB)}, r as recent_total, b as baseline_total, {LOSING} as losing_channels, 'bridge' as sources from shifts where match_id in (select match_id from acc)", recursive=True)
 def _(i: Inputs):
-    return D.side_shift_cards(i.events, **SHIFT)
+    from touchline.plans.build import published
+
+    return published(i, "side_shift_cards")
 
 
 @query("h4_side_shift_evidence", f"""with {SHIFT_CARDS} select t.match_id, t.team_id, t.sequence as card_sequence, f.event_id, f.ch as channel,

@@ -24,13 +24,17 @@ def landed(spark: SparkSession, folder: str, layer: str, build: Callable[[], Dat
     event context and the fixed windows. The key holds the input files with length and time of change, so a table that was
     rewritten under the same name is read again.
     """
-    files = _files(spark, bridge.table(spark, folder, "events").inputFiles())
-    key = (spark.sparkContext.applicationId, folder, files, layer)
+    key = (*source_key(spark, folder), layer)
     if key not in _landed:
         _landed[key] = cut_lineage(build())
     return _landed[key]
 
 
+def source_key(spark: SparkSession, folder: str) -> tuple:
+    """The session, the folder, and its files of events with length and time of change."""
+    return spark.sparkContext.applicationId, folder, _files(spark, bridge.table(spark, folder, "events").inputFiles())
+
+
 def _files(spark: SparkSession, paths: list[str]) -> tuple:
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     found = []
@@ -110,7 +114,8 @@ class Inputs:
     def substitutions(self) -> DataFrame:
         return self.players.where("player_id % 5 = 0").select(
             "match_id", "team_id", F.col("player_id").alias("player_off_id"),
-            (F.col("player_id") + 1).alias("player_on_id"), F.lit(2).alias("period"),
+            # A team mate comes on; in every ninth match somebody of the other team.
+            F.expr("player_id + case when match_id % 9 = 4 then 1 else -4 end").cast("int").alias("player_on_id"), F.lit(2).alias("period"),
             F.lit(600).cast("decimal(8,3)").alias("period_seconds"),
         )
 

@@ -188,22 +188,6 @@ def _(i: Inputs):
     return L.freeze_at_kickoff(_claims(i)[0], asks).select("match_id", "claim_id", "subject")
 
 
-TABLE_COUNTS = {"team_matches": "tm", "periods": "pe", "final_third_entries": "ent"}
-
-
-@query("k11_definitions", " union all ".join(f"select '{n}' as table_name, 1 as definition_version, count(*) as rows from {t}" for n, t in TABLE_COUNTS.items())
-       + "".join(f" union all select '{n}', 1, null" for n in L.DEFINITIONS if n not in TABLE_COUNTS))
-def _(i: Inputs):
-    from touchline.operators import context as C
-
-    tables = {"team_matches": S.team_matches(i.matches), "periods": S.periods(i.events), "final_third_entries": C.final_third_entries(i.context)}
-    counts = None
-    for name, df in tables.items():
-        row = df.agg(F.count("*").alias("rows")).withColumn("table_name", F.lit(name))
-        counts = row if counts is None else counts.unionByName(row)
-    return L.definitions(i.spark).join(counts, "table_name", "left").select("table_name", "definition_version", "rows")
-
-
 @query("k12_provenance", "select match_id, 'abc123' as run_source_commit, '1' as run_split_version, count(*) as events from me group by match_id")
 def _(i: Inputs):
     found = i.events.groupBy("match_id").agg(F.count("*").alias("events"))

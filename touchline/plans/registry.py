@@ -16,6 +16,7 @@ DIGITS = 6
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+_texts: dict[str, tuple[str, bool, bool]] = {}
 # Shared parts of the comparison SQL: name -> (text after ``name as``, names it uses).
 PARTS: dict[str, str] = {}
 
@@ -74,7 +75,12 @@ def query(name: str, sql: str | None = None, bridge: bool = True, recursive: boo
     def add(build: Callable[[Inputs], DataFrame]):
         QUERIES[name] = lambda spark, folder: plain(build(Inputs(spark, folder)))
         if sql is not None:
-            SQL[name] = with_parts(sql, recursive) if bridge else sql
+            _texts[name] = (sql, recursive, bridge)
         return build
 
     return add
+
+
+def compose() -> None:
+    """Fill ``SQL`` once all parts are declared, whichever module declares them."""
+    SQL.update({name: with_parts(sql, recursive) if bridge else sql for name, (sql, recursive, bridge) in _texts.items()})

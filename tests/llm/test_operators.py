@@ -538,3 +538,65 @@ def test_fit_weights_counts_are_repeats():
     rng = np.random.default_rng(3)
     x, y, n = rng.random((40, 2)), rng.integers(0, 2, 40).astype(float), rng.integers(1, 5, 40)
     assert np.allclose(toxicity.fit_weights(x, y, counts=n), toxicity.fit_weights(np.repeat(x, n, axis=0), np.repeat(y, n)))
+
+
+# Awkward input of any size
+
+
+def test_word_hashes_of_crafted_words():
+    """Two words of 1,024 letters whose letters are ordered so that sums of odd powers agree."""
+    order = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in order).encode() for flip in (0, 1))
+    found = Words([one, two, one + b"x", one[:-1], b"", b"a", b"a\0"])
+    assert len(set(found.hash.tolist())) == 6
+    around = Words([b"short " + one + b" \n" + two, one])
+    assert around.hash[1] == found.hash[0] == around.hash[3] and around.hash[2] == found.hash[1]
+
+
+def test_pii_anchors_find_what_the_patterns_find():
+    rng = random.Random(11)
+    spelled = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?[\[(]dot[\])] ?[A-Za-z]+)+", re.IGNORECASE)
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "b1", ".", "@", "@", " ", "-", "(at)", "[AT]", " (dot) ", "[dot]", "é", "7", "com"]) for _ in range(rng.randint(1, 18)))
+        assert pii.anchored(text, pii.AT, pii.DOMAIN) == [m.span() for m in pii.EMAIL.finditer(text)], text
+        assert pii.anchored(text, pii.SPELLED_AT, pii.SPELLED_DOMAIN, " ") == [m.span() for m in spelled.finditer(text)], text
+        digits = "".join(rng.choice("..019 2") for _ in range(rng.randint(1, 25)))
+        assert [m.span() for m in pii.IP_ONCE.finditer(digits)] == [m.span() for m in pii.IP.finditer(digits)], digits
+
+
+@pytest.mark.parametrize("text", ["a" * 2_000_000, "1" * 2_000_000, "0" * 5000 + ".1.1.1", "1." * 1_000_000, "a@" * 1_000_000, "x(at)" * 400_000, "+1 " * 700_000, "a@b.co 10.1.1.1 " * 60_000])
+def test_pii_of_long_texts(text):
+    found = pii._find([text.encode()])["candidates"][0]
+    assert len(found) == {"0": 1, "a@b.": 120_000}.get(text[:1] if text[0] == "0" else text[:4], len(found))
+
+
+def test_pii_silence_counts():
+    """Votes as the operator makes them: one-sided ones tell the classes apart by how often they are cast."""
+    rng = random.Random(6)
+    counts, true = collections.Counter(), collections.Counter()
+    for _ in range(20_000):
+        truth = rng.random() < 0.5
+        cast = lambda yes, no, vote, other=-1: vote if rng.random() < (yes if truth else no) else other  # noqa: B023, E731
+        votes = (cast(0.8, 0.2, 1, 0), 1, cast(0.9, 0.3, 1), cast(0.6, 0.05, 1), cast(0.05, 0.4, 0))
+        counts[votes] += 1
+        true[votes] += truth
+    patterns = [(list(v), n) for v, n in sorted(counts.items())]
+    posterior, _ = pii.reliabilities(patterns)
+    for (votes, n), p in zip(patterns, posterior, strict=True):
+        assert n < 100 or abs(p - true[tuple(votes)] / n) < 0.1, (votes, n, p)
+
+
+def test_kept_columns_may_have_any_name(spark):
+    names = ["doc_id", "text", "row_number", "base", "more", "assign", "access", "hex", "candidates", "spans"]
+    rows = spark.createDataFrame([(1, "token=abcdef12 a@b.co", *["k"] * 8), (None, None, *["k"] * 8)], ", ".join(f"`{n}` {'bigint' if n == 'doc_id' else 'string'}" for n in names))
+    for found in (secret_scan.find(rows, *names), pii.find(rows, *names)):
+        assert found.columns == [*names, "base", "spans"]
+        assert sorted(len(r[len(names)]) for r in found.collect()) == [0, 1]
+
+
+def test_ngram_join_links_through_rows_without_identifier(spark):
+    base = passage(31, 200).split()
+    a, n, b = base[:], base[:3] + ["n"] + base[4:], base[:3] + ["n"] + base[4:190] + ["b"] * 3 + base[193:]
+    a = a[:20] + ["c"] * 3 + a[23:]
+    rows = spark.createDataFrame([(1, " ".join(a)), (None, " ".join(n)), (2, " ".join(b)), (5, "other words that stand alone here")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngram_join.join(rows).collect()) == [(0, 1), (1, 1), (2, 1), (5, 5)]

@@ -1,7 +1,7 @@
 """64-bit hashes of words and word windows for many texts at once.
 
-Words are runs of bytes other than space and 0x09-0x0D. A word's hash is a polynomial over random byte values, taken from
-prefix sums modulo 2^64, so no Python code runs for each word.
+Words are runs of bytes other than space and 0x09-0x0D. A word is read in pieces of eight bytes; each piece is mixed with its
+number in the word before the sum, so no Python code runs for each word and no identity of sums carries over to words.
 """
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ import numpy as np
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+# Rolling hashes of byte windows (``suffix_dedup``): a polynomial over random byte values, modulo 2^64.
 _VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
+_ONE, _TWO = np.random.default_rng(20240229).integers(1, 2**63, 2, dtype=np.uint64)
+
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -46,16 +49,25 @@ class Words:
         if not blank[0]:
             edge = np.concatenate([[0], edge])
         self.start, self.end = edge[0::2], edge[1::2]
-        values = _VALUES[line]
-        values *= _series(_BASE, len(line))
-        np.cumsum(values, out=values)
-        sums = np.where(self.start > 0, values[self.start - 1], np.uint64(0))
-        own = (values[self.end - 1] - sums) * _series(_BACK, len(line))[self.start]
-        self.hash = mix(own + (self.end - self.start).astype(np.uint64) * M2)
+        self.hash = self._hashes(data)
         at = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.text_at = at
         self.first = np.searchsorted(self.start, at)
 
+    def _hashes(self, data: bytes) -> np.ndarray:
+        size = self.end - self.start
+        if not len(size):
+            return np.empty(0, np.uint64)
+        pieces = (size + 7) // 8
+        first = np.cumsum(pieces) - pieces
+        word = np.repeat(np.arange(len(size)), pieces)
+        number = np.arange(len(word)) - first[word]
+        eight = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))[self.start[word] + 8 * number]
+        left = np.minimum(size[word] - 8 * number, 8).astype(np.uint64)
+        eight &= np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left)
+        sums = np.add.reduceat(mix(mix(eight + _ONE) ^ (number.astype(np.uint64) * M1 + _TWO)), first)
+        return mix(sums + size.astype(np.uint64) * M2)
+
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 

@@ -16,7 +16,7 @@ Each search sets the longest lists of a query aside (DivideSkip), merges the sho
 often enough to still reach T, and probes the long lists for those by binary search.
 
 Null and empty texts have empty sets and are linked with nothing. Rows that repeat an identifier are rows of their own with
-that identifier. With no rows the result is empty.
+that identifier. Rows with a null identifier take part like all others; a component of such rows alone has the null identifier. With no rows the result is empty.
 """
 
 from __future__ import annotations
@@ -356,6 +356,9 @@ def _sets(docs: DataFrame, own: DataFrame, wanted: DataFrame, width: int) -> Dat
     if one.count() <= SMALL:
         chosen = F.broadcast(chosen)
     texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("one")).select("doc_id", "text")
+    if not one.where("one is null").isEmpty():
+        # Classes of rows without an identifier: any of those rows may hold the text.
+        texts = texts.unionByName(docs.where("doc_id is null").select("doc_id", "text"))
 
     def work(texts: list[bytes]) -> dict[str, list]:
         sets = shingle_sets(texts, width)

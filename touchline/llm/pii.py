@@ -15,6 +15,7 @@ candidates at all, reliabilities stay at their prior and nothing is added.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -29,9 +30,15 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# Loose writings: an address with its signs spelled out, a national phone number, four groups of digits.
+# The same languages for long texts: what stands before an anchor is walked back to, and digits are only entered at their first,
+# so no start is tried twice and time grows with the length.
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+AT, DOMAIN = re.compile("@"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IP_ONCE = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+SPELLED_AT = re.compile(r"[\[(]at[\])] ?", re.IGNORECASE)
+SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z]++)+", re.IGNORECASE)
+# Loose writings: a national phone number, four groups of digits; an address with its signs spelled out is found by its anchor.
 LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?[\[(]dot[\])] ?[A-Za-z]+)+", re.IGNORECASE),
     "phone": re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ .][0-9]{4}){3}(?![0-9])"),
 }
@@ -58,14 +65,31 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def anchored(text: str, anchor: re.Pattern, rest: re.Pattern, gap: str = "") -> list[tuple[int, int]]:
+    """Leftmost non-overlapping names, then ``gap`` at most, ``anchor`` and ``rest``: each character is walked over once."""
+    out, last = [], 0
+    for m in anchor.finditer(text):
+        if m.start() < last:
+            continue
+        end = m.start() - 1 if gap and m.start() > last and text[m.start() - 1] == gap else m.start()
+        a = end
+        while a > last and text[a - 1] in NAME:
+            a -= 1
+        tail = rest.match(text, m.end()) if a < end else None
+        if tail:
+            out.append((a, tail.end()))
+            last = tail.end()
+    return out
+
+
 def strict(text: str) -> list[tuple[str, int, int]]:
     """The base spans, leftmost and without overlap in each kind; failing matches are dropped."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", *s) for s in anchored(text, AT, DOMAIN)]
     if DIGIT.search(text):
         if "." in text:
-            out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+            out += [("ip", *m.span()) for m in IP_ONCE.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split("."))]
         for m in CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -80,13 +104,25 @@ def loose(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int,
     out: list[tuple[str, int, int]] = []
     if not (DIGIT.search(text) or "at" in text.lower()):
         return out
-    spans = sorted((a, b) for _, a, b in taken)
-    for kind, pattern in LOOSE.items():
-        if kind == "email" and not ("[" in text or "(" in text):
-            continue
-        for m in pattern.finditer(text):
-            if all(b <= m.start() or a >= m.end() for a, b in spans):
-                out.append((kind, *m.span()))
+    spans = merged((a, b) for _, a, b in taken)
+    starts = [a for a, _ in spans]
+    found = [("email", *s) for s in anchored(text, SPELLED_AT, SPELLED_DOMAIN, " ")] if "[" in text or "(" in text else []
+    found += [(kind, *m.span()) for kind, pattern in LOOSE.items() for m in pattern.finditer(text)]
+    for kind, a, b in found:
+        near = bisect_left(starts, b) - 1  # the last span that begins before b
+        if near < 0 or spans[near][1] <= a:
+            out.append((kind, a, b))
+    return out
+
+
+def merged(spans) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -100,8 +136,8 @@ def describe(text: str, kind: str, a: int, b: int, is_strict: bool) -> dict:
         check = True
         gazetteer = re.split(r"[^A-Za-z0-9]+", span.rstrip(")] "))[-1].lower() in DOMAINS
     elif kind == "ip":
-        parts = [int(p) for p in span.split(".")]
-        check = all(p == str(int(p)) for p in span.split("."))
+        parts = [int(p.lstrip("0") or "0") for p in span.split(".")]
+        check = all(p == str(n) for p, n in zip(span.split("."), parts, strict=True))
         gazetteer = parts[0] not in (0, 10, 127, 192, 255)
     elif kind == "card":
         check, gazetteer = luhn(digits), digits[0] in "3456"
@@ -131,33 +167,32 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
     return over_texts(docs, _find, f"candidates array<{CANDIDATE}>", *keep)
 
 
-def reliabilities(patterns: list[tuple[list[int], float]], rounds: int = 50, prior: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
-    """EM over counted vote patterns: posterior of each pattern, and P(vote 1 | class, voted) of each labeler, class 0 first.
+def reliabilities(patterns: list[tuple[list[int], float]], rounds: int = 100, prior: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """EM over counted vote patterns: posterior of each pattern, and P(vote 1 | class) of each labeler, class 0 first.
 
-    Labelers are taken as independent given the class; ``prior`` pseudo-counts hold rates away from 0 and 1 and say that a
-    labeler is right more often than not.
+    A vote has three outcomes: 1, 0, or none. Keeping silent tells as much as a vote does: a labeler that only ever votes 1 is
+    told apart by how often it votes in either class. Labelers are taken as independent given the class; ``prior`` pseudo-counts
+    hold rates away from 0 and 1 and say that a labeler is right more often than not, and silent as often in both classes.
     """
     labelers = len(LABELERS)
-    rate = np.array([[0.3] * labelers, [0.8] * labelers])
+    # Pseudo-shares of the outcomes 0, 1 and none in class 0 and class 1.
+    expected = np.array([[0.5, 0.15, 0.35], [0.15, 0.5, 0.35]])
+    rate = np.repeat(expected[:, None, :], labelers, axis=1)
     if not patterns:
-        return np.empty(0), rate
+        return np.empty(0), rate[:, :, 1]
     votes = np.array([v for v, _ in patterns])
     count = np.array([n for _, n in patterns], float)
-    share = 0.5
-    posterior = np.full(len(votes), 0.5)
+    outcome = np.where(votes < 0, 2, votes)
+    share, posterior = 0.5, np.full(len(votes), 0.5)
     for _ in range(rounds):
-        logs = []
-        for c in (0, 1):
-            each = np.where(votes == 1, np.log(rate[c]), np.where(votes == 0, np.log(1 - rate[c]), 0.0))
-            logs.append(each.sum(axis=1) + np.log(share if c else 1 - share))
+        logs = [np.log(rate[c][np.arange(labelers), outcome]).sum(axis=1) + np.log(share if c else 1 - share) for c in (0, 1)]
         posterior = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
         share = float(np.clip((posterior @ count + 1) / (count.sum() + 2), 0.01, 0.99))
         for c, p in ((0, 1 - posterior), (1, posterior)):
-            voted = votes >= 0
-            yes = ((votes == 1) * (p * count)[:, None]).sum(axis=0) + prior * (0.8 if c else 0.2)
-            rate[c] = yes / ((voted * (p * count)[:, None]).sum(axis=0) + prior)
-        rate = np.clip(rate, 0.01, 0.99)
-    return posterior, rate
+            for k in range(3):
+                rate[c][:, k] = ((outcome == k) * (p * count)[:, None]).sum(axis=0) + prior * expected[c, k]
+            rate[c] /= rate[c].sum(axis=1, keepdims=True)
+    return posterior, rate[:, :, 1]
 
 
 def train(counts: list[tuple[str, str, str, int]]) -> dict[str, list[float]]:
@@ -190,7 +225,8 @@ def find(docs: DataFrame, *keep: str, threshold: float = 0.5) -> DataFrame:
     Candidates are written to the shared folder once (a small row per document); the classifier reads their counts and the
     verdicts read them again.
     """
-    found = cut_lineage(candidates(docs, *keep))
+    own = [f"_{i}" for i in range(len(keep))]
+    found = cut_lineage(candidates(docs, *keep).toDF(*own, "candidates"))
     patterns = found.select(F.inline("candidates")).groupBy("kind", "votes", "features").agg(F.count("*").alias("n"))
     weights = train([tuple(r) for r in patterns.collect()])
     rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
@@ -208,7 +244,7 @@ def find(docs: DataFrame, *keep: str, threshold: float = 0.5) -> DataFrame:
         inside = F.transform(F.filter("candidates", keep_it), lambda c: F.struct(rank[c["kind"]].alias("rank"), c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop")))
         return F.transform(F.array_sort(inside), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop")))
 
-    return found.select(*keep, ordered(lambda c: c["strict"]).alias("base"), ordered(is_personal).alias("spans"))
+    return found.select(*own, ordered(lambda c: c["strict"]).alias("base"), ordered(is_personal).alias("spans")).toDF(*keep, "base", "spans")
 
 
 def joined(spans: str):

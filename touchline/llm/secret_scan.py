@@ -130,9 +130,10 @@ def find(docs: DataFrame, *keep: str, alpha: float = ALPHA) -> DataFrame:
     ``spans`` adds the candidates taken as secrets (kind ``random``) that no base span overlaps. What the patterns found is
     written to the shared folder with a number for each row; only candidates move from there on, never texts.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # A column of its own, so that no expression over it is repeated.
-    rows = docs.select(*keep, F.monotonically_increasing_id().alias("row_number"), text.alias("text"))
+    # The text is a column of its own, so that no expression over it is repeated; kept columns go by number, whatever their names.
+    asked, keep = keep, tuple(f"_{i}" for i in range(len(keep)))
+    kept = [docs[f"`{c}`"].alias(n) for c, n in zip(asked, keep, strict=True)]
+    rows = docs.select(*kept, F.monotonically_increasing_id().alias("row_number"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     assign = F.filter(spans(F.col("text"), ASSIGN, "assign"), lambda s: F.length(F.regexp_replace(s["word"], ASSIGN_VALUE, "")) >= 6)
     names = ("assign", "access", "hex", "more")
     found = (assign, spans(F.col("text"), ACCESS, "access"), spans(F.col("text"), HEX, "hex"), spans(F.col("text"), CANDIDATE, "random"))
@@ -156,4 +157,5 @@ def find(docs: DataFrame, *keep: str, alpha: float = ALPHA) -> DataFrame:
 
     none = F.array().cast(rows.schema["base"].dataType)
     full = rows.join(secrets, "row_number", "left")
-    return full.select(*keep, ordered(F.col("base")).alias("base"), ordered(F.concat("base", F.coalesce("secrets", none))).alias("spans"))
+    spanned = full.select(*keep, ordered(F.col("base")).alias("base"), ordered(F.concat("base", F.coalesce("secrets", none))).alias("spans"))
+    return spanned.toDF(*asked, "base", "spans")

@@ -101,6 +101,22 @@ def running(
     )
 
 
+def with_value_blocks(rows: DataFrame, keys: Sequence[str], value: str, name: str = "_cut", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add the block of each row's ``value`` in its key; blocks never decrease with the value and hold about as many rows each.
+
+    Cuts are quantiles of the key's own rows, taken from mergeable sketches, so they follow any distribution; keys with at most
+    ``block_rows`` rows are one block. ``rows`` should hold a distinct value of a key once: equal values share a block. There are
+    as many blocks as shuffle partitions, 2 at least and 1000 at most.
+    """
+    blocks = min(1000, max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    at = F.col(value).cast("double")
+    spots = [k / blocks for k in range(1, blocks)]
+    cuts = rows.groupBy(*keys).agg(F.count("*").alias("_size"), F.percentile_approx(at, spots, 20 * blocks).alias("_cuts"))
+    cuts = cuts.where(F.col("_size") > block_rows).select(*keys, "_cuts")
+    below = F.size(F.filter("_cuts", lambda c: c < at))
+    return rows.join(cuts, list(keys), "left").withColumn(name, F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
+
+
 SALTS = 16
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.exact import text_hash
 from touchline.functions.pitch import CHANNELS, channel, is_final_third_entry
-from touchline.functions.prefix import Running, greedy_cooldown, join_small, numbered, running, sequence_block
+from touchline.functions.prefix import Running, greedy_cooldown, join_small, numbered, running, sequence_block, with_value_blocks
 from touchline.operators.cards import evidence
 from touchline.operators.detect import _big, burst_rule, burst_windows, is_burst_shot, period_starts
 
@@ -232,7 +232,7 @@ def entry_quartiles(events: DataFrame) -> DataFrame:
     per_team = events.groupBy("match_id", "team_id").agg(F.count_if(is_final_third_entry()).alias("entries"))
     # Distinct counts are few; the running total over them is the order statistic.
     tied = per_team.groupBy("entries").agg(F.count("*").alias("n")).withColumn("_k", F.lit(0))
-    counted = running(tied, ["_k"], ["entries"], F.floor(F.col("entries") / 1024), [Running("upto", "sum", F.col("n"))])
+    counted = running(with_value_blocks(tied, ["_k"], "entries"), ["_k"], ["entries"], F.col("_cut"), [Running("upto", "sum", F.col("n"))])
     total = tied.groupBy("_k").agg(F.sum("n").alias("total"))
     edges = counted.join(F.broadcast(total), "_k").groupBy("_k").agg(
         *[

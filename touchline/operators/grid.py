@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import pitch
+from touchline.functions.prefix import Running, running
 from touchline.operators.context import BIN_SECONDS
 from touchline.operators.score import periods, team_matches
 from touchline.operators.stats import ratio
+from touchline.session import cut_lineage
 
 BIN = ["match_id", "team_id", "period", "time_bin"]
 WINDOW = ["match_id", "team_id", "period", "window_index"]
@@ -314,46 +318,57 @@ def team_match_summary(bins: DataFrame, possession_table: DataFrame, matches: Da
     )
 
 
+# Days of a block in scans over dates.
+DAY_BLOCK = 64
+
+
+def earlier_order_statistics(points: DataFrame, asks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For each ask (``keys``, ``day``, ``spot``, ``k``) the value at rank ``k`` (from 0) among the points of strictly earlier days.
+
+    ``points``: ``keys``, ``day``, ``value`` (whole, not negative), ``n``. All asks search together, one binary digit a round: a
+    running count over days of the points in the lower half of an ask's interval says which half holds its rank. A round moves the
+    points and the asks once, whatever the number of days or values, and a key's days are scanned in blocks.
+    """
+    top = points.agg(F.max("value")).first()[0] or 0
+    asks = asks.withColumn("found", F.lit(0).cast("bigint"))
+    columns = asks.columns
+    for digit in range(int(top).bit_length() - 1, -1, -1):
+        half = F.call_function("shiftright", "value", F.lit(digit))
+        held = points.select(*keys, "day", half.alias("_node"), F.col("n").alias("_w"), F.lit(1).alias("_after")).where("_node % 2 = 0")
+        asked = asks.select("*", (F.col("found") * 2).alias("_node"), F.lit(0).cast("bigint").alias("_w"), F.lit(0).alias("_after"))
+        both = asked.unionByName(held, allowMissingColumns=True)
+        lower = running(both, [*keys, "_node"], ["day", "_after"], F.floor(F.col("day") / DAY_BLOCK), [Running("_lower", "sum", F.col("_w"))])
+        up = F.col("k") >= F.col("_lower")
+        moved = {"k": F.when(up, F.col("k") - F.col("_lower")).otherwise(F.col("k")).cast("bigint"), "found": F.col("found") * 2 + up.cast("bigint")}
+        asks = cut_lineage(lower.where("_after = 0").withColumns(moved).select(*columns))
+    return asks
+
+
 def team_window_distributions(windows: DataFrame, matches: DataFrame, metric: str = "entries") -> DataFrame:
     """Distribution of a count over the windows of the team's strictly earlier matches.
 
-    Works on a histogram per team, day and value that is cumulated over days, so a team
-    with very many matches never meets itself in a self join. The size is bounded by
-    calendar days times distinct counts.
+    Windows shrink to a histogram per team, day and value. Sizes and means are sums over earlier days; quantiles come from
+    ``earlier_order_statistics``, so neither pairs of matches nor a row per day and value are made.
     """
-    dated = windows.join(matches.select("match_id", "match_date"), "match_id")
-    value = F.col(metric).cast("bigint")
-    daily = dated.groupBy("team_id", "match_date", value.alias("value")).agg(F.count("*").alias("n"))
-    days = dated.groupBy("team_id", "match_date").agg(F.lit(1).alias("_one")).drop("_one")
-    values = dated.select("team_id", value.alias("value")).distinct()
-    earlier = (
-        Window.partitionBy("team_id", "value").orderBy("match_date").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    grid = (
-        days.join(values, "team_id")
-        .join(daily, ["team_id", "match_date", "value"], "left")
-        .withColumn("n", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .where("n > 0")
-    )
-    up_to = Window.partitionBy("team_id", "match_date").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = grid.withColumns(
-        {"upto": F.sum("n").over(up_to), "total": F.sum("n").over(Window.partitionBy("team_id", "match_date"))}
-    )
+    day = F.unix_date("match_date").alias("day")
+    dated = windows.where(F.col(metric).isNotNull()).join(matches.select("match_id", day), "match_id")
+    points = cut_lineage(dated.groupBy("team_id", "day", F.col(metric).cast("bigint").alias("value")).agg(F.count("*").alias("n")))
+    played = team_matches(matches).select("match_id", "team_id", day)
+    zero = F.lit(0).cast("bigint")
+    measured = points.select("team_id", "day", "n", (F.col("n") * F.col("value")).alias("v"))
+    daily = measured.unionByName(played.select("team_id", "day", zero.alias("n"), zero.alias("v"))).groupBy("team_id", "day").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    sums = [Running("sample_windows", "sum", F.col("n"), exclusive=True), Running("_sum", "sum", F.col("v"), exclusive=True)]
+    before = cut_lineage(running(daily, ["team_id"], ["day"], F.floor(F.col("day") / DAY_BLOCK), sums).drop("n", "v"))
     spots = {"p25": 0.25, "median": 0.5, "p75": 0.75}
-    at = lambda f: F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(f)))
-    stats = ranked.groupBy("team_id", "match_date").agg(
-        F.max("total").alias("sample_windows"),
-        (F.sum(F.col("value") * F.col("n")) / F.max("total")).alias("mean"),
-        *[F.min(F.when(F.col("upto") > at(f), F.col("value"))).alias(name) for name, f in spots.items()],
-    )
+    total = F.col("sample_windows")
+    ranks = [F.struct(F.lit(s).alias("spot"), F.least(total - 1, F.floor(total * F.lit(f))).cast("bigint").alias("k")) for s, f in spots.items()]
+    asks = before.where(total > 0).select("team_id", "day", F.inline(F.array(*ranks)))
+    found = earlier_order_statistics(points, asks, ["team_id"])
+    wide = found.groupBy("team_id", "day").agg(*[F.max(F.when(F.col("spot") == s, F.col("found"))).alias(s) for s in spots])
     return (
-        team_matches(matches)
-        .select("match_id", "team_id", "match_date")
-        .join(stats, ["team_id", "match_date"], "left")
-        .select(
-            "match_id", "team_id", F.coalesce("sample_windows", F.lit(0)).alias("sample_windows"),
-            "mean", *spots,
-        )
+        played.join(before, ["team_id", "day"])
+        .join(wide, ["team_id", "day"], "left")
+        .select("match_id", "team_id", total.cast("bigint").alias("sample_windows"), ratio(F.col("_sum"), total).alias("mean"), *spots)
     )
 
 

@@ -140,17 +140,46 @@ def append_claims(existing: DataFrame, new: DataFrame, recorded_at: Column) -> t
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null").select("claim_id", "reason")
 
 
+# Days from year 0 on fit in so many binary digits.
+DAY_DIGITS = 22
+
+
+def _day_number(date: Column) -> Column:
+    return F.unix_date(date) + 719528
+
+
+def covering(first: Column, after: Column) -> Column:
+    """The aligned stretches of 2^level days that make up ``[first, after)``: at most two a level, none for an empty stretch."""
+    levels = F.sequence(F.lit(0), F.lit(DAY_DIGITS))
+
+    def at(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1), level)
+        low, high = F.ceil(first / size), F.floor(after / size)
+        one = F.when((low < high) & (low % 2 == 1), F.struct(level.alias("level"), low.cast("int").alias("stretch")))
+        two = F.when((low < high) & (high % 2 == 1), F.struct(level.alias("level"), (high - 1).cast("int").alias("stretch")))
+        return F.array_compact(F.array(one, two))
+
+    return F.flatten(F.transform(levels, at))
+
+
 def freeze_at_kickoff(claims: DataFrame, asks: DataFrame) -> DataFrame:
     """Claims a match may use: ``asks`` has match_id, subject, kickoff_utc, local_date.
 
-    Published strictly before kickoff, retrieved and recorded by then, valid on the date.
+    Published strictly before kickoff, retrieved and recorded by then, valid on the date. A claim is entered under the aligned
+    stretches of days that make up its validity, a match under the stretches around its date, so the two meet exactly once and
+    only if the claim is valid then. Both sides grow by a fixed factor, and a subject with very many claims and matches is spread
+    over its stretches.
     """
-    kickoff, day = F.col("kickoff_utc"), F.col("local_date")
-    known = (
-        (F.col("published_at") < kickoff)
-        & (F.col("retrieved_at") <= kickoff)
-        & (F.col("recorded_at") <= kickoff)
-        & F.coalesce(F.col("valid_from") <= day, F.lit(True))
-        & F.coalesce(F.col("valid_until") > day, F.lit(True))
+    kickoff = F.col("kickoff_utc")
+    known = (F.col("published_at") < kickoff) & (F.col("retrieved_at") <= kickoff) & (F.col("recorded_at") <= kickoff)
+    first = F.coalesce(_day_number(F.col("valid_from")), F.lit(0))
+    after = F.coalesce(_day_number(F.col("valid_until")), F.lit(2**DAY_DIGITS))
+    entered = claims.withColumn("_at", F.explode(covering(first, after)))
+    day = _day_number(F.col("local_date"))
+    around = F.transform(
+        F.sequence(F.lit(0), F.lit(DAY_DIGITS)),
+        lambda level: F.struct(level.alias("level"), F.floor(day / F.call_function("shiftleft", F.lit(1), level)).cast("int").alias("stretch")),
     )
-    return asks.join(claims, "subject").where(known)
+    asked = asks.withColumn("_at", F.explode(around))
+    spread = lambda df: df.select("*", F.col("_at.level").alias("_level"), F.col("_at.stretch").alias("_stretch")).drop("_at")
+    return spread(asked).join(spread(entered), ["subject", "_level", "_stretch"]).where(known).drop("_level", "_stretch")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.exact import text_hash
-from touchline.functions.prefix import Running, numbered, running
+from touchline.functions.prefix import Running, numbered, running, with_value_blocks
 from touchline.session import cut_lineage
 
 WIDE = "decimal(38,0)"
@@ -31,11 +31,13 @@ def _per_group(small: DataFrame, keys: Sequence[str]) -> DataFrame:
 def value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Distinct values with their count and the number of rows up to them.
 
-    ``by`` must not be empty. Values are scanned in blocks of equal width, so a group with
-    many distinct values is not ordered in one task.
+    ``by`` must not be empty. Values are scanned in blocks of about as many values each, cut at
+    quantiles of the values themselves, so a group with many distinct values is not ordered in
+    one task however they are distributed.
     """
     tied = df.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    return running(tied, list(by), ["value"], F.floor(F.col("value") * 1024), [Running("upto", "sum", F.col("n"))])
+    cut = with_value_blocks(tied, list(by), "value")
+    return running(cut, list(by), ["value"], F.col("_cut"), [Running("upto", "sum", F.col("n"))]).drop("_cut")
 
 
 def double_ranks(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -113,7 +115,7 @@ def spearman_cluster_interval(
         .groupBy(*keys, cluster)
         .agg(*moments(f"{x}_rank2", f"{y}_rank2", F.col("c")))
     )
-    indexed = numbered(per, keys, [cluster], F.floor(F.col(cluster) / 1024), "i")
+    indexed = numbered(with_value_blocks(per, keys, cluster), keys, [cluster], F.col("_cut"), "i").drop("_cut")
     whole = per.groupBy(*keys).agg(F.count("*").alias("matches"), *[F.sum(c).cast(WIDE).alias(c) for c in SUMS])
     draws = (
         indexed.select(*keys, "i")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import pitch
-from touchline.functions.prefix import Running, running
+from touchline.functions.prefix import Running, running, with_value_blocks
 from touchline.operators.grid import count
 from touchline.operators.stats import medians
 
@@ -213,7 +213,7 @@ def future_possession_outcomes(context: DataFrame) -> DataFrame:
 def auc(scored: DataFrame, score: str, target: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Mann-Whitney area with average ranks for ties, overall or per ``by``; NULL with one class.
 
-    Rows shrink to one per distinct score first. Those are scanned in score blocks, so the
+    Rows shrink to one per distinct score first. Those are scanned in blocks cut at their own quantiles, so the
     overall case does not pull every score through one task.
     """
     groups = list(by) or ["_all"]
@@ -221,7 +221,7 @@ def auc(scored: DataFrame, score: str, target: str, by: tuple[str, ...] = ()) ->
     tied = rows.groupBy(*groups, F.col(score).alias("_s")).agg(
         F.count_if(F.col(target)).alias("_pos"), F.count("*").alias("_n")
     )
-    below = running(tied, groups, ["_s"], F.floor(F.col("_s") * 4096), [Running("_upto", "sum", F.col("_n"))])
+    below = running(with_value_blocks(tied, groups, "_s"), groups, ["_s"], F.col("_cut"), [Running("_upto", "sum", F.col("_n"))])
     # Average rank of the tie group: rows below it plus (size + 1) / 2.
     rank2 = 2 * (F.col("_upto") - F.col("_n")) + F.col("_n") + 1
     sums = below.groupBy(*groups).agg(

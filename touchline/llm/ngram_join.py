@@ -40,7 +40,7 @@ WIDTH, SHARE = 5, 80
 # Documents that a token must be in to count as hot, and the most hot tokens (the bound doubles until they fit).
 HOT, MOST_HOT = 3, 1_000_000
 # Tokens gathered before a task sends them on, tokens of a slice, classes of a chunk, rows that may be broadcast.
-GATHER, SLICE, CHUNK, SMALL = 800_000, 1_000_000, 1024, 1_000_000
+GATHER, SLICE, CHUNK, SMALL = 500_000, 1_000_000, 1024, 1_000_000
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -377,7 +377,7 @@ def join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     own = cut_lineage(classes(docs, width))
     known = own.where(F.col("class").isNotNull())
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    slices = max(8, -(-int(total) // (4 * SLICE)))
+    slices = max(8, -(-int(total) // (2 * SLICE)))
     hot = hot_tokens(docs, slices, width)
     found = cut_lineage(postings(docs, slices, hot, width, share))
     heads = found.groupBy("token").agg(F.min(F.struct("place", "class", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")

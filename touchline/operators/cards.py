@@ -254,6 +254,40 @@ def render_evidence(shifts: DataFrame, events: DataFrame, *, window_seconds: int
     return fixed.unionByName(recent).unionByName(by_period)
 
 
+def render_burst_evidence(bursts: DataFrame, events: DataFrame, *, window_seconds: int = 600) -> DataFrame:
+    """Lines to check a burst card by: each recent shot with its place, the earlier counts, the recent entries."""
+    key = ["match_id", "team_id", "card_sequence"]
+    cards = bursts.withColumn("card_sequence", F.col("sequence"))
+    line = lambda section, text: F.struct(F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("position"), text.alias("text"))
+    earlier = _text(
+        "  earlier: ", F.col("earlier_shots"), " shots and ", F.col("earlier_entries"), " final-third entries in ", F.floor("earlier_seconds"), " seconds"
+    )
+    fixed = cards.select(
+        *key,
+        F.inline(
+            F.array(
+                line(1, _text("  recent shots (", F.col("recent_shots"), "):")), line(3, earlier),
+                line(4, _text("  recent final-third entries: ", F.col("recent_entries"))),
+            )
+        ),
+    )
+    rows = evidence(bursts, events.where(is_burst_shot()), window_seconds=window_seconds).where("role = 'recent'")
+    placed = F.when(F.col("x").isNull() | F.col("y").isNull(), "").otherwise(_text("  at (", tenths("x", 5), ", ", tenths("y", 4), ")"))
+    shots = rows.select(
+        *key, F.lit(2).alias("section"), F.col("sequence").cast("bigint").alias("position"),
+        _text("    ", clock_line(), "  ", F.col("event_id"), placed).alias("text"),
+    )
+    return fixed.unionByName(shots)
+
+
+def render_fact_evidence(facts: DataFrame, source: str) -> DataFrame:
+    """The records behind a fact: the event, and for a change of formation the one before it."""
+    named = lambda what, event: _text(f"  {what}: ", F.col(event), f" ({source})")
+    change = F.array(named("previous formation event", "previous_event_id"), named("new formation event", "event_id"))
+    texts = F.when(F.col("kind") == "formation_change", change).otherwise(F.array(named("recorded event", "event_id")))
+    return facts.select("match_id", "team_id", "sequence", "kind", F.posexplode(texts).alias("position", "text"))
+
+
 # --- replay position ----------------------------------------------------------------------
 
 

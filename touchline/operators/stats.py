@@ -33,9 +33,10 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
     ``by`` must not be empty. Values are scanned in blocks of about as many values each, cut at
     quantiles of the values themselves, so a group with many distinct values is not ordered in
-    one task however they are distributed.
+    one task however they are distributed. They are written once, since cuts, blocks and totals
+    read them again.
     """
-    tied = df.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    tied = cut_lineage(df.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n")))
     cut = with_value_blocks(tied, list(by), "value")
     return running(cut, list(by), ["value"], F.col("_cut"), [Running("upto", "sum", F.col("n"))]).drop("_cut")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions import pitch
 from touchline.functions.prefix import Running, running, with_value_blocks
 from touchline.operators.grid import count
+from touchline.session import cut_lineage
 from touchline.operators.stats import medians
 
 COLUMNS, ROWS = 16, 12
@@ -218,8 +219,8 @@ def auc(scored: DataFrame, score: str, target: str, by: tuple[str, ...] = ()) ->
     """
     groups = list(by) or ["_all"]
     rows = scored if by else scored.withColumn("_all", F.lit(0))
-    tied = rows.groupBy(*groups, F.col(score).alias("_s")).agg(
-        F.count_if(F.col(target)).alias("_pos"), F.count("*").alias("_n")
+    tied = cut_lineage(
+        rows.groupBy(*groups, F.col(score).alias("_s")).agg(F.count_if(F.col(target)).alias("_pos"), F.count("*").alias("_n"))
     )
     below = running(with_value_blocks(tied, groups, "_s"), groups, ["_s"], F.col("_cut"), [Running("_upto", "sum", F.col("_n"))])
     # Average rank of the tie group: rows below it plus (size + 1) / 2.

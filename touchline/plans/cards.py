@@ -363,19 +363,40 @@ def channel_row(k: int, c: str) -> str:
    || rpad({b} || ' of ' || b, 9, ' ') || rpad({pct(b, 'b')} || '%', 7, ' ') || printf('%+d', cast({change} as bigint)) || ' points' as text from shifts"""
 
 
-@query("h17_render_evidence", f"""with {SHIFT_CARDS}, ev as (select t.match_id, t.team_id, t.sequence as card_sequence, case when {REC} then 'recent' else 'baseline' end as role, f.*
-   exclude (match_id, team_id) from shifts t join entm f on f.match_id = t.match_id and f.team_id = t.team_id and f.sequence <= t.sequence)
-  select match_id, team_id, sequence as card_sequence, 1 as section, 0 as position, '  channel recent          baseline        change' as text from shifts
+SHIFT_EV = f"""select t.match_id, t.team_id, t.sequence as card_sequence, case when {REC} then 'recent' else 'baseline' end as role, f.*
+   exclude (match_id, team_id) from shifts t join entm f on f.match_id = t.match_id and f.team_id = t.team_id and f.sequence <= t.sequence"""
+SHIFT_LINES = f"""select match_id, team_id, sequence as card_sequence, 1 as section, 0 as position, '  channel recent          baseline        change' as text from shifts
   union all {" union all ".join(channel_row(k, c) for k, c in enumerate(D.CHANNELS))}
   union all select match_id, team_id, sequence, 3, 0, '  recent window entries (period ' || period || '):' from shifts
-  union all select match_id, team_id, card_sequence, 4, sequence, printf('    period %d, %02d:%02d  %-5s  (%5.1f, %4.1f) -> (%5.1f, %4.1f)  %s', period, minute, second, event_type, x, y, end_x, end_y, ch) from ev where role = 'recent'
+  union all select match_id, team_id, card_sequence, 4, sequence, printf('    period %d, %02d:%02d  %-5s  (%5.1f, %4.1f) -> (%5.1f, %4.1f)  %s', period, minute, second, event_type, x, y, end_x, end_y, ch) from ({SHIFT_EV}) where role = 'recent'
   union all select match_id, team_id, sequence, 5, 0, '  baseline entries by period:' from shifts
   union all select match_id, team_id, card_sequence, 6, period, '    period ' || period || ': left ' || count(*) filter (where ch = 'left') || ', center ' || count(*) filter (where ch = 'center') || ', right ' || count(*) filter (where ch = 'right')
-   from ev where role = 'baseline' group by match_id, team_id, card_sequence, period""", recursive=True)
+   from ({SHIFT_EV}) where role = 'baseline' group by match_id, team_id, card_sequence, period"""
+
+
+@query("h17_render_evidence", f"with {SHIFT_CARDS} {SHIFT_LINES}", recursive=True)
 def _(i: Inputs):
     return K.render_evidence(_shifts(i), i.events)
 
 
+BURST_LINES = f"""select match_id, team_id, sequence as card_sequence, 1 as section, 0 as position, '  recent shots (' || recent_shots || '):' as text from bursts
+  union all select match_id, team_id, sequence, 3, 0, '  earlier: ' || earlier_shots || ' shots and ' || earlier_entries || ' final-third entries in ' || cast(earlier_seconds as bigint) || ' seconds' from bursts
+  union all select match_id, team_id, sequence, 4, 0, '  recent final-third entries: ' || recent_entries from bursts
+  union all select t.match_id, t.team_id, t.sequence, 2, f.sequence, printf('    period %d, %02d:%02d  %d  at (%5.1f, %4.1f)', f.period, f.minute, f.second, f.event_id, f.x, f.y)
+   from bursts t join me f on f.match_id = t.match_id and f.team_id = t.team_id and f.sequence <= t.sequence and {REC} where f.event_type = 'shot' and not f.penalty"""
+
+
+@query("h17_burst_evidence", f"with {BURST_CARDS} {BURST_LINES}", recursive=True)
+def _(i: Inputs):
+    return K.render_burst_evidence(_bursts(i), i.events)
+
+
+@query("h17_fact_evidence", """select match_id, team_id, sequence, kind, 0 as position, '  ' || case when kind = 'formation_change' then 'previous formation event: ' || previous_event_id else 'recorded event: ' || event_id end || ' (bridge)' as text from facts
+  union all select match_id, team_id, sequence, kind, 1, '  new formation event: ' || event_id || ' (bridge)' from facts where kind = 'formation_change'""")
+def _(i: Inputs):
+    return K.render_fact_evidence(D.recorded_facts(i.facts), "bridge")
+
+
 # --- replay position ----------------------------------------------------------------------
 
 part("recp", """select match_id, period, arg_min(elapsed_seconds, sequence) filter (where event_type = 'pressure') as s,

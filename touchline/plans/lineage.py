@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from touchline.operators import cards as K
@@ -232,3 +235,82 @@ def _(i: Inputs):
         .when(has("score"), "goal").otherwise("fact")
     )
     return text.groupBy(F.col("match_id").cast("bigint").alias("match_id"), section.alias("section")).agg(F.count("*").alias("lines"))
+
+
+def _named_matches(i: Inputs):
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    return i.matches.withColumns({
+        "competition_name": name("Cup ", "competition_id"), "season_name": name("Year ", "season_id"),
+        "home_team_name": F.lit("Rovers"), "away_team_name": F.lit('City "Utd"'),
+    })
+
+
+def _chunks(i: Inputs, chunk_bytes: int):
+    stream, facts = PC._stream(i), D.recorded_facts(i.facts)
+    boundary = F.when(F.col("event_type") == "pressure", "period_start").when(F.col("event_type") == "ball_recovery", "period_end")
+    name = lambda lines, kind, cards: lines.join(
+        cards.select("match_id", "team_id", F.col("sequence").alias("card_sequence"), F.concat(F.lit(f"{kind}-"), F.col("event_id").cast("string")).alias("card_id")),
+        ["match_id", "team_id", "card_sequence"],
+    )
+    lines = name(K.render_evidence(PC._shifts(i), i.events), "side_shift", PC._shifts(i)).unionByName(name(K.render_burst_evidence(PC._bursts(i), i.events), "burst", PC._bursts(i)))
+    pieces = E.document_pieces(
+        _named_matches(i), S.recorded_periods(i.events.withColumn("event_type", boundary)), S.goal_timeline(i.events.withColumn("own_goal", F.col("event_id") % 2 == 0), i.matches),
+        stream, K.render_cards(PC._shifts(i), PC._bursts(i), facts, PC._teams(i)), K.stream_evidence(stream, i.events), lines, facts, 'Data: "bridge"', "bridge",
+    )
+    return E.document_chunks(pieces, chunk_bytes)
+
+
+DOCUMENT = """struct<schema_version: int, attribution: string, match: struct<id: bigint, competition: string, season: string, date: string, home: struct<id: int, name: string>,
+  away: struct<id: int, name: string>>, periods: array<struct<period: int, start: struct<minute: int, second: int>, end: struct<minute: int, second: int>>>,
+  goals: array<struct<event_id: bigint, team_id: int, own_goal: boolean, penalty: boolean, score: struct<home: bigint, away: bigint>>>,
+  cards: array<struct<id: string, kind: string, experimental: boolean, trigger_event_id: bigint, score: struct<home: bigint, away: bigint>, sentence: string,
+    evidence_lines: array<string>, evidence: array<struct<event_id: bigint, role: string, action: string>>, sources: array<string>>>,
+  facts: array<struct<kind: string, team_id: int, sentence: string, event_id: bigint>>>"""
+
+
+def _told(array: str, text: Callable[[Column], Column]) -> Column:
+    return F.array_join(F.transform(array, text), "\n")
+
+
+def _bar(*parts) -> Column:
+    return F.concat_ws("|", *[p.cast("string") for p in parts])
+
+
+@query("a12_match_documents", f"""with {PC.STREAM}, lines as (select l.match_id, card_id, string_agg(trim(text), '/' order by section, position) as lines from (
+    select *, 'burst' as kind from ({PC.BURST_LINES}) union all select *, 'side_shift' from ({PC.SHIFT_LINES})) l
+    join stream s on s.match_id = l.match_id and s.team_id = l.team_id and s.sequence = l.card_sequence and s.kind = l.kind group by all),
+  shown as (select t.match_id, card_id, string_agg(role || f.event_id, '/' order by role = 'recent', f.sequence) as shown from stream t
+    join (select *, case when event_type = 'shot' then 'shot' else 'recent' end as role from me) f on f.match_id = t.match_id and f.team_id = t.team_id and f.sequence <= t.sequence and {PC.REC}
+    where (f.event_type = 'shot' and not f.penalty and kind = 'burst') or (f.event_type in ('pass','carry') and f.completed and f.open_play and f.x < 80 and f.end_x >= 80) group by all),
+  texts as (select match_id, team_id, event_id, 'side_shift' as kind, {PC.SHIFT_TEXT} as sentence from (select *, {PC.LARGER} as lg from shifts) join {PC.TEAMS_SQL} using (team_id)
+    union all select match_id, team_id, event_id, 'burst', {PC.BURST_TEXT} from bursts join {PC.TEAMS_SQL} using (team_id)
+    union all select match_id, team_id, event_id, kind, {PC.FACT_TEXT} from facts join {PC.TEAMS_SQL} using (team_id))
+  select match_id, 1 as schema_version, 'Data: "bridge"' as attribution, 'Cup ' || competition_id || '|Year ' || season_id || '|' || match_date || '|1|Rovers|2|City "Utd"' as match,
+    coalesce((select string_agg(period || '|' || s // 60 || ':' || s % 60 || '|' || e // 60 || ':' || e % 60, chr(10) order by period) from recp r where r.match_id = m.match_id), '') as periods,
+    coalesce((select string_agg(event_id || '|' || team_id || '|' || (event_id % 2 = 0) || '|' || penalty || '|' || home_score_after || '-' || away_score_after, chr(10) order by sequence)
+      from sa g where g.match_id = m.match_id and scores_goal), '') as goals,
+    coalesce((select string_agg(card_id || '|' || experimental || '|' || home_score || '-' || away_score || '|' || sentence || '|' || lines || '|' || coalesce(shown, '') || '|bridge', chr(10) order by sequence * 2 + kind_rank)
+      from stream c join texts using (match_id, team_id, event_id, kind) join lines using (match_id, card_id) left join shown using (match_id, card_id) where c.match_id = m.match_id), '') as cards,
+    coalesce((select string_agg(kind || '|' || team_id || '|' || sentence || '|' || event_id, chr(10) order by f.sequence) from facts f join texts using (match_id, team_id, event_id, kind) where f.match_id = m.match_id), '') as facts
+  from ma m""", recursive=True)
+def _(i: Inputs):
+    """The written documents read back and told again; chunks are small here, so that documents consist of several."""
+    folder = new_folder(i.spark, "documents")
+    E.write_documents(_chunks(i, 20_000), _named_matches(i), folder)
+    files = i.spark.read.text(f"{folder}/documents", wholetext=True).withColumn("_file", F.col("_metadata.file_path"))
+    whole = files.groupBy("match_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_file", "value"))), lambda f: f["value"]), "").alias("text"))
+    d = whole.select(F.col("match_id").cast("bigint").alias("match_id"), F.from_json("text", DOCUMENT, {"mode": "FAILFAST"}).alias("d"))
+    m = F.col("d.match")
+    clock = lambda c: F.concat_ws(":", c["minute"], c["second"])
+    score = lambda s: F.concat_ws("-", s["home"], s["away"])
+    return d.select(
+        "match_id", F.col("d.schema_version").alias("schema_version"), F.col("d.attribution").alias("attribution"),
+        _bar(m["competition"], m["season"], m["date"], m["home"]["id"], m["home"]["name"], m["away"]["id"], m["away"]["name"]).alias("match"),
+        _told("d.periods", lambda p: _bar(p["period"], clock(p["start"]), clock(p["end"]))).alias("periods"),
+        _told("d.goals", lambda g: _bar(g["event_id"], g["team_id"], g["own_goal"], g["penalty"], score(g["score"]))).alias("goals"),
+        _told("d.cards", lambda c: _bar(
+            c["id"], c["experimental"], score(c["score"]), c["sentence"], F.array_join(c["evidence_lines"], "/"),
+            F.array_join(F.transform(c["evidence"], lambda e: F.concat(e["role"], e["event_id"].cast("string"))), "/"), F.array_join(c["sources"], "/"),
+        )).alias("cards"),
+        _told("d.facts", lambda f: _bar(f["kind"], f["team_id"], f["sentence"], f["event_id"])).alias("facts"),
+    )

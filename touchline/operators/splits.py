@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.lineage import fingerprint
+
 SEASON = ["competition_id", "season_id"]
 BUCKETS = ("development", "validation", "test")
 
@@ -115,3 +117,55 @@ def leak_check(matches: DataFrame, split: DataFrame) -> DataFrame:
     """Matches not known to be development, unknown ones included."""
     joined = matches.select("match_id").join(split.select("match_id", "bucket"), "match_id", "left")
     return joined.where(~F.col("bucket").eqNullSafe("development"))
+
+
+class SplitArchive:
+    """Frozen splits: append-only numbered versions, each named by its content, so an edited one is found out when it is read."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> dict[int, str]:
+        """Number and content name of each version, from the folder names."""
+        path, fs = self._fs(self.root)
+        if not fs.exists(path):
+            return {}
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return {int(n.split("-")[1]): n.split("-")[2] for n in sorted(names) if n.startswith("version-")}
+
+    @staticmethod
+    def _content(split: DataFrame) -> str:
+        row = fingerprint({"split": split.select("match_id", "bucket")}).first()
+        return f"{row['rows']}x{row['content']}"
+
+    def freeze(self, split: DataFrame) -> int:
+        """Store ``split`` as the next version; the newest version's own content again stores nothing. Raises where the number was taken."""
+        rows, known = split.select("match_id", "bucket"), self.versions()
+        content, last = self._content(rows), max(known, default=0)
+        if known.get(last) == content:
+            return last
+        path, _ = self._fs(f"{self.root}/version-{last + 1:06d}-{content}")
+        rows.sort("match_id").write.mode("errorifexists").parquet(path.toString())
+        if sum(n == last + 1 for n in (int(v.split("-")[1]) for v in self._names())) > 1:
+            raise RuntimeError(f"version {last + 1} was frozen by another writer as well")
+        return last + 1
+
+    def _names(self) -> list[str]:
+        path, fs = self._fs(self.root)
+        return [s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("version-")]
+
+    def read(self, version: int) -> DataFrame:
+        """A frozen split; raises if its rows are no longer those it is named by."""
+        content = self.versions()[version]
+        rows = self.spark.read.parquet(f"{self.root}/version-{version:06d}-{content}")
+        if self._content(rows) != content:
+            raise ValueError(f"version {version} was edited")
+        return rows
+
+    def verify(self, computed: DataFrame, version: int) -> DataFrame:
+        """Rows that only the computed split or only the frozen one has."""
+        return verify_split(computed, self.read(version))

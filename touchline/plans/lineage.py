@@ -16,7 +16,7 @@ from touchline.operators import splits as P
 from touchline.plans import cards as PC
 from touchline.plans.inputs import Inputs
 from touchline.plans.registry import part, query
-from touchline.session import new_folder
+from touchline.session import cut_lineage, new_folder
 
 # Matches from ``orders``: the order date is the match date, the priority is the season.
 part("om", "select o_orderkey as match_id, 1 as competition_id, cast(substr(o_orderpriority, 1, 1) as int) as season_id, cast(o_orderdate as date) as match_date from orders")
@@ -89,6 +89,32 @@ def _(i: Inputs):
     return P.verify_split(split, split.select("match_id", F.expr(FROZEN).alias("bucket")))
 
 
+@query("k5_frozen_split", f"""select 1 as version, 0 as only_computed, 0 as only_frozen, false as edited union all
+  select 2, (select count(*) from osp where bucket <> {FROZEN}), (select count(*) from osp where bucket <> {FROZEN}), true""")
+def _(i: Inputs):
+    """The split against two stored versions: itself, and one filed otherwise; the second one's files are then written over."""
+    root = new_folder(i.spark, "splits")
+    archive, split = P.SplitArchive(i.spark, root), _split(i)
+    first = archive.freeze(split)
+    again = archive.freeze(split)
+    second = archive.freeze(split.select("match_id", F.expr(FROZEN).alias("bucket")))
+    out = None
+    for version in sorted({first, again, second}):
+        sides = archive.verify(split, version).groupBy().agg(
+            F.count_if(F.col("only_in") == "computed").alias("only_computed"), F.count_if(F.col("only_in") == "frozen").alias("only_frozen")
+        )
+        row = cut_lineage(sides.select(F.lit(version).alias("version"), "only_computed", "only_frozen"))
+        out = row if out is None else out.unionByName(row)
+    split.select("match_id", "bucket").write.mode("overwrite").parquet(f"{root}/version-{second:06d}-{archive.versions()[second]}")
+    edited = []
+    for version in archive.versions():
+        try:
+            archive.read(version)
+        except ValueError:
+            edited.append(version)
+    return out.withColumn("edited", F.col("version").isin(edited))
+
+
 HASH = "cast('0x' || substr(md5({0}), 1, 15) as bigint)"
 
 

@@ -91,10 +91,15 @@ def _(i: Inputs):
 @query("l6_card_sink", f"with {PC.SHIFT_CARDS} select 'side_shift-' || event_id as card_id, match_id, sequence from shifts", recursive=True)
 def _(i: Inputs):
     path, out = new_folder(i.spark, "stream-in"), new_folder(i.spark, "stream-cards")
-    cards = PC._shifts(i).select(F.concat(F.lit("side_shift-"), F.col("event_id").cast("string")).alias("card_id"), "match_id", "sequence")
+    kickoff = i.matches.select("match_id", F.col("match_date").cast("timestamp").alias("kickoff"))
+    at = F.timestamp_seconds(F.unix_timestamp("kickoff") + F.col("elapsed_seconds")).alias("event_time")
+    cards = PC._shifts(i).join(kickoff, "match_id").select(
+        F.concat(F.lit("side_shift-"), F.col("event_id").cast("string")).alias("card_id"), "match_id", "sequence", at
+    )
     # Every card is sent twice, in different files.
     cards.repartition(3, "card_id").write.parquet(path)
     cards.repartition(2, "sequence").write.mode("append").parquet(path)
     stream = i.spark.readStream.schema(cards.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    R.run_to_end(stream, new_folder(i.spark, "stream-state"), each=R.card_sink(out))
+    # The files mix all matches, so cards may be as late as the calendar of matches is long.
+    R.run_to_end(R.unique_cards(stream, "event_time", "4000 days"), new_folder(i.spark, "stream-state"), each=R.card_sink(out))
     return i.spark.read.parquet(out).select("card_id", "match_id", "sequence")

@@ -187,30 +187,19 @@ def stream_time_bins(events: DataFrame, width: int = 300) -> DataFrame:
     )
 
 
+def unique_cards(cards: DataFrame, event_time: str, delay: str) -> DataFrame:
+    """Each card id once. State is kept until the watermark has passed a card by ``delay``; rows behind the watermark are dropped."""
+    return cards.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["card_id"])
+
+
 def card_sink(path: str):
-    """A ``foreachBatch`` writer that appends each card id once, also when a batch is repeated.
+    """A ``foreachBatch`` writer that costs what its batch costs: a batch owns its folder, and a repeated batch writes it over.
 
-    Cards are stored by a bucket of their match, and only buckets of the batch are compared.
+    Nothing stored is read again. Card ids of different batches are told apart before the sink (``unique_cards``).
     """
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("match_id"), F.lit(256)).cast("int")
-        cards = batch.dropDuplicates(["card_id"]).withColumn("bucket", bucket).persist()
-        try:
-            buckets = [r["bucket"] for r in cards.select("bucket").distinct().collect()]
-            if not buckets:
-                return
-            new = cards
-            try:
-                stored = spark.read.parquet(path).where(F.col("bucket").isin(buckets)).select("card_id")
-                new = cards.join(stored, "card_id", "left_anti")
-            except Exception as error:  # nothing stored yet
-                if "PATH_NOT_FOUND" not in str(error):
-                    raise
-            new.write.mode("append").partitionBy("bucket").parquet(path)
-        finally:
-            cards.unpersist()
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.dropDuplicates(["card_id"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 

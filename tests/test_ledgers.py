@@ -43,7 +43,7 @@ def test_state_of_cards_ends_with_the_watermark(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema("card_id string, t timestamp").parquet(str(tmp_path / "in"))
     for card, at in rows:  # one file and one run after the other, so that the order is known
-        spark.createDataFrame([(card, at)], "card_id string, at int").select("card_id", F.timestamp_seconds("at").alias("t")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame([(card, at)], "card_id string, at int").select("card_id", F.timestamp_seconds(F.col("at") + 100_000).alias("t")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         unique = replay.unique_cards(stream, "t", "60 seconds").writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
         query = unique.foreachBatch(replay.card_sink(str(tmp_path / "out"))).start()
         query.awaitTermination()

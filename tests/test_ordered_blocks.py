@@ -64,7 +64,7 @@ def test_covering_stretches_meet_once(spark):
     for r in rows:
         days = sorted((s["stretch"] << s["level"], (s["stretch"] + 1) << s["level"]) for s in r["c"])
         assert (not days and r["a"] >= r["b"]) or (days[0][0] == r["a"] and days[-1][1] == r["b"] and all(x[1] == y[0] for x, y in zip(days, days[1:], strict=False)))
-        assert len(days) <= 45
+        assert len(days) <= 14 * 8
 
 
 def test_freezing_claims_of_one_hot_subject(spark):

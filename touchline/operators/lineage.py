@@ -140,8 +140,12 @@ def append_claims(existing: DataFrame, new: DataFrame, recorded_at: Column) -> t
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null").select("claim_id", "reason")
 
 
-# Days from year 0 on fit in so many binary digits.
-DAY_DIGITS = 22
+# Days from year 0 on fit in so many binary digits; stretches of days are 8^k days long.
+DAY_DIGITS, STEP = 22, 3
+
+
+def _levels() -> Column:
+    return F.array(*[F.lit(k) for k in range(0, DAY_DIGITS, STEP)])
 
 
 def _day_number(date: Column) -> Column:
@@ -149,17 +153,19 @@ def _day_number(date: Column) -> Column:
 
 
 def covering(first: Column, after: Column) -> Column:
-    """The aligned stretches of 2^level days that make up ``[first, after)``: at most two a level, none for an empty stretch."""
-    levels = F.sequence(F.lit(0), F.lit(DAY_DIGITS))
+    """The aligned stretches of 2^level days that make up ``[first, after)``: at most fourteen a level, none for an empty stretch."""
 
     def at(level: Column) -> Column:
         size = F.call_function("shiftleft", F.lit(1), level)
         low, high = F.ceil(first / size), F.floor(after / size)
-        one = F.when((low < high) & (low % 2 == 1), F.struct(level.alias("level"), low.cast("int").alias("stretch")))
-        two = F.when((low < high) & (high % 2 == 1), F.struct(level.alias("level"), (high - 1).cast("int").alias("stretch")))
-        return F.array_compact(F.array(one, two))
+        # Up to the next longer stretch and from the last one on; all of it where no longer one fits in between.
+        up, down = F.ceil(low / 2**STEP) * 2**STEP, F.floor(high / 2**STEP) * 2**STEP
+        none = F.array().cast("array<bigint>")
+        span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+        numbers = F.when(up <= down, F.concat(span(low, up), span(down, high))).otherwise(span(low, high))
+        return F.transform(numbers, lambda n: F.struct(level.alias("level"), n.cast("int").alias("stretch")))
 
-    return F.flatten(F.transform(levels, at))
+    return F.flatten(F.transform(_levels(), at))
 
 
 def freeze_at_kickoff(claims: DataFrame, asks: DataFrame) -> DataFrame:
@@ -177,7 +183,7 @@ def freeze_at_kickoff(claims: DataFrame, asks: DataFrame) -> DataFrame:
     entered = claims.withColumn("_at", F.explode(covering(first, after)))
     day = _day_number(F.col("local_date"))
     around = F.transform(
-        F.sequence(F.lit(0), F.lit(DAY_DIGITS)),
+        _levels(),
         lambda level: F.struct(level.alias("level"), F.floor(day / F.call_function("shiftleft", F.lit(1), level)).cast("int").alias("stretch")),
     )
     asked = asks.withColumn("_at", F.explode(around))

@@ -22,7 +22,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_all_are_registered():
     names = entry.queries()
     assert set(queries.QUERIES) < set(names) and "pipeline" in names and set(queries.SQL) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))

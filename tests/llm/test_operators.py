@@ -600,3 +600,22 @@ def test_ngram_join_links_through_rows_without_identifier(spark):
     a = a[:20] + ["c"] * 3 + a[23:]
     rows = spark.createDataFrame([(1, " ".join(a)), (None, " ".join(n)), (2, " ".join(b)), (5, "other words that stand alone here")], "doc_id bigint, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngram_join.join(rows).collect()) == [(0, 1), (1, 1), (2, 1), (5, 5)]
+
+
+def test_parity_maps_never_exclude_a_link():
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 40, 700, 9000):
+        base = rng.integers(0, 1 << 63, size, np.uint64)
+        others = []
+        for swapped in (0, size // 20, size // 10, size // 3, size):
+            others.append(np.unique(np.concatenate([base[swapped:], rng.integers(0, 1 << 63, swapped, np.uint64)])))
+            others.append(np.unique(base[: max(1, size - swapped)]))
+        base = np.unique(base)
+        m = np.array([len(o) for o in others])
+        most = len(base) + m - 2 * ngram_join.needed(len(base), m, ngram_join.SHARE)
+        left = ngram_join.Maps([ngram_join.parity(o) for o in others]).near(ngram_join.parity(base), np.ones(len(m), bool), most)
+        common = np.array([len(np.intersect1d(base, o)) for o in others])
+        linked = 100 * common >= ngram_join.SHARE * (len(base) + m - common)
+        assert left[linked].all()
+        if size >= 40:
+            assert not left[common == 0].any()

@@ -13,7 +13,8 @@ hash first, hot ones (counted over all documents) last. Two sets of similarity `
   chunk. Every pair of a list that is not yet connected is met here, so no link that matters to a component is lost.
 
 Each search sets the longest lists of a query aside (DivideSkip), merges the short ones with a heap, keeps members that occur
-often enough to still reach T, and probes the long lists for those by binary search.
+often enough to still reach T, and probes the long lists for those by binary search. Before it, members are left out whose
+parity maps (``parity``) differ from the query's in more places than two sets of that similarity can; this never loses a link.
 
 Null and empty texts have empty sets and are linked with nothing. Rows that repeat an identifier are rows of their own with
 that identifier. Rows with a null identifier take part like all others; a component of such rows alone has the null identifier. With no rows the result is empty.
@@ -41,6 +42,8 @@ WIDTH, SHARE = 5, 80
 HOT, MOST_HOT = 3, 1_000_000
 # Tokens gathered before a task sends them on, tokens of a slice, classes of a chunk, rows that may be broadcast.
 GATHER, SLICE, CHUNK, SMALL = 500_000, 1_000_000, 1024, 1_000_000
+# Most places of a parity map: longer sets are told apart less well, never wrongly.
+MAP = 1 << 15
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -69,14 +72,57 @@ def needed(a, b, share: int):
     return -(-share * (a + b) // (100 + share))
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """Whether an odd number of tokens falls on each of about four places a token (a power of two, bounded by ``MAP``).
+
+    Maps of two sets differ in at most as many places as the sets have tokens that the other lacks. A map folded in half by
+    exclusive or is the map of half as many places.
+    """
+    places = min(MAP, max(256, 1 << (4 * len(tokens) - 1).bit_length()))
+    odd = np.bincount((mix(tokens) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Maps:
+    """Parity maps of the members of a block, by their length."""
+
+    def __init__(self, maps: list[bytes]):
+        length = np.array([len(m) for m in maps])
+        self.at = {int(n): np.flatnonzero(length == n) for n in np.unique(length)}
+        self.rows = {n: np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1) for n, at in self.at.items()}
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    @staticmethod
+    def fold(rows: np.ndarray, words: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(rows.reshape(len(rows), -1, words), axis=1)
+
+    def near(self, query: bytes, allowed: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Those ``allowed`` members whose map differs from ``query`` in at most ``most`` places."""
+        left = allowed.copy()
+        own = np.frombuffer(query, np.uint64).reshape(1, -1)
+        for n, at in self.at.items():
+            on = np.flatnonzero(allowed[at])
+            if not len(on):
+                continue
+            words = min(n // 8, own.shape[1])
+            if (n, words) not in self.folded:
+                self.folded[n, words] = self.fold(self.rows[n], words)
+            apart = np.bitwise_count(self.folded[n, words][on] ^ self.fold(own, words)).sum(axis=1)
+            left[at[on]] = apart <= most[at[on]]
+        return left
+
+
 def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``class`` (fingerprint of the set; null if empty)."""
+    """``doc_id``, ``n_shingles``, ``class`` (fingerprint of the set; null if empty) and ``map`` (its parity map)."""
 
     def work(texts: list[bytes]) -> dict[str, list]:
         sets = shingle_sets(texts, width)
-        return {"n_shingles": [len(s) for s in sets], "class": [fingerprint(s) if len(s) else None for s in sets]}
+        return {
+            "n_shingles": [len(s) for s in sets], "class": [fingerprint(s) if len(s) else None for s in sets],
+            "map": [parity(s) if len(s) else None for s in sets],
+        }
 
-    return over_texts(docs, work, "n_shingles bigint, class binary", "doc_id")
+    return over_texts(docs, work, "n_shingles bigint, class binary, map binary", "doc_id")
 
 
 def _small(tokens: np.ndarray) -> np.ndarray:
@@ -249,7 +295,7 @@ class Index:
         length = self.end[at] - self.begin[at]
         at = at[np.argsort(length, kind="stable")]
         aside = min(int(low / (weight * np.log2(int(length.max()) + 1) + 1)), low - 1)
-        lists = [self.owner[self.begin[i] : self.end[i]] for i in at.tolist()]
+        lists = [x[allowed[x]] for x in (self.owner[self.begin[i] : self.end[i]] for i in at.tolist())]
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
         out = []
         for member, run in groupby(heapq.merge(*[x.tolist() for x in short])):
@@ -280,7 +326,7 @@ def _candidates(blocks: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
     """
 
     def pairs(rows: list[tuple]) -> set[tuple[bytes, bytes]]:
-        """Rows: class, query, root, key, tokens, size, place, places of the tokens."""
+        """Rows: class, query, root, key, tokens, size, place, places of the tokens, map."""
         members, queries = [r for r in rows if not r[1]], [r for r in rows if r[1]]
         roots = {root: i for i, root in enumerate({r[2] for r in rows})}
         column = lambda side, f: np.array([f(r) for r in side], np.int64)
@@ -292,9 +338,12 @@ def _candidates(blocks: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
         if not asks:
             return found
         used = np.flatnonzero(may.any(axis=0))
-        index = Index([members[k][4] for k in used.tolist()], m[used], share)
+        index, maps = Index([members[k][4] for k in used.tolist()], m[used], share), Maps([members[k][8] for k in used.tolist()])
         for i in asks:
-            name, own = queries[i][0], may[i, used]
+            name = queries[i][0]
+            own = maps.near(queries[i][8], may[i, used], n[i] + m[used] - 2 * least[i, used])
+            if not own.any():
+                continue
             for k in index.search(queries[i][4], queries[i][5], own):
                 other_name, _, _, _, tokens = members[used[k]][:5]
                 _, mine, _ = np.intersect1d(queries[i][4], tokens, assume_unique=True, return_indices=True)
@@ -314,7 +363,8 @@ def _candidates(blocks: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
         for batch in batches:
             keys, names, queries, roots, places, sizes = (batch.column(i).to_pylist() for i in range(6))
             vectors, orders = _arrays(batch.column(6)), _arrays(batch.column(7))
-            for row in zip(names, queries, roots, keys, vectors, sizes, places, orders, strict=True):
+            maps = batch.column(8).to_pylist()
+            for row in zip(names, queries, roots, keys, vectors, sizes, places, orders, maps, strict=True):
                 if held and row[3] != held[0][3]:
                     found |= pairs(held)
                     held = []
@@ -326,7 +376,7 @@ def _candidates(blocks: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
         yield out()
 
     key = F.concat_ws(":", F.hex("block"), F.col("part").cast("string"), F.col("other").cast("string")).alias("key")
-    full = blocks.select(key, "class", "query", "root", "place").join(vectors, "class").select("key", "class", "query", "root", "place", "n", "tokens", "places")
+    full = blocks.select(key, "class", "query", "root", "place").join(vectors, "class").select("key", "class", "query", "root", "place", "n", "tokens", "places", "map")
     dealt = full.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(work, "a binary, b binary").distinct()
 
@@ -384,7 +434,9 @@ def join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     lists = cut_lineage(found.join(heads, "token"))
     # A vector is bounded by the length of a document.
     vectors = lists.groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("token", "place"))).alias("vector"))
-    vectors = cut_lineage(vectors.select("class", "n", F.col("vector.token").alias("tokens"), F.col("vector.place").alias("places")))
+    maps = known.groupBy("class").agg(F.first("map").alias("map"))
+    vectors = vectors.join(maps, "class").select("class", "n", F.col("vector.token").alias("tokens"), F.col("vector.place").alias("places"), "map")
+    vectors = cut_lineage(vectors)
 
     # The query of a list is the class that has the token earliest: it has the fewest tokens of its own.
     near = lists.where(F.col("class") != F.col("head.class"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
@@ -73,12 +73,12 @@ def needed(a, b, share: int):
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """Whether an odd number of tokens falls on each of about four places a token (a power of two, bounded by ``MAP``).
+    """Whether an odd number of tokens falls on each of two to four places a token (a power of two, bounded by ``MAP``).
 
     Maps of two sets differ in at most as many places as the sets have tokens that the other lacks. A map folded in half by
     exclusive or is the map of half as many places.
     """
-    places = min(MAP, max(256, 1 << (4 * len(tokens) - 1).bit_length()))
+    places = min(MAP, max(256, 1 << (2 * len(tokens) - 1).bit_length()))
     odd = np.bincount((mix(tokens) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -315,6 +315,71 @@ def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
     return [flat[x:y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
+def _by_key(batches: Iterator[pa.RecordBatch], lists: Sequence[int] = ()) -> Iterator[list[tuple]]:
+    """The rows of one key after the other, from rows sorted by key (the first column); ``lists`` become arrays."""
+    held: list[tuple] = []
+    for batch in batches:
+        columns = [_arrays(batch.column(i)) if i in lists else batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for row in zip(*columns, strict=True):
+            if held and row[0] != held[0][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+class Block:
+    """Queries and members of a block, and which of them may be linked by root, size and place.
+
+    Rows: key, class, query, root, place, size, map, and what else the caller needs.
+    """
+
+    def __init__(self, rows: list[tuple], share: int):
+        self.members, self.queries = [r for r in rows if not r[2]], [r for r in rows if r[2]]
+        roots = {root: i for i, root in enumerate({r[3] for r in rows})}
+        column = lambda side, f: np.array([f(r) for r in side], np.int64)
+        (n, place, root), (m, there, other) = (
+            (column(side, lambda r: r[5]), column(side, lambda r: r[4]), column(side, lambda r: roots[r[3]])) for side in (self.queries, self.members)
+        )
+        least = needed(n[:, None], m[None, :], share)
+        may = (root[:, None] != other[None, :]) & (n[:, None] - place[:, None] >= least) & (m[None, :] - there[None, :] >= least)
+        self.asks = np.flatnonzero(may.any(axis=1)).tolist()
+        self.used = np.flatnonzero(may.any(axis=0))
+        self.sizes, self.n, self.may, self.least = m[self.used], n, may[:, self.used], least[:, self.used]
+
+    def near(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Queries and those of the members ``used`` that their maps leave."""
+        maps = Maps([self.members[k][6] for k in self.used.tolist()])
+        for i in self.asks:
+            left = maps.near(self.queries[i][6], self.may[i], self.n[i] + self.sizes - 2 * self.least[i])
+            if left.any():
+                yield i, left
+
+
+def _dealt(blocks: DataFrame, vectors: DataFrame, *columns: str) -> DataFrame:
+    full = blocks.join(vectors, "class").select("key", "class", "query", "root", "place", *columns)
+    return full.repartition("key").sortWithinPartitions("key")
+
+
+def _near(blocks: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
+    """The rows of blocks that have a partner by size, place and map; vectors travel for these alone."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches):
+            block = Block(rows, share)
+            kept, met = [], np.zeros(len(block.used), bool)
+            for i, left in block.near():
+                kept.append(block.queries[i][:5])
+                met |= left
+            kept += [block.members[k][:5] for k in block.used[met].tolist()]
+            if kept:
+                kinds = [pa.string(), pa.binary(), pa.bool_(), pa.binary(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*kept, strict=True), kinds, strict=True)], names=["key", "class", "query", "root", "place"])
+
+    return _dealt(blocks, vectors, "n", "map").mapInArrow(work, "key string, class binary, query boolean, root binary, place int")
+
+
 def _candidates(blocks: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
     """Distinct pairs ``a`` < ``b`` that reach T. ``blocks``: ``block``, ``part``, ``other``, ``class``, ``query``, ``root``, ``place``.
 
@@ -326,33 +391,22 @@ def _candidates(blocks: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
     """
 
     def pairs(rows: list[tuple]) -> set[tuple[bytes, bytes]]:
-        """Rows: class, query, root, key, tokens, size, place, places of the tokens, map."""
-        members, queries = [r for r in rows if not r[1]], [r for r in rows if r[1]]
-        roots = {root: i for i, root in enumerate({r[2] for r in rows})}
-        column = lambda side, f: np.array([f(r) for r in side], np.int64)
-        (n, place, root), (m, there, other) = ((column(side, lambda r: r[5]), column(side, lambda r: r[6]), column(side, lambda r: roots[r[2]])) for side in (queries, members))
-        least = needed(n[:, None], m[None, :], share)
-        may = (root[:, None] != other[None, :]) & (n[:, None] - place[:, None] >= least) & (m[None, :] - there[None, :] >= least)
+        """Rows as in ``Block``, then tokens and places of the tokens."""
+        block = Block(rows, share)
         found: set[tuple[bytes, bytes]] = set()
-        asks = np.flatnonzero(may.any(axis=1)).tolist()
-        if not asks:
+        if not block.asks:
             return found
-        used = np.flatnonzero(may.any(axis=0))
-        index, maps = Index([members[k][4] for k in used.tolist()], m[used], share), Maps([members[k][8] for k in used.tolist()])
-        for i in asks:
-            name = queries[i][0]
-            own = maps.near(queries[i][8], may[i, used], n[i] + m[used] - 2 * least[i, used])
-            if not own.any():
-                continue
-            for k in index.search(queries[i][4], queries[i][5], own):
-                other_name, _, _, _, tokens = members[used[k]][:5]
-                _, mine, _ = np.intersect1d(queries[i][4], tokens, assume_unique=True, return_indices=True)
-                if other_name != name and queries[i][7][mine].min() >= queries[i][6]:
-                    found.add((min(name, other_name), max(name, other_name)))
+        index = Index([block.members[k][7] for k in block.used.tolist()], block.sizes, share)
+        for i, own in block.near():
+            _, name, _, _, place, size, _, vector, places = block.queries[i]
+            for k in index.search(vector, size, own):
+                other = block.members[block.used[k]]
+                _, mine, _ = np.intersect1d(vector, other[7], assume_unique=True, return_indices=True)
+                if other[1] != name and places[mine].min() >= place:
+                    found.add((min(name, other[1]), max(name, other[1])))
         return found
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         found: set[tuple[bytes, bytes]] = set()
 
         def out() -> pa.RecordBatch:
@@ -360,25 +414,15 @@ def _candidates(blocks: DataFrame, vectors: DataFrame, share: int) -> DataFrame:
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
-            keys, names, queries, roots, places, sizes = (batch.column(i).to_pylist() for i in range(6))
-            vectors, orders = _arrays(batch.column(6)), _arrays(batch.column(7))
-            maps = batch.column(8).to_pylist()
-            for row in zip(names, queries, roots, keys, vectors, sizes, places, orders, maps, strict=True):
-                if held and row[3] != held[0][3]:
-                    found |= pairs(held)
-                    held = []
-                held.append(row)
+        for rows in _by_key(batches, lists=(7, 8)):
+            found |= pairs(rows)
             if len(found) > 50_000:
                 yield out()
-        if held:
-            found |= pairs(held)
         yield out()
 
     key = F.concat_ws(":", F.hex("block"), F.col("part").cast("string"), F.col("other").cast("string")).alias("key")
-    full = blocks.select(key, "class", "query", "root", "place").join(vectors, "class").select("key", "class", "query", "root", "place", "n", "tokens", "places", "map")
-    dealt = full.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(work, "a binary, b binary").distinct()
+    left = _near(blocks.select(key, "class", "query", "root", F.col("place").cast("int").alias("place")), vectors, share)
+    return _dealt(left, vectors, "n", "map", "tokens", "places").mapInArrow(work, "a binary, b binary").distinct()
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, own: DataFrame, width: int, share: int) -> DataFrame:

@@ -29,3 +29,5 @@ def test_unknown_types_are_rejected_in_every_match(spark, tmp_path):
     folder = _events(spark, tmp_path, [(5, 0, "click"), (6, 0, "click"), (216, 60, "click"), (217, 60, "click")])
     found = plans.QUERIES["b12_event_rejects"](spark, folder).where("reason = 'unknown event type'").collect()
     assert sorted((r["match_id"], r["records"]) for r in found) == [(0, 1), (4, 1)]
+    found = plans.QUERIES["b12_adapter_rejects"](spark, folder).collect()
+    assert {r["match_id"] for r in found if "unknown event type" in r["reasons"]} == {0, 4}

@@ -453,8 +453,8 @@ def _wrong_matches(i: Inputs):
     return i.matches.withColumn("away_team_id", F.when(F.col("match_id") % 4 == 1, 3).otherwise(F.col("away_team_id")))
 
 
-def _rejects(i: Inputs):
-    d, wrong = documents(i), _wrong_matches(i)
+def _rejects(i: Inputs, d: Documents | None = None):
+    d, wrong = d or documents(i), _wrong_matches(i)
     return N.adapter_rejects(N.event_rejects(d.parsed, wrong), N.lineup_problems(d.players, wrong))
 
 
@@ -466,11 +466,12 @@ def _(i: Inputs):
 part("lrej", """select match_id, 'lineup team does not play the match' as reason from ma where match_id % 4 = 1 union all
   select match_id, 'lineups must list both teams' from ma where match_id % 4 = 1""")
 part("arej", "select match_id, string_agg(distinct reason, '; ' order by reason) as reasons from (select match_id, reason from rej union all select * from lrej) group by 1")
+part("arejall", "select match_id, string_agg(distinct reason, '; ' order by reason) as reasons from (select match_id, reason from rejall union all select * from lrej) group by 1")
 
 
-@query("b12_adapter_rejects", "select * from arej")
+@query("b12_adapter_rejects", "select * from arejall")
 def _(i: Inputs):
-    return _rejects(i)
+    return _rejects(i, Documents(i, EVERY_TYPE))
 
 
 @query("b13_appearances", """select match_id, team_id, case team_id when 1 then 'Rovers' else 'City' end as team_name, player_id, 'Player ' || player_id as player_name, cast(null as varchar) as player_nickname,

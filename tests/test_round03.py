@@ -2,8 +2,11 @@
 
 from datetime import UTC, date, datetime
 
+from pyspark.sql import functions as F
+
 from touchline import plans
 from touchline.operators import lineage
+from touchline.plans.raw import write_by_match
 from touchline.session import cut_lineage
 
 CLAIM = "claim_id string, subject string, published_at timestamp, retrieved_at timestamp, recorded_at timestamp, valid_from date, valid_until date"
@@ -31,3 +34,11 @@ def test_unknown_types_are_rejected_in_every_match(spark, tmp_path):
     assert sorted((r["match_id"], r["records"]) for r in found) == [(0, 1), (4, 1)]
     found = plans.QUERIES["b12_adapter_rejects"](spark, folder).collect()
     assert {r["match_id"] for r in found if "unknown event type" in r["reasons"]} == {0, 4}
+
+
+def test_a_match_is_written_to_one_file(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 8).select((F.col("id") % 5).alias("match_id"), F.col("id").cast("string").alias("record"))
+    write_by_match(rows, f"{tmp_path}/lines")
+    # Four partitions make at most three cuts, each inside one match.
+    assert 5 <= len(list(tmp_path.glob("lines/match_id=*/*.txt"))) <= 8
+    assert spark.read.text(f"{tmp_path}/lines").count() == 400

@@ -195,6 +195,11 @@ class Documents:
         return R.parse_manifest(self.receipt_lines)
 
 
+def write_by_match(records: DataFrame, path: str) -> None:
+    """A folder of lines for each match. Matches are dealt by range first, so a match has one file, or a few if it is very large."""
+    records.repartitionByRange("match_id", F.xxhash64("record")).write.partitionBy("match_id").text(path)
+
+
 def documents(i: Inputs) -> Documents:
     if not hasattr(i, "_documents"):
         i._documents = Documents(i)
@@ -224,7 +229,7 @@ part("cho", """select cast(case when n_nationkey = 24 then 0 else n_nationkey %
 @query("a1_read_events", "select match_id, cast(event_id as varchar) as id, sequence as index_number, period, provider_type, case when provider_type = 'Mystery' then null else action end as action from (select *, " + ACTION + " as action from typed)")
 def _(i: Inputs):
     path = new_folder(i.spark, "events")
-    documents(i).records.write.partitionBy("match_id").text(path)
+    write_by_match(documents(i).records, path)
     parsed = N.checked_events(R.read_events(i.spark, path, lines=True))
     return parsed.select(
         "match_id", F.col("e.id").alias("id"), F.col("e.index").alias("index_number"), F.col("e.period").alias("period"),

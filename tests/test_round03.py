@@ -8,6 +8,7 @@ from touchline import plans
 from touchline.operators import lineage
 from touchline.plans.raw import write_by_match
 from touchline.session import cut_lineage
+from touchline.streaming import replay
 
 CLAIM = "claim_id string, subject string, published_at timestamp, retrieved_at timestamp, recorded_at timestamp, valid_from date, valid_until date"
 
@@ -42,3 +43,12 @@ def test_a_match_is_written_to_one_file(spark, tmp_path):
     # Four partitions make at most three cuts, each inside one match.
     assert 5 <= len(list(tmp_path.glob("lines/match_id=*/*.txt"))) <= 8
     assert spark.read.text(f"{tmp_path}/lines").count() == 400
+
+
+def test_many_small_files_are_one_batch(spark, tmp_path):
+    rows = spark.range(200).select(F.col("id").alias("match_id"), F.lit('{"id": "a"}').alias("record"))
+    write_by_match(rows, f"{tmp_path}/lines")
+    events = replay.read_event_stream(spark, f"{tmp_path}/lines").select("match_id", "e.id")
+    replay.run_to_end(events, f"{tmp_path}/state", path=f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").distinct().count() == 200
+    assert len([p for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit()]) == 1

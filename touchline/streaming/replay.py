@@ -48,9 +48,16 @@ class ReplaySettings:
     minimum_earlier_seconds: int = 600
 
 
-def read_event_stream(spark: SparkSession, path: str, *, lines: bool = True, files_per_batch: int = 64) -> DataFrame:
-    """Event files as they arrive; each record with the match id of its file."""
-    reader = spark.readStream.format("text").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
+def read_event_stream(
+    spark: SparkSession, path: str, *, lines: bool = True, files_per_batch: int | None = None, bytes_per_batch: int = 256 * 2**20
+) -> DataFrame:
+    """Event files as they arrive; each record with the match id of its file.
+
+    A batch is bounded by its bytes, so the number of batches follows the data and not how many small files hold it;
+    ``files_per_batch`` bounds it by files instead.
+    """
+    bound = ("maxBytesPerTrigger", bytes_per_batch) if files_per_batch is None else ("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.format("text").option("recursiveFileLookup", "true").option(*bound)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"(?:match_id=|/)(\d+)(?:/[^/]*|\.json)$", 1).try_cast("bigint")
     text = reader.option("wholetext", not lines).load(path).select(name.alias("match_id"), "value")
     if lines:

@@ -5,9 +5,10 @@ from datetime import UTC, date, datetime
 from pyspark.sql import functions as F
 
 from touchline import plans
-from touchline.operators import lineage
+from touchline.operators import lineage, normalize
 from touchline.plans.raw import write_by_match
 from touchline.session import cut_lineage
+from touchline.sources import raw
 from touchline.streaming import replay
 
 CLAIM = "claim_id string, subject string, published_at timestamp, retrieved_at timestamp, recorded_at timestamp, valid_from date, valid_until date"
@@ -52,3 +53,16 @@ def test_many_small_files_are_one_batch(spark, tmp_path):
     replay.run_to_end(events, f"{tmp_path}/state", path=f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").distinct().count() == 200
     assert len([p for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit()]) == 1
+
+
+def test_rejects_parse_each_record_once(spark):
+    line = lambda n, team: f'{{"id": "{n}", "index": {n}, "type": {{"name": "Odd"}}, "team": {{"id": {team}, "name": "A"}}}}'
+    rows = [(1, line(1, 1)), (1, line(1, 3)), (2, line(1, 3)), (None, line(1, 1)), (1, '{"id": "x"}')]
+    matches = spark.createDataFrame([(1, 1, 2), (1, 1, 2), (3, 1, 2)], "match_id int, home_team_id int, away_team_id int")
+    found = normalize.event_rejects(raw.parse_events(spark.createDataFrame(rows, "match_id int, record string")), matches)
+    assert found._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+    got = {(r["match_id"], r["reason"]): r["records"] for r in found.collect()}
+    # A match that is listed twice counts its foreign records twice; one nobody lists has none.
+    assert got[1, "team is not in the match"] == 2 and (2, "team is not in the match") not in got
+    assert got[1, "repeated index"] == 1 and got[1, "unknown event type"] == 3 and got[None, "unknown event type"] == 1
+    assert got[1, "index must be an integer"] == 1 and got[2, "unknown event type"] == 1

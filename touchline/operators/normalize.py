@@ -258,22 +258,27 @@ def lineup_problems(players: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def event_rejects(parsed: DataFrame, matches: DataFrame) -> DataFrame:
-    """Per match and reason: how many records fail. The reasons are a fixed, short list."""
-    bad = checked_events(parsed).select("match_id", F.explode("reasons").alias("reason"))
-    repeated = (
-        parsed.groupBy("match_id", F.col("e.index").alias("_i")).agg(F.count("*").alias("_n")).where("_n > 1")
-        .select("match_id", F.lit("repeated index").alias("reason"))
+    """Per match and reason: how many records fail. The reasons are a fixed, short list.
+
+    One pass: each record is parsed once and gives its reasons, its index and its team to one count.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    item = lambda kind, reason, number: F.struct(F.lit(kind).alias("kind"), reason.alias("reason"), number.alias("number"))
+    items = F.concat(
+        F.transform("reasons", lambda r: item("reason", r, none("int"))),
+        F.array(item("index", none("string"), F.col("e.index")), item("team", none("string"), F.col("e.team.id"))),
     )
-    foreign = (
-        parsed.groupBy("match_id", F.col("e.team.id").alias("_t")).agg(F.count("*").alias("records"))
-        .join(matches.select("match_id", "home_team_id", "away_team_id"), "match_id")
-        .where("_t <> home_team_id and _t <> away_team_id")
-        .groupBy("match_id")
-        .agg(F.sum("records").alias("records"))
-        .select("match_id", F.lit("team is not in the match").alias("reason"), "records")
+    counted = checked_events(parsed).select("match_id", F.inline(items)).groupBy("match_id", "kind", "reason", "number").agg(F.count("*").alias("_n"))
+    team, index = F.col("kind") == "team", F.col("kind") == "index"
+    few = counted.groupBy("match_id", "kind", "reason", F.when(team, F.col("number")).alias("_t")).agg(
+        F.sum(F.when(index, (F.col("_n") > 1).cast("bigint")).otherwise(F.col("_n"))).alias("_n")
     )
-    counted = bad.unionByName(repeated).groupBy("match_id", "reason").agg(F.count("*").alias("records"))
-    return counted.unionByName(foreign)
+    sides = matches.groupBy("match_id").agg(F.collect_list(F.struct("home_team_id", "away_team_id")).alias("_sides"))
+    foreign = F.size(F.filter("_sides", lambda s: (F.col("_t") != s["home_team_id"]) & (F.col("_t") != s["away_team_id"])))
+    records = F.when(team, F.col("_n") * F.when(F.col("_sides").isNotNull(), foreign).otherwise(0)).otherwise(F.col("_n"))
+    named = F.when(team, "team is not in the match").when(index, "repeated index").otherwise(F.col("reason"))
+    found = few.join(sides, "match_id", "left").select("match_id", named.alias("reason"), records.alias("records")).where("records > 0")
+    return found.groupBy("match_id", "reason").agg(F.sum("records").alias("records"))
 
 
 def adapter_rejects(event_problems: DataFrame, lineup_issues: DataFrame) -> DataFrame:

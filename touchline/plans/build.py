@@ -36,6 +36,14 @@ class Only(Inputs):
     def events(self) -> DataFrame:
         return self._only(self._whole.events)
 
+    @cached_property
+    def matches(self) -> DataFrame:
+        return self._only(self._whole.matches)
+
+    @cached_property
+    def players(self) -> DataFrame:
+        return self._only(self._whole.players)
+
     @cached_property
     def context(self) -> DataFrame:
         return self._only(self._house.read("event_context").drop("definition_version", "ingest_run_id"))

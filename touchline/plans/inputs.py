@@ -59,6 +59,9 @@ class Inputs:
 
     @cached_property
     def matches(self) -> DataFrame:
+        return landed(self.spark, self.folder, "matches", self._matches)
+
+    def _matches(self) -> DataFrame:
         scored = lambda team: F.count_if(F.col("scores_goal") & (F.col("team_id") == team)).cast("int")
         return self.events.groupBy("match_id").agg(
             F.lit(1).alias("home_team_id"),
@@ -82,6 +85,9 @@ class Inputs:
 
     @cached_property
     def players(self) -> DataFrame:
+        return landed(self.spark, self.folder, "players", self._players)
+
+    def _players(self) -> DataFrame:
         return self.events.groupBy("match_id", "team_id", "player_id").agg(
             (F.first("player_id") <= 12).alias("started")
         )

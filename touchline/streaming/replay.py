@@ -34,6 +34,13 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(rows).reindex(columns=FIELDS).astype({c: "Int32" for c in WHOLE})
 
 
+def _records(frame: pd.DataFrame) -> Iterator[dict]:
+    """Rows as plain Python values, nulls as None; taken column by column."""
+    names = list(frame.columns)
+    values = [column.astype(object).where(column.notna(), None).tolist() for _, column in frame.items()]
+    return (dict(zip(names, row, strict=True)) for row in zip(*values, strict=True))
+
+
 @dataclass(frozen=True)
 class ReplaySettings:
     window_seconds: int = 600
@@ -83,17 +90,28 @@ def _fresh() -> dict:
     return {"next": 1, "score": [0, 0], "start": {}, "latest": {}, "entries": {}, "shots": {}, "cool": {}, "shape": {}, "held": {}}
 
 
-def _split(clocks: dict, period: str, after: int) -> tuple[list[int], list[int]]:
-    """Counts per channel: inside the window, and everything else so far."""
-    total = [sum(v[k] for p in clocks.values() for v in p.values()) for k in range(3)]
-    recent = [0, 0, 0]
-    for second, counts in clocks.get(period, {}).items():
-        if int(second) > after:
-            recent = [a + b for a, b in zip(recent, counts, strict=True)]
-    return recent, [a - b for a, b in zip(total, recent, strict=True)]
+def _split(state: dict, name: str, team: str, period: str, after: int) -> tuple[list[int], list[int]]:
+    """Counts per channel: inside the window, and everything else so far. Looks at the seconds of the window only."""
+    clocks = state[name][team].get(period, {})
+    latest = state["latest"][period]
+    if latest - after < len(clocks):
+        found = [clocks[s] for s in map(str, range(after + 1, latest + 1)) if s in clocks]
+    else:
+        found = [counts for second, counts in clocks.items() if int(second) > after]
+    recent = [sum(counts[k] for counts in found) for k in range(3)]
+    return recent, [a - b for a, b in zip(_totals(state, name, team), recent, strict=True)]
+
+
+def _totals(state: dict, name: str, team: str) -> list[int]:
+    """Counts per channel so far, kept beside those per second; a state from before they were kept is summed once."""
+    held = state.setdefault("totals", {}).setdefault(name, {})
+    if team not in held:
+        held[team] = [sum(v[k] for p in state[name].get(team, {}).values() for v in p.values()) for k in range(3)]
+    return held[team]
 
 
 def _count(state: dict, name: str, team: str, period: str, second: int, place: int) -> None:
+    _totals(state, name, team)[place] += 1
     clocks = state[name].setdefault(team, {}).setdefault(period, {})
     clocks.setdefault(str(second), [0, 0, 0])[place] += 1
 
@@ -126,12 +144,12 @@ def _step(state: dict, row: dict, s: ReplaySettings) -> Iterator[dict]:
     if row["burst_shot"] and ready("burst"):
         earlier = sum(state["latest"][p] - f for p, f in state["start"].items() if int(p) < int(period))
         earlier += now - s.window_seconds - start
-        recent, before = _split(state["shots"][team], period, now - s.window_seconds)
+        recent, before = _split(state, "shots", team, period, now - s.window_seconds)
         enough = recent[0] >= s.minimum_recent_shots and earlier >= s.minimum_earlier_seconds
         if enough and s.ratio_denominator * recent[0] * earlier >= s.ratio_numerator * before[0] * s.window_seconds:
             yield fire("burst", recent=recent[0], earlier=before[0], earlier_seconds=earlier)
     if row["entry_channel"] and ready("side_shift"):
-        recent, before = _split(state["entries"][team], period, now - s.window_seconds)
+        recent, before = _split(state, "entries", team, period, now - s.window_seconds)
         r, b = sum(recent), sum(before)
         if r >= s.minimum_recent_entries and b >= s.minimum_baseline_entries:
             gains = [x * b - y * r for x, y in zip(recent, before, strict=True)]
@@ -163,8 +181,7 @@ def replay_stream(rows: DataFrame, settings: ReplaySettings | None = None) -> Da
         state = json.loads(handle.get[0]) if handle.exists else _fresh()
         out: list[dict] = []
         for frame in frames:
-            for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-                row = {k: (v.item() if hasattr(v, "item") else v) for k, v in row.items()}
+            for row in _records(frame):
                 place = str(row["sequence"])
                 if row["sequence"] < state["next"] or place in state["held"]:
                     out.append({**{k: row[k] for k in POSITION}, "kind": "order_error"})

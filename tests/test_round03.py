@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline import plans
 from touchline.functions.pitch import CHANNELS
-from touchline.operators import lineage, normalize
+from touchline.operators import detect, lineage, normalize
 from touchline.plans.raw import write_by_match
 from touchline.session import cut_lineage
 from touchline.sources import raw
@@ -101,3 +101,63 @@ def test_replay_rows_are_plain_values():
     frame = pd.DataFrame({"a": [1.0, float("nan")], "b": [True, None], "c": ["x", None], "d": [1, 2]})
     rows = list(replay._records(frame))
     assert rows == [{"a": 1.0, "b": True, "c": "x", "d": 1}, {"a": None, "b": None, "c": None, "d": 2}] and type(rows[0]["d"]) is int
+
+
+SIDE_EVENT = (
+    "match_id bigint, team_id int, player_id int, period int, sequence int, elapsed_seconds int, event_id bigint, minute int, event_type string, open_play boolean"
+)
+
+
+def _checks_by_hand(events, changes, window, least, share, gain):
+    """Every check of two teams, each against the whole prefix."""
+    out = {}
+    start = {}
+    for e in sorted(events, key=lambda e: e[4]):
+        start.setdefault((e[0], e[3]), e[5])
+    on_at = lambda m, t, p, at: max(((c[3], c[4]) for c in changes if c[:3] == (m, t, p) and c[3] <= at), default=(0, False))[1]
+    for e in events:
+        for team in sorted({f[1] for f in events if f[0] == e[0]}):
+            if e[5] - start[e[0], e[3]] < window:
+                continue
+            facts = [f for f in events if f[0] == e[0] and f[1] == team and f[4] <= e[4] and f[8] == "pass" and f[9]]
+            recent = [f for f in facts if f[3] == e[3] and f[5] > e[5] - window]
+            earlier = [f for f in facts if f not in recent]
+            best, anyone = None, False
+            for p in sorted({c[2] for c in changes if c[:2] == (e[0], team)}):
+                if not on_at(e[0], team, p, e[4]):
+                    continue
+                mine, base = sum(f[2] == p for f in recent), len(recent)
+                held = [f for f in earlier if on_at(e[0], team, p, f[4])]
+                was, was_base = sum(f[2] == p for f in held), len(held)
+                if base < least[0] or was_base < least[1]:
+                    continue
+                anyone = True
+                if share[1] * mine >= share[0] * base and gain[1] * (mine * was_base - was * base) >= gain[0] * base * was_base:
+                    found = (round(mine / base - was / was_base, 12), -p, mine, was, was_base)
+                    best = found if best is None else max(best, found)
+            row = ("card", best[2], len(recent), best[3], best[4], -best[1]) if best else ("no_change" if anyone else "insufficient_data", None, len(recent), None, None, None)
+            out[e[0], team, e[4]] = row
+    return out
+
+
+def test_involvement_over_blocks_equals_every_prefix(spark):
+    random, events, changes = Random(3), [], []
+    for match in (1, 2):
+        for n in range(1, 161):
+            period, clock = (1, 4 * n) if n <= 80 else (2, 4 * (n - 80))
+            if random.random() < 0.1:
+                clock = max(0, clock - random.choice((10, 90)))
+            events.append((match, random.choice((1, 2)), random.choice((1, 2, 3, 4, None)), period, n, clock, 1000 * match + n, clock // 60, random.choice(("pass", "pass", "shot")), random.random() < 0.9))
+        changes += [(match, t, p, 1, True) for t in (1, 2) for p in (1, 2, 3)]
+        changes += [(match, 1, 2, 50, False), (match, 1, 4, 50, True), (match, 2, 1, 90, False), (match, 2, 1, 90, True), (match, 1, 2, 120, True)]
+    rule = dict(window_seconds=60, minimum_recent=3, minimum_baseline=4)
+    wanted = _checks_by_hand(events, changes, 60, (3, 4), (20, 100), (10, 100))
+    frame = cut_lineage(spark.createDataFrame(events, SIDE_EVENT))
+    turns = cut_lineage(spark.createDataFrame(changes, "match_id bigint, team_id int, player_id int, sequence int, on boolean"))
+    for size in (9, 4096):
+        checks = detect.involvement_checks(frame, turns, block_rows=size, **rule)
+        found = {(r["match_id"], r["team_id"], r["sequence"]): (r["outcome"], r["recent_value"], r["recent_base"], r["earlier_value"], r["earlier_base"], r["player_id"]) for r in checks.collect()}
+        assert found == wanted
+        # No row per event and squad member.
+        assert "_salt" not in checks._jdf.queryExecution().toString()
+    assert {row[0] for row in wanted.values()} == {"card", "no_change", "insufficient_data"}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.pitch import CHANNELS, FINAL_THIRD_X, channel, is_final_third_entry
 from touchline.functions.prefix import (
+    BLOCK_ROWS,
     Running,
     greedy_cooldown,
     join_small,
@@ -14,6 +15,7 @@ from touchline.functions.prefix import (
     running,
     sequence_block,
 )
+from touchline.operators.involvement import involvement
 
 POSITION = ["match_id", "team_id", "period", "sequence", "elapsed_seconds", "event_id"]
 
@@ -594,125 +596,18 @@ def involvement_checks(
     minimum_baseline: int = 40,
     minimum_share: tuple[int, int] = (20, 100),
     minimum_increase: tuple[int, int] = (10, 100),
-    **tuning,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """A player's share of team open-play passes against the earlier share while on.
 
     ``changes``: match_id, team_id, player_id, sequence, on (see ``on_pitch_by_sequence``).
-    The best increase per check wins, ties by player id. A squad holds few players, so an
-    event becomes a bounded number of rows; presence comes from a running state, not from
-    comparing every event with every interval.
+    The best increase per check wins, ties by player id. Events are dealt to blocks of consecutive positions, where players are
+    columns of a matrix: no event becomes a row per squad member, and nothing is compared with every interval of presence.
     """
     passes = (F.col("event_type") == "pass") & F.col("open_play")
-    sides = with_period_start(events, per_side(events)).withColumnRenamed("player_id", "passer_id")
-    squad = changes.groupBy("match_id", "team_id", "player_id").agg(F.lit(1).alias("_one")).drop("_one")
-    acts = join_small(sides, squad, ["match_id", "team_id"]).select(
-        *POSITION,
-        "minute",
-        "period_start",
-        "player_id",
-        F.coalesce(passes & (F.col("actor_id") == F.col("team_id")), F.lit(False)).alias("_team_pass"),
-        F.coalesce(F.col("passer_id") == F.col("player_id"), F.lit(False)).alias("_own"),
-        F.lit(1).alias("_rank"),
-        F.lit(None).cast("boolean").alias("on"),
-    )
-    turns = changes.select("match_id", "team_id", "player_id", "sequence", "on", F.lit(0).alias("_rank"))
-    state = running(
-        acts.unionByName(turns, allowMissingColumns=True),
-        ["match_id"],
-        ["sequence", "_rank", "on"],
-        sequence_block(),
-        [
-            Running(
-                "_state",
-                "max",
-                F.when(F.col("_rank") == 0, F.struct("sequence", "on")),
-                ("team_id", "player_id"),
-            )
-        ],
-    )
-    rows = (
-        state.where("_rank = 1")
-        .withColumn("_on", F.coalesce(F.col("_state.on"), F.lit(False)))
-        .where("_on or (_team_pass and _own)")
-        .select(
-            *POSITION,
-            "minute",
-            "player_id",
-            "period_start",
-            "_on",
-            _flag(F.col("_team_pass") & F.col("_own")).alias("_mine"),
-            _flag(F.col("_team_pass") & F.col("_own") & F.col("_on")).alias("_mine_on"),
-            _flag(F.col("_team_pass") & F.col("_on")).alias("_team_on"),
-        )
-    )
-    team = prefix_window(
-        sides.select(
-            *POSITION,
-            "minute",
-            "period_start",
-            _flag(passes & (F.col("actor_id") == F.col("team_id"))).alias("_team"),
-        ),
-        {"team": F.col("_team")},
-        trigger=_evaluated(events, window_seconds),
-        window_seconds=window_seconds,
-        **tuning,
-    ).select(*POSITION, "minute", "recent_team")
-    player = prefix_window(
-        rows,
-        {"mine": F.col("_mine"), "mine_on": F.col("_mine_on"), "team_on": F.col("_team_on")},
-        trigger=F.col("_on") & _evaluated(events, window_seconds),
-        window_seconds=window_seconds,
-        entity=("team_id", "player_id"),
-        **tuning,
-    ).select(
-        "match_id", "team_id", "sequence", "player_id", "recent_mine", "earlier_mine_on", "earlier_team_on"
-    )
-    joined = team.join(player, ["match_id", "team_id", "sequence"], "left")
-    mine, base = _big(F.col("recent_mine")), _big(F.col("recent_team"))
-    was, was_base = _big(F.col("earlier_mine_on")), _big(F.col("earlier_team_on"))
-    (sn, sd), (dn, dd) = minimum_share, minimum_increase
-    evaluable = F.coalesce(F.col("earlier_team_on") >= minimum_baseline, F.lit(False))
-    fires = (
-        evaluable
-        & (sd * mine >= sn * base)
-        & (dd * (mine * was_base - was * base) >= dn * base * was_base)
-    )
-    # Increases share the recent denominator within one check: compare mine - was * base / was_base.
-    increase = mine.cast("double") / base.cast("double") - was.cast("double") / was_base.cast("double")
-    best = F.max(
-        F.when(
-            fires,
-            F.struct(
-                F.round(increase, 12).alias("increase"),
-                (-F.col("player_id")).alias("rank"),
-                "recent_mine",
-                "earlier_mine_on",
-                "earlier_team_on",
-            ),
-        )
-    )
-    checked = (
-        joined.where(F.col("recent_team") >= minimum_recent)
-        .groupBy(*POSITION, "minute", "recent_team")
-        .agg(best.alias("_best"), F.bool_or(evaluable).alias("_any"))
-        .select(*POSITION, "minute", "_best", "_any")
-    )
-    return (
-        team.join(checked, [*POSITION, "minute"], "left")
-        .select(
-            *POSITION,
-            "minute",
-            F.when(~F.coalesce("_any", F.lit(False)), "insufficient_data")
-            .when(F.col("_best").isNotNull(), "card")
-            .otherwise("no_change")
-            .alias("outcome"),
-            F.col("_best.recent_mine").alias("recent_value"),
-            F.col("recent_team").alias("recent_base"),
-            F.col("_best.earlier_mine_on").alias("earlier_value"),
-            F.col("_best.earlier_team_on").alias("earlier_base"),
-            (-F.col("_best.rank")).alias("player_id"),
-        )
+    return involvement(
+        events, changes, passes, window_seconds=window_seconds, least=(minimum_recent, minimum_baseline),
+        share=minimum_share, gain=minimum_increase, size=block_rows,
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline import plans
 from touchline.functions.pitch import CHANNELS
-from touchline.operators import detect, lineage, normalize
+from touchline.operators import audit, detect, lineage, normalize
 from touchline.plans.raw import write_by_match
 from touchline.session import cut_lineage
 from touchline.sources import raw
@@ -161,3 +161,19 @@ def test_involvement_over_blocks_equals_every_prefix(spark):
         # No row per event and squad member.
         assert "_salt" not in checks._jdf.queryExecution().toString()
     assert {row[0] for row in wanted.values()} == {"card", "no_change", "insufficient_data"}
+
+
+def test_the_event_before_a_card_may_lie_in_another_block(spark):
+    at = {1: [1, 2, 3, 4096, 4097, 4098, 20000, 20001], 2: [5], 3: [8192, 8193]}
+    events = cut_lineage(spark.createDataFrame([(m, n, 1 + n // 5000, 2 * n) for m, ns in at.items() for n in ns], "match_id bigint, sequence int, period int, elapsed_seconds int"))
+    cards = cut_lineage(spark.createDataFrame([(m, n) for m, ns in at.items() for n in ns if n != 4098] + [(1, 2)], "match_id bigint, sequence int"))
+    found = {(r["match_id"], r["sequence"]): (r["prior_period"], r["prior"]) for r in audit.events_before(events, cards).collect()}
+    wanted = {}
+    for match, ns in at.items():
+        for n in ns:
+            before = [b for b in ns if b < n]
+            wanted[match, n] = (1 + before[-1] // 5000, 2 * before[-1]) if before else (None, None)
+    assert found == {k: v for k, v in wanted.items() if k != (1, 4098)}
+    # No window over all events of a match: events shrink to a row per card and block before they are ordered.
+    plan = audit.events_before(events, cards)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Aggregate") and plan.count("Window [") == 1

@@ -121,12 +121,29 @@ def independent_recompute(cards: DataFrame, raw_entries: DataFrame, *, window_se
     return keyed.join(again, CARD, "left").select(*CARD, "channel", same.alias("agrees"))
 
 
+def events_before(events: DataFrame, cards: DataFrame) -> DataFrame:
+    """Period and clock of the event just before each card of its match.
+
+    An event counts for the next card of its block, so rows shrink to one per card and block before they are put in order;
+    a match has few cards (the cooldown).
+    """
+    key, block = ["match_id", "_block"], sequence_block().alias("_block")
+    asks = cards.select("match_id", block, "sequence").distinct()
+    listed = asks.groupBy(*key).agg(F.sort_array(F.collect_set("sequence")).alias("_asks"))
+    slim = events.select("match_id", block, "sequence", F.struct("sequence", "period", "elapsed_seconds").alias("_row"))
+    coming = F.get(F.filter("_asks", lambda at: at > F.col("sequence")), F.lit(0))
+    latest = slim.join(listed, key, "left").groupBy(*key, coming.alias("_next")).agg(F.max("_row").alias("_row"))
+    # Rows without a card to come are last in their block; each card has a row, even as the first event of a block.
+    none = F.lit(None).cast(latest.schema["_row"].dataType).alias("_row")
+    steps = latest.unionByName(asks.select(*key, F.col("sequence").alias("_next"), none)).groupBy(*key, "_next").agg(F.max("_row").alias("_row"))
+    order = Window.partitionBy("match_id").orderBy("_block", F.col("_next").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = steps.withColumn("_row", F.max("_row").over(order)).where("_next is not null")
+    return found.select("match_id", F.col("_next").alias("sequence"), F.col("_row.period").alias("prior_period"), F.col("_row.elapsed_seconds").alias("prior"))
+
+
 def trigger_mechanisms(cards: DataFrame, events: DataFrame, entries: DataFrame, *, seconds: int = 600) -> DataFrame:
     """Why another team's event fired a card: what changed since the event just before it."""
-    previous = running(
-        events.select("match_id", "sequence", "period", "elapsed_seconds"), ["match_id"], ["sequence"], sequence_block(),
-        [Running("before", "max", F.struct("sequence", "period", "elapsed_seconds"), (), True)],
-    ).select("match_id", "sequence", F.col("before.period").alias("prior_period"), F.col("before.elapsed_seconds").alias("prior"))
+    previous = events_before(events, cards.where("actor_id <> team_id"))
     order = Window.partitionBy("match_id", "team_id").orderBy("sequence")
     rows = (
         cards.withColumn("_last", F.lag(F.struct("period", "elapsed_seconds")).over(order))

@@ -177,3 +177,21 @@ def test_the_event_before_a_card_may_lie_in_another_block(spark):
     # No window over all events of a match: events shrink to a row per card and block before they are ordered.
     plan = audit.events_before(events, cards)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("Aggregate") and plan.count("Window [") == 1
+
+
+def test_sides_and_period_starts_are_one_join(spark):
+    random = Random(5)
+    rows = [(1, random.choice((1, 2)), 1, 1 + n // 6000, n, n % 6000) for n in range(1, 9001)] + [(2, None, None, 1, 1, 3), (2, 2, 4, 1, 2, 1), (3, None, 1, 1, 1, 0)]
+    events = cut_lineage(spark.createDataFrame(rows, "match_id bigint, team_id int, player_id int, period int, sequence int, elapsed_seconds int"))
+    found = detect.sides_from_start(events, events.select("match_id", "team_id", "period", "sequence", "elapsed_seconds"))
+    wanted = detect.with_period_start(events, detect.per_side(events).where("team_id is not null"))
+    key = ["match_id", "period", "sequence", "actor_id", "team_id", "period_start"]
+    assert sorted(map(tuple, found.select(*key).collect()), key=str) == sorted(map(tuple, wanted.select(*key).collect()), key=str)
+    assert "_salt" not in found._jdf.queryExecution().toString()
+
+
+def test_side_shift_doubles_rows_after_one_shuffle(spark):
+    shape = SIDE_EVENT + ", second int, completed boolean, x double, end_x double, end_y double"
+    events = cut_lineage(spark.createDataFrame([], shape))
+    plan = detect.side_shift_windows(events, fire_on_own_entry=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and "explode(_teams" in plan

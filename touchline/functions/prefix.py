@@ -39,10 +39,12 @@ def running(
     block: Column,
     measures: Sequence[Running],
     descending: bool = False,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Add running aggregates per ``keys`` in ``order``; ``block`` must not decrease with it.
 
-    One shuffle of the rows by (keys, block), plus the much smaller block totals.
+    One shuffle of the rows by (keys, block), plus the much smaller block totals. ``keep_block`` leaves the column ``_block``,
+    so that a later join on it finds the rows in place.
     """
     extra = sorted({column for m in measures for column in m.within} - set(keys))
     fold = {"sum": F.sum, "max": F.max}
@@ -97,7 +99,7 @@ def running(
         rows.repartition(*keys, "_block")
         .select("*", *inside)
         .join(carried, [*keys, "_block", *extra])
-        .select(*[F.col(f"`{c}`") for c in df.columns], *results)
+        .select(*[F.col(f"`{c}`") for c in df.columns], *(["_block"] if keep_block else []), *results)
     )
 
 
@@ -184,13 +186,13 @@ def prefix_window(
         Running("_ahead", "max", F.when(F.col("_trigger"), clock), in_period),
         Running("_behind", "max", F.when(fact, -clock), in_period, True, True),
     ]
-    scanned = running(flagged, keys, ["sequence"], sequence_block(block_rows), [*scans, *also])
+    scanned = running(flagged, keys, ["sequence"], sequence_block(block_rows), [*scans, *also], keep_block=True)
     expired = _expired_by_clock(flagged, fact, names, owner, window_seconds)
     late = _late_rows(scanned, fact, names, owner, window_seconds, block_rows)
     joined = (
         scanned.where("_trigger")
+        .join(late, [*owner, "_block", "sequence"], "left")
         .join(expired, [*owner, "period", "elapsed_seconds"], "left")
-        .join(late, [*owner, "sequence"], "left")
     )
     out = []
     for n in names:
@@ -264,10 +266,11 @@ def _late_rows(scanned, fact, names, owner, window_seconds, block_rows) -> DataF
     )
     rows = (
         scanned.where(F.coalesce(is_late, F.lit(False)) | F.coalesce(asks, F.lit(False)))
-        .select(*group, "sequence", *names, F.explode(parts).alias("_p"))
-        .select(*group, "sequence", *names, "_p.asked", F.explode("_p.nodes").alias("_n"))
+        .select(*group, F.col("_block").alias("_at"), "sequence", *names, F.explode(parts).alias("_p"))
+        .select(*group, "_at", "sequence", *names, "_p.asked", F.explode("_p.nodes").alias("_n"))
         .select(
             *group,
+            "_at",
             "sequence",
             "asked",
             "_n.level",
@@ -286,7 +289,7 @@ def _late_rows(scanned, fact, names, owner, window_seconds, block_rows) -> DataF
     )
     return (
         counted.where("asked")
-        .groupBy(*owner, "sequence")
+        .groupBy(*owner, F.col("_at").alias("_block"), "sequence")
         .agg(*[F.sum(f"_l_{n}").alias(f"_l_{n}") for n in names])
     )
 

@@ -56,6 +56,21 @@ def per_side(events: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     return join_small(rows.withColumnRenamed("team_id", "actor_id"), teams, ["match_id"])
 
 
+def sides_from_start(events: DataFrame, rows: DataFrame) -> DataFrame:
+    """``per_side`` and ``with_period_start`` in one join: rows meet one line per match, period and block of the match.
+
+    ``rows`` should hold only the columns that are needed; they are shuffled once, before they are doubled.
+    """
+    place = sequence_block().cast("long").alias("_place")
+    first = F.struct("sequence", "elapsed_seconds")
+    spots = events.where("sequence is not null").groupBy("match_id", "period", place).agg(F.min(first).alias("_first"))
+    starts = spots.groupBy("match_id", "period").agg(F.min("_first")["elapsed_seconds"].alias("period_start"))
+    teams = events.groupBy("match_id").agg(F.collect_set("team_id").alias("_teams"))
+    small = spots.drop("_first").join(starts, ["match_id", "period"]).join(teams, "match_id")
+    every = rows.withColumnRenamed("team_id", "actor_id").select("*", place).join(small, ["match_id", "period", "_place"])
+    return every.withColumn("team_id", F.explode("_teams")).drop("_place", "_teams")
+
+
 # --- attacking-side shift -----------------------------------------------------------------
 
 
@@ -73,18 +88,19 @@ def side_shift_windows(
     own = F.lit(True)
     also: list[Running] = []
     if fire_on_own_entry:
-        rows = events.where(entry)
+        rows = with_period_start(events, events.where(entry).select(*POSITION, "minute", "second", channel("end_y").alias("_channel")))
     else:
-        rows = per_side(events)
-        own = entry & (F.col("actor_id") == F.col("team_id"))
+        slim = events.select(*POSITION, "minute", "second", entry.alias("_entry"), F.when(entry, channel("end_y")).alias("_channel"))
+        rows = sides_from_start(events, slim)
+        own = F.col("_entry") & (F.col("actor_id") == F.col("team_id"))
         last = F.when(F.col("_own"), F.struct("sequence", "period", "elapsed_seconds"))
         also = [Running("last_entry", "max", last, ("team_id",))]
-    rows = with_period_start(events, rows).select(
+    rows = rows.select(
         *POSITION,
         "minute",
         "second",
         "period_start",
-        F.when(own, channel("end_y")).alias("entry_channel"),
+        F.when(own, F.col("_channel")).alias("entry_channel"),
         *([] if fire_on_own_entry else ["actor_id", own.alias("_own")]),
     )
     found = prefix_window(
@@ -492,12 +508,12 @@ def territory_checks(
         & F.col("open_play")
         & (F.col("x") >= FINAL_THIRD_X)
     )
-    rows = with_period_start(events, per_side(events)).select(
+    rows = sides_from_start(events, events.select(*POSITION, "minute", _flag(tilt).alias("_all"))).select(
         *POSITION,
         "minute",
         "period_start",
-        _flag(tilt & (F.col("actor_id") == F.col("team_id"))).alias("_own"),
-        _flag(tilt).alias("_all"),
+        _flag((F.col("_all") == 1) & (F.col("actor_id") == F.col("team_id"))).alias("_own"),
+        "_all",
     )
     found = prefix_window(
         rows,

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from touchline import plans
+from touchline.functions import prefix
 from touchline.functions.pitch import CHANNELS
 from touchline.operators import audit, detect, lineage, normalize
 from touchline.plans.raw import write_by_match
@@ -195,3 +196,27 @@ def test_side_shift_doubles_rows_after_one_shuffle(spark):
     events = cut_lineage(spark.createDataFrame([], shape))
     plan = detect.side_shift_windows(events, fire_on_own_entry=False)._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" not in plan and "explode(_teams" in plan
+
+
+def test_null_shots_are_laid_out_once(spark):
+    shape = SIDE_EVENT + ", second int, penalty boolean, completed boolean, x double, end_x double"
+    kinds = ("shot", "pass", "shot")
+    rows = [(m, 1 + n % 2, 1, 1, n, 3 * n, 1000 * m + n, n // 20, kinds[n % 3], True, 3 * n % 60, False, True, 50.0, 50.0) for m in (1, 2) for n in range(1, 601)]
+    events = cut_lineage(spark.createDataFrame(rows, shape))
+    plan = audit.null_shot_baseline(events, seeds=2)._jdf.queryExecution().optimizedPlan().toString()
+    # Spots are hashed when the stream is written, not again by each reader; short streams are not repeated by salts.
+    assert "md5" not in plan and "_salt" not in plan
+    stream = audit.null_shot_stream(events, seeds=2).collect()
+    assert sum(r["event_type"] == "shot" for r in stream) == 2 * sum(r[8] == "shot" for r in rows)
+    for key in {r["match_id"] for r in stream}:
+        own = sorted((r for r in stream if r["match_id"] == key), key=lambda r: r["sequence"])
+        assert [r["sequence"] for r in own] == list(range(1, len(own) + 1))
+        order = [(r["period"], r["elapsed_seconds"], r["event_type"] == "shot", r["event_id"] or 0) for r in own]
+        assert order == sorted(order)
+
+
+def test_a_join_per_block_meets_every_row(spark):
+    rows = cut_lineage(spark.createDataFrame([(m, n) for m in (1, 2, 3) for n in (1, 2, 5000, 9000, 9001)], "match_id bigint, sequence int"))
+    small = cut_lineage(spark.createDataFrame([(1, "a"), (1, "b"), (3, "c")], "match_id bigint, v string"))
+    found = prefix.join_per_block(rows, small, ["match_id"]).select("match_id", "sequence", "v").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, rows.join(small, "match_id").collect()))

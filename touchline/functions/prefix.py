@@ -133,6 +133,16 @@ def join_small(rows: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def join_per_block(rows: DataFrame, small: DataFrame, on: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Join rows of a stream with a few rows per key, repeated once per block of the key.
+
+    Like ``join_small`` without a fixed number of salts: a short stream, of which there may be very many, is not repeated at all.
+    """
+    place = sequence_block(block_rows).cast("long").alias("_place")
+    spots = rows.select(*on, place).distinct()
+    return rows.select("*", place).join(small.join(spots, list(on)), [*on, "_place"]).drop("_place")
+
+
 def sequence_block(size: int = BLOCK_ROWS, column: str = "sequence") -> Column:
     return F.floor((F.col(column) - 1) / F.lit(size))
 

@@ -12,6 +12,7 @@ from touchline.functions.pitch import CHANNELS, channel, is_final_third_entry
 from touchline.functions.prefix import Running, greedy_cooldown, join_small, numbered, running, sequence_block, with_value_blocks
 from touchline.operators.cards import evidence
 from touchline.operators.detect import _big, burst_rule, burst_windows, is_burst_shot, period_starts
+from touchline.session import cut_lineage
 
 CARD = ["match_id", "team_id", "card_sequence"]
 
@@ -333,12 +334,12 @@ def null_shot_stream(events: DataFrame, *, seeds: int = 10, seed: int = 20260928
             F.explode(F.array("start", "end")).alias("elapsed_seconds"), F.lit("other").alias("event_type"),
         )
     )
-    # Order: clock, then boundaries before shots; one second of one stream is one block.
+    # Order: clock, then boundaries before shots; one minute of one stream is one block.
     ranked = placed.unionByName(edges).withColumn("_rank", (F.col("event_type") == "shot").cast("int"))
     key = ["match_id", "team_id", "reference"]
     ordered = numbered(
         ranked, key, ["period", "elapsed_seconds", "_rank", "event_id"],
-        F.col("period").cast("bigint") * 1_000_000 + F.col("elapsed_seconds"), "sequence",
+        F.col("period").cast("bigint") * 1_000_000 + F.floor(F.col("elapsed_seconds") / 60), "sequence",
     )
     stream = F.concat_ws("-", *[F.col(c).cast("string") for c in key])
     return ordered.select(
@@ -353,7 +354,9 @@ def null_shot_stream(events: DataFrame, *, seeds: int = 10, seed: int = 20260928
 def null_shot_baseline(events: DataFrame, *, seeds: int = 10, seed: int = 20260928, grid=GRID, **settings) -> DataFrame:
     """Cards per setting: real ones, and the mean over references of evenly spread shots."""
     real = threshold_sweep(threshold_cards(burst_windows(events, **settings), grid))
-    reference = threshold_sweep(threshold_cards(burst_windows(null_shot_stream(events, seeds=seeds, seed=seed), **settings), grid))
+    # Written once: the windows read the stream several times over.
+    stream = cut_lineage(null_shot_stream(events, seeds=seeds, seed=seed))
+    reference = threshold_sweep(threshold_cards(burst_windows(stream, **settings), grid))
     return real.select("setting", F.col("cards").alias("real_cards")).join(
         reference.select("setting", (F.col("cards") / seeds).alias("reference_cards")), "setting", "full"
     ).select(

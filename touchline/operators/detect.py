@@ -10,6 +10,7 @@ from touchline.functions.prefix import (
     BLOCK_ROWS,
     Running,
     greedy_cooldown,
+    join_per_block,
     join_small,
     prefix_window,
     running,
@@ -297,15 +298,8 @@ def burst_windows(events: DataFrame, *, window_seconds: int = 600, **tuning) ->
     """Recent and earlier shots and entries, and earlier playing time, at each counted shot."""
     periods = _periods(events)
     starts, latest = _period_clock(events, periods)
-    rows = join_small(events, starts, ["match_id"]).select(
-        *POSITION,
-        "minute",
-        "second",
-        _own_start(periods).alias("period_start"),
-        *[f"start_{p}" for p in periods],
-        _flag(is_burst_shot()).alias("_shot"),
-        _flag(is_final_third_entry()).alias("_entry"),
-    )
+    slim = events.select(*POSITION, "minute", "second", _flag(is_burst_shot()).alias("_shot"), _flag(is_final_third_entry()).alias("_entry"))
+    rows = join_per_block(slim, starts, ["match_id"]).withColumn("period_start", _own_start(periods))
     found = prefix_window(
         rows,
         {"shots": F.col("_shot"), "entries": F.col("_entry")},

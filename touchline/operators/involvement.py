@@ -6,11 +6,13 @@ second of the passes that may still be recent. Squads and seconds bound those, s
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,9 @@ COUNTS = ["mine", "mine_on", "team_on", "team"]
 # Triggers compared with the passes of a block at a time.
 SLICE = 1024
 
+# Workers get the functions below with the job, so they need not find this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _numbers(column) -> np.ndarray:
     """Values as doubles; nulls are NaN, which no comparison holds for."""
